@@ -7,23 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .op4_tokens import token_counts
+from .op6_mix import mixture
 from .op8_jaccard import jaccard_groups
 
+#: The tokenizer that op4_tokens counts with.
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they pass a context of 1024."""
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes from each document, sources weighing 5, 2, 1 in turn."""
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_groups(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_tokens": op4_tokens,
+    "op6_mix": op6_mix,
     "op8_jaccard": op8_jaccard,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM s),
+        o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0) AS l, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS r,
+                     row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, i) AS k
+              FROM w WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT *, 2.0::DOUBLE * source_size > l::DOUBLE / r::DOUBLE * weight AS free FROM o),
+        f AS (SELECT min(k) AS k FROM c WHERE free),
+        t AS (SELECT c.source, c.source_size, CASE WHEN c.k >= f.k THEN (SELECT x.l::DOUBLE / x.r::DOUBLE FROM c x JOIN f y ON x.k = y.k) * c.weight ELSE 2.0::DOUBLE * c.source_size END AS target FROM c, f),
+        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0 ELSE floor(t.target / t.source_size)::BIGINT END AS turns,
+                     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
+               (turns * size + greatest(0, least(size, floor(target)::BIGINT - turns * source_size - start)))::BIGINT AS taken FROM p""",
     "op8_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
