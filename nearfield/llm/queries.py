@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .op2_pii import personal_data
+from .op3_extract import extracted
 from .op4_tokens import token_counts
+from .op5_warc import round_trip
 from .op6_mix import mixture
 from .op8_jaccard import jaccard_groups
+from .op10_language import languages, train
 
 #: The tokenizer that op4_tokens counts with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +23,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they pass a context of 1024."""
     import public_tokenizers
@@ -26,6 +40,11 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return round_trip(_table(spark, sf_dir, "pages"), least=0)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes from each document, sources weighing 5, 2, 1 in turn."""
     return mixture(_table(spark, sf_dir, "documents"))
@@ -36,13 +55,31 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by models of those that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return languages(docs, train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
+    "op3_extract": op3_extract,
     "op4_tokens": op4_tokens,
+    "op5_warc": op5_warc,
     "op6_mix": op6_mix,
     "op8_jaccard": op8_jaccard,
+    "op10_language": op10_language,
 }
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
 ORACLES: dict[str, str] = {
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, ('0x' || h[1:10])::BIGINT AS a, ('0x' || h[11:20])::BIGINT AS b, ('0x' || h[21:30])::BIGINT AS c, ('0x' || h[31:40])::BIGINT AS d FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+               list_aggregate(list_transform([a, b, c, d], lambda x: list_aggregate(list_transform(range(8), lambda i: '{_BASE32}'[((x >> (35 - 5 * i)) & 31) + 1]), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     "op6_mix": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
