@@ -13,6 +13,7 @@ from .op4_tokens import token_counts
 from .op5_warc import round_trip
 from .op6_mix import mixture
 from .op8_jaccard import jaccard_groups
+from .op9_multiindex import near_duplicates
 from .op10_language import languages, train
 
 #: The tokenizer that op4_tokens counts with.
@@ -55,6 +56,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op9_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all embeddings of equal labels, by cosine 0.98."""
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by models of those that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_mix": op6_mix,
     "op8_jaccard": op8_jaccard,
+    "op9_multiindex": op9_multiindex,
     "op10_language": op10_language,
 }
 
@@ -109,4 +116,12 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT b.y, r.m FROM reach r JOIN both_ways b ON b.x = r.v)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(m) AS m FROM reach GROUP BY v) c ON c.v = d.doc_id""",
+    "op9_multiindex": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        n AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+        reach AS (SELECT vec_id AS v, vec_id AS m FROM embeddings UNION SELECT l.y, r.m FROM reach r JOIN l ON l.x = r.v),
+        c AS (SELECT v, min(m) AS m FROM reach GROUP BY v)
+        SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id)::BIGINT AS n_links, c.m AS component_id, e.vec_id = c.m AS kept
+        FROM embeddings e JOIN c ON c.v = e.vec_id""",
 }
