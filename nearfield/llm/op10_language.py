@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import chunks, utf8
+from .textkit import capitals, chunks, utf8
 
 #: Longest context, in symbols.
 ORDER = 3
@@ -41,8 +41,7 @@ def folded(b: np.ndarray) -> np.ndarray:
     """Bytes with letters in lower case and other ASCII as spaces."""
     out = _ASCII[b]
     if len(b) > 1:
-        capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
-        out[1:][capital] += 0x20
+        out[1:][capitals(out)] += 0x20
     return out
 
 

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .op1_decontaminate import contaminated
 from .op2_pii import personal_data
 from .op3_extract import extracted
 from .op4_tokens import token_counts
 from .op5_warc import round_trip
 from .op6_mix import mixture
+from .op7_resample import resampled
 from .op8_jaccard import jaccard_groups
 from .op9_multiindex import near_duplicates
 from .op10_language import languages, train
@@ -24,6 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, with the item."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return personal_data(_table(spark, sf_dir, "documents"))
@@ -51,6 +58,11 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
 
 
+def op7_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all documents, drawn by how much they read like those labelled good."""
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), share=0.5)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_groups(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
@@ -68,11 +80,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
     "op3_extract": op3_extract,
     "op4_tokens": op4_tokens,
     "op5_warc": op5_warc,
     "op6_mix": op6_mix,
+    "op7_resample": op7_resample,
     "op8_jaccard": op8_jaccard,
     "op9_multiindex": op9_multiindex,
     "op10_language": op10_language,

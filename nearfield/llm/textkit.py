@@ -33,6 +33,9 @@ with np.errstate(over="ignore"):
     _BYTE = mix((np.arange(256, dtype=np.uint64) + U(1)) * _STEP)
 _FOLDED = np.where(SPACE, U(0), _BYTE[LOWER])  # A-Z count as a-z, spaces as nothing
 _EXACT = np.where(SPACE, U(0), _BYTE)
+#: ASCII but letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_LETTERS = np.where(PUNCTUATION, U(0), _BYTE[LOWER])
 _BASE = 0x5851F42D4C957F2D
 _power: dict[str, np.ndarray] = {}
 
@@ -53,6 +56,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power["up"], _power["down"]
 
 
+def capitals(b: np.ndarray) -> np.ndarray:
+    """Which bytes from the second on end a Latin capital of two bytes."""
+    return (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the n + 1 offsets of the texts in them."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,11 +84,11 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts of words in them, n + 1 offsets of the texts' words) of texts lo to hi."""
+def word_starts(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts of words in them, n + 1 offsets of the texts' words) of texts lo to hi. blank: which bytes end a word."""
     b = data[offsets[lo] : offsets[hi]]
     inner = offsets[lo : hi + 1] - offsets[lo]
-    solid = ~SPACE[b]
+    solid = ~blank[b]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edges = inner[:-1][inner[:-1] < len(b)]
@@ -98,13 +106,15 @@ def count_words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, fold: bool = True, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, n + 1 offsets of the texts' words). fold: A-Z as a-z. only: a value for each byte, 0 for bytes to pass over."""
-    b, starts, bounds = word_starts(data, offsets, lo, hi)
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, fold: bool = True, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, n + 1 offsets of the texts' words). fold: A-Z as a-z. letters: words are runs of letters and digits, Latin capitals folded too."""
+    b, starts, bounds = word_starts(data, offsets, lo, hi, PUNCTUATION if letters else SPACE)
     if not len(starts):
         return np.empty(0, np.uint64), bounds
     up, down = _powers(len(b))
-    v = (only if only is not None else _FOLDED if fold else _EXACT)[b]
+    v = (_LETTERS if letters else _FOLDED if fold else _EXACT)[b]
+    if letters:
+        v[1:][capitals(b)] = _LETTERS[b[1:][capitals(b)] + 0x20]
     v *= up[: len(b)]
     h = np.add.reduceat(v, starts)
     h *= down[starts]
