@@ -5,10 +5,10 @@ of the next that may still reach the threshold with them. In a tile two sets tha
 so when the hash range is cut into D + 1 segments, they agree wholly in one: sets meet only in buckets
 (tile, segment, content of the segment), and no pair is lost (D + 1 + E segments, where a set with up to E empty
 segments need not list them; one with more lists them too). A set lists only the first D' + 1 + E segments, D' for its
-own size. Buckets of one set are dropped. In the others each set is compared with a hub first; components of those
-links settle most buckets, since two sets of one component need no comparison. What is left is compared in blocks,
+own size. Buckets of one set are dropped. In the others each set is compared with hubs first, those it shares
+most buckets with; components of those links settle most buckets, since two sets of one component need no comparison. What is left is compared in blocks,
 all members against all others of a different component: popcounts of bitmaps bound the overlap from above, and only
-pairs that pass are intersected. Nothing is capped; no bucket or set has to fit in one task, and no pair inside a
+pairs that pass are intersected; in the first rounds, which join most components, each set's best pairs by that bound. Nothing is capped; no bucket or set has to fit in one task, and no pair inside a
 settled group is made.
 
 Equal sets are one node, so copies are never paired.
@@ -22,7 +22,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -31,8 +31,10 @@ from .textkit import U, mix, shingle_sets
 
 #: Largest size of a band over its smallest.
 RATIO = 1.5
-#: Members of a block and rows of a hub's group that one comparison takes.
-BLOCK = 256
+#: Members of a block that are compared with those of another, and sets that are checked against a hub in one group.
+BLOCK, GROUP = 2048, 256
+#: Hubs that a set is checked against; rounds in which blocks give each set's BEST pairs only, before all that are left.
+HUBS, ROUNDS, BEST = 2, 1, 2
 #: Sets to fetch again are found by a broadcast of their documents' ids up to this many, by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 _STEP = U(0x9E3779B97F4A7C15)
@@ -154,8 +156,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """Hashed bitmap of a set, of 4 to 8 bits an element and a power of two of them."""
-    bits = 1 << max(6, int(4 * len(x) - 1).bit_length())
+    """Hashed bitmap of a set, of 8 to 16 bits an element and a power of two of them."""
+    bits = 1 << max(6, int(8 * len(x) - 1).bit_length())
     out = np.zeros(bits, dtype=bool)
     out[(x & U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -167,10 +169,14 @@ def folded(bitmaps: list[bytes]) -> np.ndarray:
     return np.array([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, size), axis=0) for x in bitmaps])
 
 
-def bounded(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which others may link with one: each bit of a set that the other lacks stands for an element at least that isn't shared."""
-    most = np.minimum(n - np.bitwise_count(one & ~others).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(others & ~one).sum(axis=1, dtype=np.int64))
-    return most * (num + den) >= num * (n + sizes)
+def overlap(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Most elements that one may share with each of the others: every bit that the other lacks stands for an element at least that isn't shared."""
+    return np.minimum(n - np.bitwise_count(one & ~others).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(others & ~one).sum(axis=1, dtype=np.int64))
+
+
+def reaches(shared: np.ndarray, n: int, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes with so many shared elements reach the threshold."""
+    return shared * (num + den) >= num * (n + sizes)
 
 
 def links(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -184,8 +190,8 @@ def links(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 def _fetch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """(set_id, n, elements, bitmap) of the texts."""
     for batch in batches:
-        for lo in range(0, len(batch), BLOCK):
-            part = batch.slice(lo, BLOCK)
+        for lo in range(0, len(batch), GROUP):
+            part = batch.slice(lo, GROUP)
             sets = [x for _, x in shingle_sets(part.column(1), words)]
             mine = [len(x) > 0 and set_id(x) == k for x, k in zip(sets, part.column(0).to_pylist(), strict=True)]  # an id may stand for several texts
             part, sets = part.filter(pa.array(mine, pa.bool_())), [x for x, own in zip(sets, mine, strict=True) if own]
@@ -206,31 +212,63 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
                 key, hub, hub_n, hub_bits = k, x.copy(), ns[i], bits[i]
                 continue
             pair = folded([hub_bits, bits[i]])
-            if bounded(pair[0], hub_n, pair[1:], np.array([ns[i]]), num, den)[0] and links(hub, x, num, den):
+            if reaches(overlap(pair[0], hub_n, pair[1:], np.array([ns[i]])), hub_n, ns[i], num, den)[0] and links(hub, x, num, den):
                 found.append((hubs[i], members[i]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 
-def _compare(key: tuple, table: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of a block of a bucket with another block (or itself) of other components that pass the bitmaps' bound."""
+def _compare(key: tuple, table: pa.Table, num: int, den: int, best: int) -> pa.Table:
+    """Pairs of a block of a bucket with another block (or itself), of different components, that pass the bitmaps' bound.
+
+    With best, for each set its `best` pairs by that bound, and of those the best for each two components; else all.
+    """
     _, one, two = (k.as_py() for k in key)
     ids, labels, ns, side = (table.column(c).to_numpy() for c in ("set_id", "component", "n", "block"))
     rows = folded(table.column("bitmap").to_pylist())
-    a_found, b_found = [], []
+    a_found, b_found, rank = [], [], []
     for i in np.flatnonzero(side == one):
-        to = (labels != labels[i]) & ((ids > ids[i]) if one == two else (side == two))
-        to = np.flatnonzero(to)
-        to = to[bounded(rows[i], ns[i], rows[to], ns[to], num, den)]
-        a_found.append(np.full(len(to), ids[i]))
-        b_found.append(ids[to])
+        to = np.flatnonzero((labels != labels[i]) & ((ids > ids[i]) if one == two and not best else (side == two)))
+        most = overlap(rows[i], ns[i], rows[to], ns[to])
+        to, most = to[reaches(most, ns[i], ns[to], num, den)], most[reaches(most, ns[i], ns[to], num, den)]
+        share = most / (ns[i] + ns[to])
+        if best and len(to) > best:
+            top = np.argpartition(-share, best - 1)[:best]
+            to, share = to[top], share[top]
+        a_found.append(np.full(len(to), i))
+        b_found.append(to)
+        rank.append(share)
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_found, b_found))
+    if best and len(a):
+        order = np.argsort(-np.concatenate(rank), kind="stable")
+        a, b = a[order], b[order]
+        two_labels = np.stack([np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])], axis=1)
+        first = np.unique(two_labels, axis=0, return_index=True)[1]
+        a, b = a[first], b[first]
+    a, b = ids[a.astype(np.int64)], ids[b.astype(np.int64)]
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _hub_pairs(rest: DataFrame) -> DataFrame:
+    """(a, b): each set b with those HUBS of its buckets' hubs with which it shares most buckets."""
+    hubs = rest.groupBy("sig").agg(F.min("set_id").alias("hub"))
+    met = rest.join(hubs, "sig").where("set_id <> hub").groupBy("set_id", "hub").count()
+    best = Window.partitionBy("set_id").orderBy(F.desc("count"), "hub")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
+
+
+def _tile_pairs(rest: DataFrame, opened: DataFrame, sets: DataFrame, num: int, den: int, best: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share an open bucket and pass the bound, block by block."""
+    members = rest.join(opened, "sig").select("sig", "set_id", "component", "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = members.select("sig", "set_id", "component", "block", other.alias("other")).select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "set_id", "component", "block")
+    tiles = tiles.join(sets.select("set_id", "n", "bitmap"), "set_id")
+    return tiles.groupBy("sig", "one", "two").applyInArrow(lambda key, table: _compare(key, table, num, den, best), "a long, b long").distinct()
+
+
 def _check_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link. A hub a with many partners is dealt out in parts of about BLOCK, each with the hub's set."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    """The pairs (a, b) that link. A hub a with many partners is dealt out in parts of about GROUP, each with the hub's set."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     to = pairs.join(parts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("set_id"), F.lit(1).alias("turn"))
     own = parts.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("set_id"), F.lit(0).alias("turn"))
     rows = own.union(to).join(sets, "set_id").select("hub", "part", F.col("set_id").alias("member"), "n", "elements", "bitmap", "turn")
@@ -263,25 +301,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fetched = picked.mapInArrow(partial(_fetch, words=words), "set_id long, n long, elements array<long>, bitmap binary")
     sets = scratch.table(fetched, "sets")
 
-    hubs = shared.groupBy("sig").agg(F.min("set_id").alias("hub"))
-    first = shared.join(hubs, "sig").where("set_id <> hub").groupBy("set_id").agg(F.min("hub").alias("a")).select("a", F.col("set_id").alias("b"))
-    edges = scratch.table(_check_pairs(first, sets, num, den), "edges-1")
-    groups = components(edges, scratch, "cc-1")
-
-    # buckets that still hold sets of several components, each content of a bucket once
-    named = shared.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
-    named = scratch.table(named, "named")
-    open_ = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(set_id))").alias("content")).where("lo <> hi")
-    open_ = open_.groupBy("size", "content").agg(F.min("sig").alias("sig"))
-    open_ = scratch.table(open_.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
-    members = named.join(open_, "sig").select("sig", "set_id", "component", "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = members.select("sig", "set_id", "component", "block", other.alias("other")).select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "set_id", "component", "block")
-    tiles = tiles.join(sets.select("set_id", "n", "bitmap"), "set_id")
-    pairs = tiles.groupBy("sig", "one", "two").applyInArrow(lambda key, table: _compare(key, table, num, den), "a long, b long").distinct()
-    pairs = scratch.table(pairs, "pairs")
-    more = scratch.table(_check_pairs(pairs, sets, num, den), "edges-2")
-    groups = components(edges.union(more), scratch, "cc-2")
+    edges, rest = None, shared.withColumn("component", F.col("set_id"))
+    for turn, how in enumerate(("hub", *("best",) * ROUNDS, "all")):
+        pairs = _hub_pairs(rest) if how == "hub" else _tile_pairs(rest, opened, sets, num, den, BEST if how == "best" else 0)
+        found = scratch.table(_check_pairs(scratch.table(pairs, f"pairs-{turn}"), sets, num, den), f"edges-{turn}")
+        edges = found if edges is None else edges.union(found)
+        groups = components(edges, scratch, f"cc-{turn}")
+        if how == "all":
+            break
+        # buckets that still hold sets of several components, each content of a bucket once
+        named = rest.drop("component").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
+        named = scratch.table(named, f"named-{turn}")
+        opened = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(set_id))").alias("content")).where("lo <> hi")
+        opened = opened.groupBy("size", "content").agg(F.min("sig").alias("sig"))
+        opened = scratch.table(opened.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), f"opened-{turn}")
+        rest = named.join(opened, "sig", "left_semi")
 
     own = scanned.select("doc_id", "n_shingles", "set_id")
     own = own.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
