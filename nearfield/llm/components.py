@@ -1,8 +1,8 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star steps.
 
-Kiveris et al., "Connected Components in MapReduce and Beyond". Each step is two aggregations with map-side
-combination and one equi-join (which AQE may split where a node is hot), so no node's neighbours meet in one task and
-nothing but two numbers reaches the driver. Every round is written to the shared folder.
+Kiveris et al., "Connected Components in MapReduce and Beyond". Each step is an aggregation with map-side combination
+and an equi-join (which AQE may split where a node is hot), so no node's neighbours meet in one task and nothing but one
+number reaches the driver. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,18 +15,23 @@ from .scratch import Scratch
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable. Nulls and loops are passed over."""
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).distinct()
-    now, was, turn = scratch.table(now, f"{name}-0"), None, 0
-    while True:
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, w))")).first()
-        if tuple(seen) == was:
-            return now.select(F.col("v").alias("node"), F.col("w").alias("component")).union(now.select(F.col("w").alias("node"), F.col("w").alias("component")).distinct())
-        was, turn = tuple(seen), turn + 1
+    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).distinct(), f"{name}-0")
+    turn = 0
+    while not _stars(now):
+        turn += 1
         both = now.union(now.select("w", "v"))
         least = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"))
-        large = both.where("w > v").join(least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).where("v <> w").distinct()
+        large = both.where("w > v").join(least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).where("v <> w")
         large = scratch.table(large, f"{name}-{turn}a")
         least = large.groupBy("v").agg(F.min("w").alias("m"))
         small = large.join(least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).where("v <> w").union(least).distinct()
-        before, now = f"{name}-{turn - 1}", scratch.table(small, f"{name}-{turn}")
-        scratch.drop(before, f"{name}-{turn}a")
+        now = scratch.table(small, f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}", f"{name}-{turn}a")
+    return now.select(F.col("v").alias("node"), F.col("w").alias("component")).union(now.select(F.col("w").alias("node"), F.col("w").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node that points to another points to one alone, which points to none."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("w", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not ends.where("out > 1 or (out > 0 and into > 0)").agg(F.count("*")).first()[0]
