@@ -1,0 +1,293 @@
+"""Operators over documents: decontamination, personal data, tokens, mixing, resampling, languages."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from nearfield.llm import op1_decontaminate as op1
+from nearfield.llm import op2_pii as op2
+from nearfield.llm import op4_tokens as op4
+from nearfield.llm import op6_mix as op6
+from nearfield.llm import op7_resample as op7
+from nearfield.llm import op10_language as op10
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+# 1
+
+ITEMS = [(0, "Which river flows through the old town of the northern valley region? It is the silver river of the elder kings."), (1, "Name the smallest planet that circles our sun without any moon at all. Mercury has no moon and is smallest."), (2, None), (None, "a null id"), (3, ""), (4, "two words"), (5, "one single long sentence without an ending that goes on for some twenty words or so until it is done here")]
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame(ITEMS, "item_id long, text string")
+
+
+def test_copies_of_items_are_found(spark, items):
+    r = random.Random(3)
+    filler = lambda n: " ".join(r.choice("the a of river town planet is it and moon long word some here done old".split()) for _ in range(n))
+    rows, want = [], set()
+    for i in range(120):
+        text, found = filler(r.randint(0, 700)), None
+        if i % 3 == 0:
+            k, item = r.choice([x for x in ITEMS if x[1] and x[0] is not None and len(x[1].split()) > 8])
+            item = item.upper() if i % 2 else item.replace(" ", " \n ")
+            text, found = f"{text} {item} {filler(r.randint(0, 300))}", k
+        rows.append((i, text))
+        if found is not None:
+            want.add((i, found))
+    got = op1.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    kept = op1.clean(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_near_copies_are_found_and_scattered_words_are_not(spark, items):
+    words = ITEMS[0][1].split()
+    edited = " ".join(w if i % 9 else "changed" for i, w in enumerate(words))
+    scattered = " and then ".join(random.Random(1).sample(words, len(words)))
+    got = op1.contaminated(spark.createDataFrame([(1, f"before {edited} after"), (2, scattered)], "doc_id long, text string"), items).collect()
+    assert [(x.doc_id, x.item_id) for x in got] == [(1, 0)]
+
+
+def test_block_bounds_lose_nothing(spark, sf):
+    """All items at or above their threshold by plain BM25 of every passage are what the index verifies."""
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = [r.text for r in docs(spark, sf).orderBy("doc_id").limit(60).collect()]
+    with np.errstate(over="ignore"):
+        index = op1.Index(bench)
+        seen = set()
+        index._verify = lambda words, bounds, first, passage, item, score, best: seen.add((int(np.searchsorted(first, passage, side="right")) - 1, item))
+        wanted = set()
+        for i, t in enumerate(texts):
+            seen.clear()
+            list(index.search(pa.array([t])))
+            got = {item for _, item in seen}
+            words = op1._hashes(t)
+            cells = max(1, -(-len(words) // index.stride))
+            exact = set()
+            for j in range(max(1, cells - 1)):
+                passage = np.unique(words[j * index.stride : (j + 2) * index.stride])
+                for b, (at, impact) in enumerate(index.impacts):
+                    score = impact[np.isin(index.terms[at], passage)].sum(axis=0)
+                    exact |= {b * op1.BLOCK + k for k in np.flatnonzero(score >= op1.SHARE * index.own[b * op1.BLOCK : b * op1.BLOCK + len(score)])}
+            assert got == exact
+            wanted |= exact
+        assert wanted
+
+
+def test_decontamination_of_awkward_rows(spark, awkward, nothing, items):
+    assert op1.contaminated(awkward, items).collect() == []
+    assert op1.clean(awkward, items).count() == awkward.count() and op1.clean(awkward, items).columns == awkward.columns
+    assert op1.contaminated(nothing, items).collect() == [] and op1.contaminated(awkward, items.limit(0)).collect() == []
+    assert op1.clean(nothing, items).collect() == []
+
+
+# 2
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")) or kind == "card" and not (16 <= len(d) <= 19 and op2.luhn(d)) or kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_patterns_equal_the_plain_search():
+    r = random.Random(2)
+    pieces = ["a", "b.", "@", "1", "23", ".", "-", " ", "+1", "(", ")", "255.", "x_", "é", "4111111111111111", "\n", ".com", "000"]
+    for _ in range(8000):
+        text = "".join(r.choices(pieces, k=r.randint(0, 30)))
+        assert op2.base_spans(text) == plain_spans(text)
+
+
+def test_patterns_are_linear_in_awkward_texts():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 100_000, "+1" * 100_000, "@" * 100_000, "1 " * 100_000):
+        op2.base_spans(text)
+
+
+def test_field_finds_held_out_entities():
+    field, right, made = op2.trained(), 0, op2.sentences(300, seed=123)
+    for text, spans in made:
+        right += field.decode(text) == spans
+    assert right / len(made) > 0.95
+
+
+def test_decoding_equals_trying_all_segmentations():
+    field, r = op2.trained(), random.Random(5)
+    for text, _ in op2.sentences(40, seed=77):
+        tokens = [m.span() for m in op2._TOKEN.finditer(text)]
+        options = [(i, j, field.score(what)) for i, j, what in field.candidates(text, tokens)]
+        options = [(i, j, k, s[k]) for i, j, s in options for k in range(len(op2.ADDED))]
+
+        def best(t, label, memo={}):  # noqa: B006
+            if t == len(tokens):
+                return 0.0
+            key = (text, t, label)
+            if key not in memo:
+                memo[key] = max([field.step[label, 0] + best(t + 1, 0)] + [field.step[label, k + 1] + s + best(j, k + 1) for i, j, k, s in options if i == t])
+            return memo[key]
+
+        got, label, t, value = field.decode(text), 0, 0, 0.0
+        chosen = {a: (b, op2.ADDED.index(k)) for k, a, b in got}
+        ends = {b: i + 1 for i, (_, b) in enumerate(tokens)}
+        while t < len(tokens):
+            if tokens[t][0] in chosen:
+                b, k = chosen[tokens[t][0]]
+                value += field.step[label, k + 1] + next(s for i, j, kk, s in options if i == t and j == ends[b] and kk == k)
+                t, label = ends[b], k + 1
+            else:
+                value, t, label = value + field.step[label, 0], t + 1, 0
+        assert value == pytest.approx(best(0, 0))
+
+
+def test_personal_data_rows(spark, sf, awkward, nothing):
+    for r in op2.personal_data(docs(spark, sf)).join(docs(spark, sf).select("doc_id", "text"), "doc_id").collect():
+        base = plain_spans(r.text)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in base) for k in op2.BASE]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
+    assert op2.personal_data(awkward).count() == awkward.count() and op2.personal_data(nothing).collect() == []
+    cleaned = op2.redacted(spark.createDataFrame([(1, "mail a.b@c.org or +1 202 555 0100 now", 7, "x")], "doc_id long, text string, n_chars long, extra string")).first()
+    assert (cleaned.text, cleaned.n_chars, cleaned.extra) == ("mail <email> or <phone> now", 27, "x")
+    assert op2.redacted(awkward).count() == awkward.count()
+
+
+# 4
+
+
+def test_tokens_equal_the_library(spark, sf, awkward, nothing):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = op4.Counter(path)
+    r = random.Random(5)
+    pieces = [*"ab 's\n\t  é1.,!", "<|endoftext|>", "the", "\xa0", " word", "\r\n", "　", "\x1c", "日本", "🎉", "e​f", "\x85"]
+    texts = [None, "", "  ", " \n\n  x\t\ty", "a  "] + ["".join(r.choices(pieces, k=r.randint(0, 60))) for _ in range(1500)]
+    with np.errstate(over="ignore"):
+        for _ in range(2):  # cold and warm
+            n_bytes, n_tokens = own.count(pa.array(texts))
+            assert n_tokens.tolist() == own.encode([t or "" for t in texts])
+            assert n_bytes.tolist() == [len((t or "").encode()) for t in texts]
+    for rows in (docs(spark, sf), awkward):
+        given = {(x.doc_id, x.text) for x in rows.collect()}
+        want = {i: own.encode([t or ""])[0] for i, t in given if i is not None}
+        got = op4.token_counts(rows, path, limit=100).collect()
+        assert len(got) == rows.count() and all(want[x.doc_id] == x.n_tokens and x.over_limit == (x.n_tokens > 100) for x in got if x.doc_id is not None)
+    assert op4.token_counts(nothing, path).collect() == []
+
+
+# 6
+
+
+def test_fill():
+    assert op6.fill([], 1.5, 2, (5, 2, 1)) == [] and op6.fill([0, 0], 1.5, 2, (5, 2, 1)) == [0, 0]
+    assert op6.fill([10], 1.5, 2, (5, 2, 1)) == [15]
+    r = random.Random(1)
+    for _ in range(200):
+        sizes = [r.choice([0, 1, 5, 100, 10_000]) * r.randint(0, 9) for _ in range(r.randint(1, 12))]
+        t = op6.fill(sizes, 1.5, 2, (5, 2, 1))
+        assert sum(t) == pytest.approx(1.5 * sum(sizes)) and all(x <= 2 * s for x, s in zip(t, sizes))
+        levels = {round(x / [5, 2, 1][i % 3], 6) for i, (x, s) in enumerate(zip(t, sizes)) if x < 2 * s}
+        assert len(levels) <= 1
+
+
+def test_mixture(spark, sf, awkward, nothing):
+    for rows in (docs(spark, sf), awkward):
+        got, again = op6.mixture(rows).collect(), op6.mixture(rows.repartition(3)).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == rows.count()
+        by = {}
+        for x in got:
+            by.setdefault((x.source_size, x.target), []).append(x)
+            assert 0 <= x.taken <= 2 * x.size
+        assert sum(x.taken for x in got) == pytest.approx(1.5 * sum(x.size for x in got), abs=len(by) * 40)
+    one = rows.where("doc_id = 11").select("doc_id", "text", "source")
+    assert {x.size for x in op6.mixture(one).collect()} == {44}
+    assert op6.mixture(nothing).collect() == []
+
+
+def test_mix_takes_exactly_the_target(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 17).cast("int")).alias("text"))
+    sums = op6.mixture(rows).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(sums) == 3 and all(x.taken == int(x.target) for x in sums)
+
+
+# 7
+
+
+def test_kth_largest(spark):
+    r = random.Random(9)
+    values = [r.randint(-(1 << 62), 1 << 62) for _ in range(300)] + [5] * 40 + [-1, 0, 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for k in (1, 2, 100, 180, 190, 200, len(values)):
+        v, m = op7.kth_largest(df, "v", k)
+        assert v == sorted(values, reverse=True)[k - 1] and sum(x > v for x in values) + m == k
+
+
+def test_resampling(spark, sf, awkward, nothing):
+    rows, labels = docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    got = op7.resampled(rows, labels, share=0.3).collect()
+    assert sum(x.selected for x in got) == 60 and len(got) == 200
+    chosen = sorted(got, key=lambda x: (-x.key, x.doc_id))[:60]
+    assert {x.doc_id for x in chosen} == {x.doc_id for x in got if x.selected}
+    assert op7.resampled(awkward, labels).count() == awkward.count()
+    assert op7.resampled(nothing, labels).collect() == [] and op7.resampled(awkward, labels.limit(0)).agg(F.max(F.abs("log_weight"))).first()[0] == 0
+
+
+def test_weights_favour_the_target(spark):
+    r = random.Random(2)
+    make = lambda good: " ".join(r.choice("alpha beta gamma delta".split() if good else "alpha junk spam noise".split()) for _ in range(80))
+    rows = [(i, make(i % 2 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(0, 100)], "doc_id long, quality int")
+    got = op7.resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels, share=0.5).collect()
+    assert sum(x.doc_id % 2 == 0 for x in got if x.selected) > 195
+
+
+# 10
+
+
+def test_costs_are_code_lengths():
+    m = op10.Model({"x": ["abab abba baab"] * 5, "y": ["cd dc ccdd"]})
+    for _, cost in m.trees:
+        assert (np.abs((2.0 ** (-cost.reshape(-1, m.symbols) / op10.PARTS)).sum(axis=1) - 1) < 1e-3).all()
+    texts = ["", "abba", "dcdc!", "zz", None, "aé日"]
+    data, offsets = op10.utf8(pa.array(texts))
+    got = m.lengths(data, offsets, 0, len(texts))
+    for i, t in enumerate(texts):  # symbol by symbol
+        s = m.map[op10.folded(np.frombuffer((t or "").encode(), np.uint8))].tolist()
+        for k, (node, cost) in enumerate(m.trees):
+            past, total = [0] * op10.ORDER, 0
+            for x in s:
+                total += cost[node[sum(p * m.symbols ** (op10.ORDER - 1 - j) for j, p in enumerate(past))] * m.symbols + x]
+                past = [*past[1:], x]
+            assert got[i, k] == total
+
+
+def test_languages_of_held_out_documents(spark, awkward, nothing):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op10.train(rows)
+    got = {x.doc_id: x for x in op10.languages(rows, model).collect()}
+    for r in rows.select("doc_id", "lang").collect():
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    held = [r for r in rows.collect() if got[r.doc_id].held_out]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.97
+    assert all(0 <= x.score <= 1 for x in got.values())
+    odd = {r.text: r for r in op10.languages(awkward, model).join(awkward.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect()}
+    assert odd[""].lang_pred == odd["12345 !!! ---"].lang_pred == odd[None].lang_pred == "und" and odd["one two"].lang_pred != "und"
+    assert op10.languages(awkward, model).count() == awkward.count() and op10.languages(nothing, model).collect() == []
+    kept = op10.with_language(awkward, model)
+    assert kept.columns == awkward.columns and kept.where("trim(text) = '' or text is null").count() == 0
+    assert {x.lang_pred for x in op10.languages(awkward, op10.train(nothing)).collect()} == {"und"}
