@@ -91,7 +91,7 @@ class Model:
             wide = np.tile(node, s) if k else node  # a context not known stands for its longest known ending
             ids = np.arange(base, base + len(known))
             wide = wide.copy()
-            wide[known if k else 0] = ids
+            wide[known] = ids
             node, base = wide.astype(np.int32), base + len(known)
             at = node.astype(np.int64)
             rows.append(own)
