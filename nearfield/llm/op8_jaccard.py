@@ -34,8 +34,8 @@ RATIO = 1.5
 #: Members of a block that are compared with those of another, and sets that are checked against a hub in one group.
 BLOCK, GROUP = 2048, 256
 #: Hubs that a set is checked against; rounds in which blocks give each set's BEST pairs only, before all that are left.
-HUBS, ROUNDS, BEST = 2, 1, 2
-#: Sets to fetch again are found by a broadcast of their documents' ids up to this many, by a shuffled join beyond.
+HUBS, ROUNDS, BEST = 1, 1, 2
+#: Texts of sets to be intersected are found by a broadcast of their documents' ids up to this many, by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -111,7 +111,7 @@ def set_id(x: np.ndarray) -> int:
 
 def _scan(batches: Iterator[pa.RecordBatch], words: int, band: Banding) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, ids, sigs, lengths, seen = [], [], [], [], set()
+        sizes, ids, sigs, lengths, bits, seen = [], [], [], [], [], set()
         nameless = batch.column(0).is_null().to_pylist()
         for i, x in shingle_sets(batch.column(1), words):
             own = set_id(x) if len(x) and not nameless[i] else None
@@ -119,14 +119,16 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int, band: Banding) -> Itera
             ids.append(own)
             if own is None or own in seen:  # copies in a batch list nothing: their buckets are the same
                 lengths.append(0)
+                bits.append(None)
                 continue
             seen.add(own)
             with np.errstate(over="ignore"):
                 sigs.append(band.signatures(x))
             lengths.append(len(sigs[-1]))
+            bits.append(bitmap(x))
         flat = (np.concatenate(sigs) if sigs else np.empty(0, np.uint64)).view(np.int64)
         at = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))], names=["doc_id", "n_shingles", "set_id", "sigs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sigs", "bitmap"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,31 +190,28 @@ def links(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(set_id, n, elements, bitmap) of the texts."""
+    """(set_id, n, elements) of the texts."""
     for batch in batches:
         for lo in range(0, len(batch), GROUP):
             part = batch.slice(lo, GROUP)
             sets = [x for _, x in shingle_sets(part.column(1), words)]
             mine = [len(x) > 0 and set_id(x) == k for x, k in zip(sets, part.column(0).to_pylist(), strict=True)]  # an id may stand for several texts
             part, sets = part.filter(pa.array(mine, pa.bool_())), [x for x, own in zip(sets, mine, strict=True) if own]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([bitmap(x) for x in sets], pa.binary())], names=["set_id", "n", "elements", "bitmap"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["set_id", "n", "elements"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, part, member, n, elements, bitmap), a hub's own first: the pairs (hub, member) that link."""
-    key, hub, hub_n, hub_bits = None, None, 0, b""
+    """Rows (hub, part, member, n, elements), a hub's own first: the pairs (hub, member) that link."""
+    key, hub = None, np.empty(0, np.uint64)
     for batch in batches:
-        hubs, parts, members, ns, bits = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))
-        elements = batch.column(4)
-        flat, at = elements.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(ns)])
+        hubs, parts, members, ns = (batch.column(i).to_pylist() for i in range(4))
+        flat, at = batch.column(4).flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(ns)])
         found: list[tuple[int, int]] = []
         for i, k in enumerate(zip(hubs, parts, strict=True)):
             x = flat[at[i] : at[i + 1]]
             if k != key:
-                key, hub, hub_n, hub_bits = k, x.copy(), ns[i], bits[i]
-                continue
-            pair = folded([hub_bits, bits[i]])
-            if reaches(overlap(pair[0], hub_n, pair[1:], np.array([ns[i]])), hub_n, ns[i], num, den)[0] and links(hub, x, num, den):
+                key, hub = k, x.copy()
+            elif members[i] != hubs[i] and links(hub, x, num, den):
                 found.append((hubs[i], members[i]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
@@ -257,6 +256,14 @@ def _hub_pairs(rest: DataFrame) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
 
 
+def _undominated(named: DataFrame, opened: DataFrame) -> DataFrame:
+    """(sig, blocks) of the open buckets, but for those whose sets all have one other bucket as their largest: it holds all their pairs."""
+    sized = named.join(opened, "sig").select("sig", "set_id", "size")
+    largest = sized.groupBy("set_id").agg(F.max(F.struct("size", "sig"))["sig"].alias("largest"))
+    spread = sized.join(largest, "set_id").groupBy("sig", "size").agg(F.min("largest").alias("lo"), F.max("largest").alias("hi"))
+    return spread.where("lo <> hi or lo = sig").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+
+
 def _tile_pairs(rest: DataFrame, opened: DataFrame, sets: DataFrame, num: int, den: int, best: int) -> DataFrame:
     """Pairs (a, b) of sets of different components that share an open bucket and pass the bound, block by block."""
     members = rest.join(opened, "sig").select("sig", "set_id", "component", "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"))
@@ -266,12 +273,37 @@ def _tile_pairs(rest: DataFrame, opened: DataFrame, sets: DataFrame, num: int, d
     return tiles.groupBy("sig", "one", "two").applyInArrow(lambda key, table: _compare(key, table, num, den, best), "a long, b long").distinct()
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, n and bitmap of a, n and bitmap of b), the pairs that pass the bitmaps' bound."""
+    for batch in batches:
+        keep = []
+        for n, one, m, two in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            pair = folded([one, two])
+            keep.append(bool(reaches(overlap(pair[0], n, pair[1:], np.array([m])), n, m, num, den)[0]))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _bounded_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link; only bitmaps move."""
+    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bits_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return rows.mapInArrow(partial(_bounded, num=num, den=den), "a long, b long")
+
+
+def _elements(pairs: DataFrame, scanned: DataFrame, texts: DataFrame, words: int, scratch: Scratch, turn: int) -> DataFrame:
+    """(set_id, n, elements) of the sets of pairs, made again from the text of one document each."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    owners = scratch.table(scanned.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), f"owners-{turn}")
+    owners = F.broadcast(owners) if owners.count() <= BROADCAST_IDS else owners
+    return texts.join(owners, "doc_id").select("set_id", "text").mapInArrow(partial(_fetch, words=words), "set_id long, n long, elements array<long>")
+
+
 def _check_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link. A hub a with many partners is dealt out in parts of about GROUP, each with the hub's set."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     to = pairs.join(parts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("set_id"), F.lit(1).alias("turn"))
     own = parts.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("set_id"), F.lit(0).alias("turn"))
-    rows = own.union(to).join(sets, "set_id").select("hub", "part", F.col("set_id").alias("member"), "n", "elements", "bitmap", "turn")
+    rows = own.union(to).join(sets, "set_id").select("hub", "part", F.col("set_id").alias("member"), "n", "elements", "turn")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "turn", "member")
     return rows.mapInArrow(partial(_verify, num=num, den=den), "a long, b long")
 
@@ -289,22 +321,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, band = docs.sparkSession, Banding(num, den)
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = scratch.table(texts.mapInArrow(partial(_scan, words=words, band=band), "doc_id long, n_shingles long, set_id long, sigs array<long>"), "scan")
+    scanned = scratch.table(texts.mapInArrow(partial(_scan, words=words, band=band), "doc_id long, n_shingles long, set_id long, sigs array<long>, bitmap binary"), "scan")
     listed = scanned.select(F.explode("sigs").alias("sig"), "set_id").repartition("sig").sortWithinPartitions("sig", "set_id")
     shared = scratch.table(listed.mapInArrow(_shared, "sig long, set_id long"), "shared")
 
-    # the sets that share a bucket, from one document each
-    owners = scanned.join(shared.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    owners = scratch.table(owners, "owners")
-    few = owners.count() <= BROADCAST_IDS
-    picked = texts.join(F.broadcast(owners) if few else owners, "doc_id").select("set_id", "text")
-    fetched = picked.mapInArrow(partial(_fetch, words=words), "set_id long, n long, elements array<long>, bitmap binary")
-    sets = scratch.table(fetched, "sets")
+    sets = scanned.where("bitmap is not null").join(shared.select("set_id").distinct(), "set_id", "left_semi")
+    sets = scratch.table(sets.select("set_id", F.col("n_shingles").alias("n"), "bitmap"), "sets")
+    scanned = scratch.table(scanned.select("doc_id", "n_shingles", "set_id"), "sizes")
+    scratch.drop("scan")
+    spark._jvm.System.gc()  # the shuffle files of the buckets go when the driver's JVM collects its garbage
 
     edges, rest = None, shared.withColumn("component", F.col("set_id"))
     for turn, how in enumerate(("hub", *("best",) * ROUNDS, "all")):
-        pairs = _hub_pairs(rest) if how == "hub" else _tile_pairs(rest, opened, sets, num, den, BEST if how == "best" else 0)
-        found = scratch.table(_check_pairs(scratch.table(pairs, f"pairs-{turn}"), sets, num, den), f"edges-{turn}")
+        pairs = _bounded_pairs(_hub_pairs(rest), sets, num, den) if how == "hub" else _tile_pairs(rest, opened, sets, num, den, BEST if how == "best" else 0)
+        pairs = scratch.table(pairs, f"pairs-{turn}")
+        found = scratch.table(_check_pairs(pairs, _elements(pairs, scanned, texts, words, scratch, turn), num, den), f"edges-{turn}")
         edges = found if edges is None else edges.union(found)
         groups = components(edges, scratch, f"cc-{turn}")
         if how == "all":
@@ -314,7 +345,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         named = scratch.table(named, f"named-{turn}")
         opened = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(set_id))").alias("content")).where("lo <> hi")
         opened = opened.groupBy("size", "content").agg(F.min("sig").alias("sig"))
-        opened = scratch.table(opened.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), f"opened-{turn}")
+        opened = scratch.table(_undominated(named, opened), f"opened-{turn}")
         rest = named.join(opened, "sig", "left_semi")
 
     own = scanned.select("doc_id", "n_shingles", "set_id")
