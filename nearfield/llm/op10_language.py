@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textkit import capitals, chunks, utf8
 
 #: Longest context, in symbols.
@@ -185,17 +186,18 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     winner's bits a byte. Ties go to the first language by code point. Null ids and repeated rows are kept as they are;
     other columns are passed over.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(partial(_predict, model=docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double, rate double")
 
 
 def with_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs whose language is known with a score of at least `least`, with all their columns and repeats."""
-    kept = [c for c in docs.columns]
+    small_batches(docs.sparkSession)
 
     def choose(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, score, _ = model.value.predict(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
 
-    return docs.select(kept).mapInArrow(partial(choose, model=docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.mapInArrow(partial(choose, model=docs.sparkSession.sparkContext.broadcast(model)), docs.schema)

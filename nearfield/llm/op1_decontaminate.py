@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textkit import chunks, shingle_hashes, utf8, word_hashes
 
 #: Items and bytes of text of a shard (an item of more bytes is a shard of its own); items of a block; words of the shortest stride.
@@ -183,6 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     with a null id or no word are found nowhere; repeated items give equal rows. Other columns are passed over.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema, out = "doc_id long, item_id long, score double, share double, question_overlap double, answer_overlap double", None
     for index in indexes(benchmark):
@@ -200,6 +202,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                 dirty = {x[0] for x in index.value.search(batch.column(batch.schema.get_field_index(text_col)))}
                 yield batch.filter(pa.array([i not in dirty for i in range(len(batch))], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     for index in indexes(benchmark):
         docs = docs.mapInArrow(partial(keep, index=docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return docs

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textkit import chunks, utf8
 
 #: Kinds in the order in which spans are listed; the first four are the patterns'.
@@ -341,6 +342,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The counts and the digest are of the patterns' spans, `spans` lists the field's too; places are code points, ends
     exclusive. A null or empty text has no spans. Null ids and repeated rows are kept; other columns are passed over.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(partial(_spans, model=docs.sparkSession.sparkContext.broadcast(trained())), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
@@ -369,4 +371,5 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
                 columns[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(partial(rewrite, model=docs.sparkSession.sparkContext.broadcast(trained())), docs.schema)

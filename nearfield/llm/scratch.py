@@ -9,13 +9,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-_live: "weakref.WeakSet[Scratch]" = weakref.WeakSet()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,12 +27,21 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of rows that go to a Python worker at once; texts and what is made of them take several times that in each worker.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 class Scratch:
     """Tables of one operator call. Those that the result still reads stay until the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root, self.kept = spark, f"{shared_dir(spark)}/nearfield-{what}-{uuid.uuid4().hex}", set()
-        _live.add(self)
+        small_batches(spark)
         _pinned.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
