@@ -2,10 +2,15 @@
 
 Markup is stripped into lines, one for each block element's run of text. Elements that never hold an article (scripts,
 menus, headers, footers, sidebars, forms, notices, adverts, reader comments; known by tag, role, class or id) are left out, and
-each leaves a gap of empty lines behind, as the edges of ``<article>`` and ``<main>`` do. The lengths of text are summed over
-sliding windows of WINDOW lines: a window that rises from nothing is a surge, one that falls to nothing a dive, and the
-lines between a surge and the next dive are a stretch. Kept are the stretches inside the page's article; in a page that marks
-none, the longest stretch by text outside links and those at least SHARE of it.
+each leaves a gap of empty lines behind. In a page that marks its article (``<article>``, ``<main>``) the lines inside it are the text.
+
+In a page that marks none the distribution decides. The edge of each box (``<div>``, ``<section>``, ``<center>``) is an empty
+line, and the characters outside links are summed over sliding windows of WINDOW lines. Where the window that ends at a line
+rises to the page's level is a surge, where the window that begins at a line falls below it a dive; the lines between are a
+stretch. The level is DENSE of the page's largest window, but no more than SURGE characters. Kept are the longest stretch, those at
+least SHARE of it, and of the other runs of lines those that belong to the article: between two kept stretches, in the same box as
+a kept one, or headings right before one. Nothing is kept that is mostly links. A notice as dense and long as the article, in a
+box of its own with no telling name, can't be told from it.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Lines of a window; a stretch's text, of the longest one's, from which it is kept too; text in links above which it isn't.
 WINDOW, SHARE, LINKS = 3, 0.3, 0.5
+#: Window sum of a surge: of the page's largest window, and characters that always suffice.
+DENSE, SURGE = 0.3, 90
 
 # HTML element names by role.
 _RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video".split())
@@ -28,6 +35,8 @@ _NEVER = frozenset("head nav footer aside form button select menu dialog header
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption legend".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ROOT = frozenset(["article", "main"])
+_BOX = frozenset(["div", "section", "center"])
+_HEADING = frozenset(["h1", "h2", "h3"])
 # Words of class, id and role that mark what isn't the article.
 _MARKS = frozenset("ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments discussion disqus respond reply replies related recommended share sharing social newsletter subscribe subscription signup login search pagination pager skip copyright complementary contentinfo advert-box".split())
 _KEEP = frozenset("article content post entry story main body text".split())
@@ -55,21 +64,28 @@ def _unwanted(name: str, found: dict[str, str]) -> bool:
     return bool(words & _MARKS) and not (name in _ROOT and words & _KEEP)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) of each block in page order; ("", 0, False) three times for a gap."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
+    """(text, characters in links, inside an article, number of the box, is a heading) of each block in page order.
+
+    An empty text is the edge of a box; WINDOW of them are a gap.
+    """
+    out: list[tuple[str, int, bool, int, bool]] = []
+    boxes: list[tuple[str, int]] = [("", 0)]
+    count = 0
+    heading = False
     held: list[str] = []
     linked = at = inside = 0
     link = False
     skip: str | None = None
     deep = 0
-    gap = [("", 0, False)] * WINDOW
+    edge = ("", 0, False, 0, False)
+    gap = [edge] * WINDOW
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            out.append((text, min(linked, len(text)), inside > 0))
+            out.append((text, min(linked, len(text)), inside > 0, boxes[-1][1], heading))
         held.clear()
         linked = 0
 
@@ -119,6 +135,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         elif name in _ROOT or name in _BLOCK:
             flush()
             link = False
+            heading = not closing and name in _HEADING
+            if name in _BOX and not rest.endswith("/"):
+                out.append(edge)
+                if not closing:
+                    count += 1
+                    boxes.append((name, count))
+                elif any(x == name for x, _ in boxes):
+                    while boxes.pop()[0] != name:
+                        pass
             if name in _ROOT:
                 inside = max(0, inside - 1) if closing else inside + 1
                 if inside == (0 if closing else 1):
@@ -131,26 +156,46 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _runs(lines: list[tuple[str, int, bool, int, bool]]) -> list[tuple[bool, list[tuple[str, int, bool, int, bool]]]]:
+    """(between a surge and its dive, lines) of each run of lines in page order; other lines part where the box changes."""
+    plain = np.array([len(x[0]) - x[1] for x in lines])
+    before = np.convolve(plain, np.ones(WINDOW, dtype=np.int64), "full")[: len(lines)]  # the window that ends at each line
+    after = np.convolve(plain, np.ones(WINDOW, dtype=np.int64), "full")[WINDOW - 1 :]  # and the one that begins there
+    level = max(1, min(DENSE * before.max(), SURGE))
+    runs: list[tuple[bool, list[tuple[str, int, bool, int, bool]]]] = []
+    broken = True
+    for line, a, b in zip(lines, before, after, strict=True):
+        if not line[0]:
+            broken = broken or a == 0
+            continue
+        alive = bool(a >= level and b >= level)
+        if broken or runs[-1][0] != alive or not alive and runs[-1][1][-1][3] != line[3]:
+            runs.append((alive, []))
+        runs[-1][1].append(line)
+        broken = False
+    return runs
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by newlines; empty if there is none."""
     lines = lines_of(page)
-    if not lines:
+    kept = [x for x in lines if x[2] and x[0]]
+    if kept or not lines:
+        return "\n".join(x[0] for x in kept)
+    runs = _runs(lines)
+    sizes = [(sum(len(x[0]) for x in part), sum(x[1] for x in part)) for _, part in runs]
+    free = [linked <= LINKS * text for text, linked in sizes]
+    most = max((text - linked for (text, linked), (alive, _), ok in zip(sizes, runs, free, strict=True) if alive and ok), default=0)
+    take = [alive and ok and text - linked >= SHARE * most for (text, linked), (alive, _), ok in zip(sizes, runs, free, strict=True)]
+    chosen = [i for i, x in enumerate(take) if x]
+    if not chosen:
         return ""
-    sizes = np.array([len(x[0]) for x in lines])
-    sums = np.convolve(sizes, np.ones(WINDOW, dtype=np.int64), "full")  # sums[i]: lines i - WINDOW + 1 to i
-    alive = np.concatenate([[False], sums > 0, [False]])
-    surges, dives = np.flatnonzero(alive[1:] & ~alive[:-1]), np.flatnonzero(alive[:-1] & ~alive[1:])
-    stretches = []
-    for a, b in zip(surges, dives, strict=True):
-        part = [x for x in lines[a : min(b, len(lines))] if x[0]]
-        text, linked = sum(len(x[0]) for x in part), sum(x[1] for x in part)
-        stretches.append((part, text, linked, part[0][2]))
-    kept = [x for x in stretches if x[3]]
-    if not kept:
-        free = [x for x in stretches if x[2] <= LINKS * x[1]]
-        most = max((x[1] - x[2] for x in free), default=0)
-        kept = [x for x in free if x[1] - x[2] >= SHARE * most]
-    return "\n".join(x[0] for part, *_ in kept for x in part)
+    places = {x[3] for i in chosen for x in runs[i][1]}
+    for i in range(len(runs) - 1, -1, -1):
+        part = runs[i][1]
+        titles = i + 1 < len(runs) and take[i + 1] and all(x[4] for x in part)
+        take[i] = take[i] or free[i] and (chosen[0] < i < chosen[-1] or part[0][3] in places or titles)
+    return "\n".join(x[0] for ok, (_, part) in zip(take, runs, strict=True) if ok for x in part)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,24 @@ def test_main_text(page, text):
     assert op3.main_text(page) == text
 
 
+LONG = "A sentence of the article goes on for quite a while, so that its line is a long one. " * 3
+PARA = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div id=top><p>Your region: north</p><p>Help</p></div><div id=x1><p>{LONG}</p><p>{LONG}</p></div><div id=y>All rights kept</div></body>", f"{PARA}\n{PARA}"),
+        (f"<body><div id=top><a href=/>Home</a> <a href=/b>Products and prices of all kinds, by name</a></div><div id=x1><h2>Head</h2><p>{LONG}</p></div></body>", f"Head\n{PARA}"),
+        (f"<div id=x1><p>{LONG}</p><p>{LONG}</p><div class=ad>Buy</div><p>A short end.</p></div><div id=y><p>Bottom words</p></div>", f"{PARA}\n{PARA}\nA short end."),
+        (f"<div id=x1><p>{LONG}</p></div><aside>More</aside><div id=x2><p>Short.</p></div><aside>More</aside><div id=x3><p>{LONG}</p></div>", f"{PARA}\nShort.\n{PARA}"),
+        (f"<div id=top>Site words</div><div id=t><h1>Title</h1></div><div id=x1><p>{LONG}</p></div>", f"Title\n{PARA}"),
+    ],
+)
+def test_density_tells_the_article_where_nothing_marks_it(page, text):
+    assert op3.main_text(page) == text
+
+
 def test_extraction_of_awkward_rows(spark, odd):
     got = op3.extracted(odd).collect()
     assert len(got) == 8 and all(r.n_chars == len(r.text) for r in got)
