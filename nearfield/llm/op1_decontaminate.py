@@ -5,7 +5,8 @@ and for each term and block the largest impact. Every passage of every text is a
 sum of its terms' largest impacts there; blocks whose bound stays below what their easiest item needs are skipped (the
 pivot rule of block-max WAND, taken for all passages and blocks of a batch at once), the items of the others are scored
 exactly, and all at or above their threshold, a share of the item's score against itself, are verified: word
-3-grams of the item's question and of its answer have to be in the passage. Passages are 2 * stride words, a stride apart,
+3-grams of the item's question and of its answer have to be in the passage (a part of one or two words is looked for as it is,
+and an item of less than SHORT words with such a part has to be there whole). Passages are 2 * stride words, a stride apart,
 where a stride is no shorter than the longest item, so an item's copy always lies whole in one.
 
 The index is made in shards of bounded size, each broadcast and met by a scan of its own. Nothing is shuffled.
@@ -30,7 +31,7 @@ ITEMS, BYTES, BLOCK, STRIDE = 1024, 1 << 19, 8, 64
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is verified; overlaps asked for; words below which an item must be there whole.
 SHARE, QUESTION, ANSWER, SHORT = 0.55, 0.5, 0.5, 8
-#: Overlap of the question with which the answer may be missing.
+#: Overlap of the question with which the answer may be missing, if the question has a 3-gram.
 ALONE = 0.8
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -50,9 +51,9 @@ def _hashes(text: str) -> np.ndarray:
     return word_hashes(data, offsets, 0, 1, letters=True)[0]
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    """Distinct 3-grams, or the whole sequence of fewer words."""
-    return np.unique(shingle_hashes(words, np.array([0, len(words)]), 3)[0])
+def grams(words: np.ndarray, n: int = 3) -> np.ndarray:
+    """Distinct n-grams, or the whole sequence of fewer words."""
+    return np.unique(shingle_hashes(words, np.array([0, len(words)]), n)[0])
 
 
 class Index:
@@ -60,7 +61,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         with np.errstate(over="ignore"):
-            coded = [(k, _hashes(text), *(grams(_hashes(x)) for x in split_item(text))) for k, text in items]
+            coded = [(k, _hashes(text), *(_hashes(x) for x in split_item(text))) for k, text in items]
         coded = [x for x in coded if len(x[1])]
         lengths = np.array([len(x[1]) for x in coded], dtype=np.float64)
         mean = lengths.mean() if len(coded) else 1.0
@@ -70,21 +71,24 @@ class Index:
         for (k, words, question, answer), n in zip(coded, lengths, strict=True):
             own, tf = np.unique(words, return_counts=True)
             at = np.searchsorted(terms, own)
-            scored.append((k, question, answer, at, (idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))).astype(np.float32), int(n)))
-        scored.sort(key=lambda x: (float(x[4].sum()), x[0]))
+            parts = [(grams(x), min(3, len(x))) for x in (question, answer)]
+            if n < SHORT and any(0 < x[1] < 3 for x in parts):
+                parts.append((grams(words), min(3, len(words))))
+            scored.append((k, parts, at, (idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))).astype(np.float32), int(n)))
+        scored.sort(key=lambda x: (float(x[3].sum()), x[0]))
         self.terms, self.stride = terms, max(STRIDE, int(lengths.max(initial=0)))
         self.ids = [x[0] for x in scored]
-        self.parts = [(x[1], x[2], x[5]) for x in scored]
-        self.own = np.array([x[4].sum() for x in scored], dtype=np.float32)
+        self.parts = [(x[1], x[4]) for x in scored]
+        self.own = np.array([x[3].sum() for x in scored], dtype=np.float32)
         blocks = [scored[i : i + BLOCK] for i in range(0, len(scored), BLOCK)]
         self.most = np.zeros((len(terms), len(blocks)), dtype=np.float32)
         self.need = np.array([SHARE * self.own[i * BLOCK] for i in range(len(blocks))], dtype=np.float32)
         self.impacts = []
         for b, block in enumerate(blocks):
-            at = np.unique(np.concatenate([x[3] for x in block]))
+            at = np.unique(np.concatenate([x[2] for x in block]))
             impact = np.zeros((len(at), len(block)), dtype=np.float32)
             for j, x in enumerate(block):
-                impact[np.searchsorted(at, x[3]), j] = x[4]
+                impact[np.searchsorted(at, x[2]), j] = x[3]
             self.most[at, b] = impact.max(axis=1)
             self.impacts.append((at, impact))
 
@@ -139,14 +143,11 @@ class Index:
     def _verify(self, words: np.ndarray, bounds: np.ndarray, first: np.ndarray, passage: int, item: int, score: float, best: dict) -> None:
         row = int(np.searchsorted(first, passage, side="right")) - 1
         start = bounds[row] + (passage - first[row]) * self.stride
-        there = grams(words[start : min(start + 2 * self.stride, bounds[row + 1])])
-        question, answer, size = self.parts[item]
-        if size < 3:  # too short for 3-grams: the words themselves, in order
-            span = words[start : min(start + 2 * self.stride, bounds[row + 1])]
-            there = shingle_hashes(span, np.array([0, len(span)]), size)[0] if len(span) >= size else there
-        q = float(np.isin(question, there).mean()) if len(question) else 1.0
-        a = float(np.isin(answer, there).mean()) if len(answer) else 1.0
-        good = q == 1 == a if size < SHORT else q >= QUESTION and (a >= ANSWER or q >= ALONE)
+        span = words[start : min(start + 2 * self.stride, bounds[row + 1])]
+        parts, size = self.parts[item]
+        there = {n: grams(span, n) for n in {n for _, n in parts if n}}
+        q, a, *whole = (float(np.isin(x, there[n]).mean()) if n else 1.0 for x, n in parts)
+        good = q == 1 == a and whole in ([], [1]) if size < SHORT else q >= QUESTION and (a >= ANSWER or q >= ALONE and parts[0][1] == 3)
         if good:
             found = (score, score / float(self.own[item]), q, a)
             best[row, item] = max(found, best.get((row, item), found), key=lambda x: (x[2] + x[3], x[0]))
@@ -179,7 +180,8 @@ def _find(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, share, question_overlap, answer_overlap) for every row of docs and every test item in it.
 
-    Overlaps are shares of the question's and the answer's word 3-grams found in the best passage. Rows of docs without a
+    Overlaps are shares of the question's and the answer's word 3-grams found in the best passage (of a part of one or two words,
+    1 if it is there and else 0). Rows of docs without a
     find, null and empty texts among them, aren't returned; null ids and repeated rows of docs are kept as they are. Items
     with a null id or no word are found nowhere; repeated items give equal rows. Other columns are passed over.
     """

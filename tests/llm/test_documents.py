@@ -53,6 +53,19 @@ def test_copies_of_items_are_found(spark, items):
     assert {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+SHORTS = ["Zebra?", "Big zebra", "Big zebra stripes", "Name the largest planet", "Who wrote the red book", "What is the capital of Freedonia", "Who was the first king of Ruritania", "2 + 2 = ? The answer to this is of course four.", "7 * x = ? Then x has to be one of the even numbers below ten."]
+
+
+def test_copies_of_short_items_are_found(spark):
+    bench = spark.createDataFrame(list(enumerate(SHORTS)), "item_id long, text string")
+    rows = [(k, f"some words before it {x} and then more of them") for k, x in enumerate(SHORTS)]
+    apart = [(100, "name it here, then comes the largest planet"), (101, "book red the wrote who"), (102, "it is 2 2 and this answer of four is to course the")]
+    got = op1.contaminated(spark.createDataFrame(rows + apart, "doc_id long, text string"), bench).collect()
+    found = {(x.doc_id, x.item_id) for x in got}
+    assert {(k, k) for k in range(len(SHORTS))} <= found and found - {(k, k) for k in range(len(SHORTS))} == {(1, 0), (2, 0), (2, 1)}
+    assert all(x.question_overlap == x.answer_overlap == 1 for x in got)
+
+
 def test_near_copies_are_found_and_scattered_words_are_not(spark, items):
     words = ITEMS[0][1].split()
     edited = " ".join(w if i % 9 else "changed" for i, w in enumerate(words))
