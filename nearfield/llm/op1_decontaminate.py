@@ -9,7 +9,8 @@ exactly, and all at or above their threshold, a share of the item's score agains
 and an item of less than SHORT words with such a part has to be there whole). Passages are 2 * stride words, a stride apart,
 where a stride is no shorter than the longest item, so an item's copy always lies whole in one.
 
-The index is made in shards of bounded size, each broadcast and met by a scan of its own. Nothing is shuffled.
+The index is made in shards of bounded size, each broadcast and met by a scan of its own. Counts of items and of a term's items, the
+mean and the longest item are those of the whole benchmark, so shards don't change what is found. Texts aren't shuffled.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,17 +59,62 @@ def grams(words: np.ndarray, n: int = 3) -> np.ndarray:
     return np.unique(shingle_hashes(words, np.array([0, len(words)]), n)[0])
 
 
+class Statistics(NamedTuple):
+    """Of the items with a word: how many, words of the mean and of the longest, and the items of each term in more than one (sorted hashes)."""
+
+    count: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    def items_of(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.ones(len(terms), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, self.df[at], 1)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, items, words, longest) of batches of texts: a row for each term, and one without a term for the batch."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for lo, hi in chunks(offsets):
+                words, bounds = word_hashes(data, offsets, lo, hi, letters=True)
+                sizes = np.diff(bounds)
+                each = [np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                terms, df = np.unique(np.concatenate(each), return_counts=True)
+                none = pa.nulls(len(terms), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(df, pa.int64()), none, none], names=["term", "items", "words", "longest"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([None], [int((sizes > 0).sum())], [len(words)], [int(sizes.max())])], names=["term", "items", "words", "longest"])
+
+
+def statistics(rows: DataFrame) -> Statistics:
+    """Of all rows (item_id, text), counted where they are; the driver gets 16 bytes for each term of more than one item."""
+    counted = rows.select("text").mapInArrow(_counted, "term long, items long, words long, longest long")
+    counted = counted.groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    found = counted.where("term is null or items > 1").toArrow()
+    whole = pc.is_null(found["term"])
+    (total,) = found.filter(whole).to_pylist() or [{"items": 0, "words": 0, "longest": 0}]
+    shared = found.filter(pc.invert(whole))
+    terms, df = shared["term"].to_numpy().view(np.uint64), shared["items"].to_numpy()
+    order = np.argsort(terms)
+    return Statistics(total["items"], total["words"] / max(1, total["items"]), total["longest"], terms[order], df[order])
+
+
 class Index:
-    """One shard."""
+    """One shard; without statistics of the whole it is the whole."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
         with np.errstate(over="ignore"):
             coded = [(k, _hashes(text), *(_hashes(x) for x in split_item(text))) for k, text in items]
         coded = [x for x in coded if len(x[1])]
         lengths = np.array([len(x[1]) for x in coded], dtype=np.float64)
-        mean = lengths.mean() if len(coded) else 1.0
         terms, df = np.unique(np.concatenate([np.unique(x[1]) for x in coded] or [np.empty(0, np.uint64)]), return_counts=True)
-        idf = np.log(1 + (len(coded) - df + 0.5) / (df + 0.5))
+        whole = whole or Statistics(len(coded), float(lengths.mean()) if len(coded) else 1.0, int(lengths.max(initial=0)), terms, df)
+        df, mean = whole.items_of(terms), whole.mean
+        idf = np.log(1 + (whole.count - df + 0.5) / (df + 0.5))
         scored = []
         for (k, words, question, answer), n in zip(coded, lengths, strict=True):
             own, tf = np.unique(words, return_counts=True)
@@ -76,7 +124,7 @@ class Index:
                 parts.append((grams(words), min(3, len(words))))
             scored.append((k, parts, at, (idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))).astype(np.float32), int(n)))
         scored.sort(key=lambda x: (float(x[3].sum()), x[0]))
-        self.terms, self.stride = terms, max(STRIDE, int(lengths.max(initial=0)))
+        self.terms, self.stride = terms, max(STRIDE, whole.longest)
         self.ids = [x[0] for x in scored]
         self.parts = [(x[1], x[4]) for x in scored]
         self.own = np.array([x[3].sum() for x in scored], dtype=np.float32)
@@ -156,16 +204,17 @@ class Index:
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """The shards; the driver holds one shard's texts at a time."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    whole = statistics(rows)
     held, room = [], BYTES
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         size = len(r.text.encode())
         if held and (len(held) == ITEMS or size > room):
-            yield Index(held)
+            yield Index(held, whole)
             held, room = [], BYTES
         held.append((r.item_id, r.text))
         room -= size
     if held:
-        yield Index(held)
+        yield Index(held, whole)
 
 
 def _find(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:

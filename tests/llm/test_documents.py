@@ -74,6 +74,22 @@ def test_near_copies_are_found_and_scattered_words_are_not(spark, items):
     assert [(x.doc_id, x.item_id) for x in got] == [(1, 0)]
 
 
+def test_shards_change_no_finds(spark, sf, monkeypatch):
+    """Scores and finds are those of the whole benchmark, wherever its shards begin."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (None, "a null id " * 40), (901, " . ")], "item_id long, text string")).repartition(3)
+    texts = [" ".join(w if i % 5 else "changed" for i, w in enumerate(r.text.split())) for r in bench.where("item_id < 900").orderBy("item_id").collect() if r.text]
+    rows = docs(spark, sf).select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 1 << 40)), "doc_id long, text string"))
+    found = []
+    for n in (1024, 7):
+        monkeypatch.setattr(op1, "ITEMS", n)
+        made = list(op1.indexes(bench))
+        assert len(made) == -(-(bench.where("item_id is not null and text is not null").count()) // n)
+        found.append(sorted((x.doc_id, x.item_id, round(x.score, 3), round(x.share, 4), x.question_overlap, x.answer_overlap) for x in op1.contaminated(rows, bench).collect()))
+        alone = op1.Index([(r.item_id, r.text) for r in bench.where("item_id is not null and text is not null").collect()])
+        assert {x.stride for x in made} == {alone.stride} and np.allclose(np.sort(np.concatenate([x.own for x in made])), np.sort(alone.own))
+    assert found[0] and found[0] == found[1]
+
+
 def test_block_bounds_lose_nothing(spark, sf):
     """All items at or above their threshold by plain BM25 of every passage are what the index verifies."""
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
