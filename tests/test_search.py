@@ -10,6 +10,7 @@ from nearfield.functions.predicates import Predicate as P
 from nearfield.operators import measure
 from nearfield.operators.coded import coded_knn
 from nearfield.operators.search import knn, knn_columns
+from nearfield.plans import queries as plans
 from nearfield.sources.workdir import fresh
 
 
@@ -148,3 +149,16 @@ def test_graph(spark):
         api.GraphIndex.build(spark, fresh(spark, "t"), api.vectors(spark, []))
     with pytest.raises(ValueError):
         api.search(index, [1.0, 2.0])
+
+
+@pytest.mark.parametrize("name", ["ivf_build", "graph_search"])
+def test_recall_verdicts_rest_on_rows_of_the_whole_table(spark, sf, name, monkeypatch):
+    asked, recall = set(), plans.measure.recall
+
+    def spied(found, truth, k):
+        asked.update(r.q_id for r in truth.select("q_id").distinct().collect())
+        return recall(found, truth, k)
+
+    monkeypatch.setattr(plans.measure, "recall", spied)
+    (row,) = plans.QUERIES[name](spark, sf).collect()
+    assert row.recall_ok and asked == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
