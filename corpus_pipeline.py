@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before has kept; each result is written as
 Parquet and read again. All stages but the last return the columns of documents, the last adds the mix's.
-Null texts go with the first stage (they have no language). Of rows that repeat an id one stays after the second. Rows
+Null texts go with the first stage (they have no language). Of rows that repeat an id and a text one stays after the second. Rows
 without an id pass all stages but the last: nothing names them, so the mix can't cut them and leaves them out. Other columns
 are kept.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.op1_decontaminate import clean
 from nearfield.llm.op2_pii import redacted
 from nearfield.llm.op6_mix import mixture
-from nearfield.llm.op8_jaccard import jaccard_groups
+from nearfield.llm.op8_jaccard import jaccard_groups, with_set
 from nearfield.llm.op10_language import train, with_language
 from nearfield.llm.scratch import Scratch
 
@@ -29,16 +29,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id. Of rows that repeat an id, one."""
-    groups = jaccard_groups(docs, words=SHINGLE, num=SIMILAR, den=100)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: that of the smallest id. Texts that share an id are told apart; of equal ones, or of one group, one stays."""
     again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = Scratch(spark, "pipeline").table(again, "again")
-    if not again.count():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    repeated = again.count() > 0
+    groups = jaccard_groups(docs, words=SHINGLE, num=SIMILAR, den=100, named=repeated)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    if not repeated:
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(again.union(gone), "doc_id", "left_anti").select(*docs.columns)
+    stay = groups.where(F.col("doc_id") == F.col("component_id")).join(again, "doc_id", "left_semi")
+    stay = stay.select(F.col("doc_id").alias("_doc"), F.col("set_id").alias("_own"), F.col("group").alias("_group")).distinct()
+    rows = with_set(docs.join(again, "doc_id", "left_semi").select(*docs.columns), "_set", words=SHINGLE)
+    rows = rows.join(stay, (F.col("doc_id") == F.col("_doc")) & F.col("_set").eqNullSafe(F.col("_own")))
+    rows = rows.withColumn("_text", F.when(F.col("_group").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_group", "_text"])
+    return single.unionByName(rows.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .scratch import Scratch
@@ -131,6 +132,18 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int, band: Banding) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sigs", "bitmap"])
 
 
+def _set_of(batches: Iterator[pa.RecordBatch], words: int, at: int, name: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [set_id(x) if len(x) else None for _, x in shingle_sets(batch.column(at), words)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, name])
+
+
+def with_set(docs: DataFrame, name: str, text_col: str = "text", words: int = 3) -> DataFrame:
+    """All rows and columns of docs, and as the last the name of the text's set; null for a text without words."""
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+    return docs.mapInArrow(partial(_set_of, words=words, at=docs.columns.index(text_col), name=name), schema)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (sig, set_id) in that order, those of buckets with two sets at least, each once. One row is held back between batches."""
     held: tuple[int, int, bool] | None = None  # sig, set_id, whether the row before it has the same sig
@@ -308,7 +321,7 @@ def _check_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return rows.mapInArrow(partial(_verify, num=num, den=den), "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, named: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs: groups of documents joined by links.
 
     Words are ``[^\x20\x09-\x0D]+`` with A-Z in lower case; a document's set holds its distinct runs of `words`
@@ -317,6 +330,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null or empty text, or one of white space, has n_shingles 0 and is its own component. A row with a null id
     is kept, links with nothing and has a null component. Repeated rows give a row each, in the same component. Other columns are passed over.
+
+    named adds set_id, the row's set as `with_set` names it, and group, which is equal just where sets are joined (both null without a set).
     """
     spark, band = docs.sparkSession, Banding(num, den)
     scratch = Scratch(spark, "jaccard")
@@ -341,17 +356,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if how == "all":
             break
         # buckets that still hold sets of several components, each content of a bucket once
-        named = rest.drop("component").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
-        named = scratch.table(named, f"named-{turn}")
-        opened = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(set_id))").alias("content")).where("lo <> hi")
+        listing = rest.drop("component").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
+        listing = scratch.table(listing, f"named-{turn}")
+        opened = listing.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(set_id))").alias("content")).where("lo <> hi")
         opened = opened.groupBy("size", "content").agg(F.min("sig").alias("sig"))
-        opened = scratch.table(_undominated(named, opened), f"opened-{turn}")
-        rest = named.join(opened, "sig", "left_semi")
+        opened = scratch.table(_undominated(listing, opened), f"opened-{turn}")
+        rest = listing.join(opened, "sig", "left_semi")
 
     own = scanned.select("doc_id", "n_shingles", "set_id")
     own = own.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = own.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    more = ["set_id", F.col("component").alias("group")] if named else []
+    out = own.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *more)
     out = scratch.table(out, "out")
     scratch.drop(*(scratch.kept - {"out"}))
     return out

@@ -23,6 +23,17 @@ def test_stages_bear_awkward_rows(spark, awkward, sf):
     assert docs.count() > 0
 
 
+def test_texts_that_share_an_id_are_told_apart(spark, sf):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    near = lambda x: text(x) + " end"
+    rows = [(1, text("a")), (2, near("a")), (2, text("b")), (3, near("b")), (4, text("c")), (4, text("d")), (4, text("c")), (5, text("e")), (5, near("e")), (6, ""), (6, None), (6, None), (7, text("f")), (None, text("a")), (None, text("a"))]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    fives = [x.text for x in got if x.doc_id == 5]
+    assert len(fives) == 1 and fives[0] in (text("e"), near("e"))
+    want = [(1, text("a")), (2, text("b")), (4, text("c")), (4, text("d")), (6, ""), (6, None), (7, text("f")), (None, text("a")), (None, text("a"))]
+    assert sorted(((x.doc_id, x.text) for x in got if x.doc_id != 5), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
