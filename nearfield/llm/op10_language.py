@@ -25,8 +25,8 @@ from .textkit import capitals, chunks, utf8
 
 #: Longest context, in symbols.
 ORDER = 3
-#: Training sample of each language: documents, bytes of all, bytes of one; and languages, the most frequent ones.
-TRAIN_DOCS, TRAIN_BYTES, TRAIN_ONE, LANGUAGES = 600, 1 << 20, 1 << 16, 64
+#: Training sample of each language: documents, bytes of all, and bytes of one, from its start.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_ONE = 600, 1 << 20, 1 << 16
 #: Parts of a bit in which costs are kept.
 PARTS = 4096
 UNKNOWN = "und"
@@ -144,17 +144,18 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Context trees from a bounded sample, by a hash of the id, of the rows that are not held out."""
+    """Context trees of every language from a bounded sample, by a hash of the id, of the rows that are not held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model({})
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1 << 30, int(2 * TRAIN_DOCS / r["count"] * (1 << 30)) + 1))))
-    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))).where(F.col("draw") < F.try_element_at(share, "lang"))
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1 << 30, int(2 * TRAIN_DOCS / r["count"] * (1 << 30)) + 1)) for r in counts], "lang string, share long")
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))).join(F.broadcast(share), "lang").where("draw < share")
     sample: dict[str, dict[str, int]] = {r.lang: {} for r in counts}
-    for r in rows.where(F.octet_length("text") <= TRAIN_ONE).select("lang", "draw", "text").toLocalIterator():
-        sample[r.lang][r.text] = min(r.draw, sample[r.lang].get(r.text, r.draw))
+    for r in rows.select("lang", "draw", F.substring("text", 1, TRAIN_ONE).alias("text")).toLocalIterator():
+        text = r.text.encode()[:TRAIN_ONE].decode(errors="ignore")
+        sample[r.lang][text] = min(r.draw, sample[r.lang].get(text, r.draw))
     texts: dict[str, list[str]] = {}
     for lang, found in sample.items():
         room = TRAIN_BYTES

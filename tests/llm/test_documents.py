@@ -320,3 +320,14 @@ def test_languages_of_held_out_documents(spark, awkward, nothing):
     kept = op10.with_language(awkward, model)
     assert kept.columns == awkward.columns and kept.where("trim(text) = '' or text is null").count() == 0
     assert {x.lang_pred for x in op10.languages(awkward, op10.train(nothing)).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than 64, each of letters of its own, and one of long documents only."""
+    word = lambda k: chr(0x4E00 + 50 * k) + chr(0x4E07 + 50 * k)
+    ids = iter(i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(next(ids), f"{word(k)} " * 20, f"l{k:02}") for k in range(66) for _ in range(2)]
+    rows += [(next(ids), "zyx wvu " * 20_000, "long") for _ in range(1)]
+    model = op10.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({x[2] for x in rows})
+    assert model.predict(pa.array([f"{word(65)} {word(65)}", "zyx wvu zyx"]))[0] == ["l65", "long"]
