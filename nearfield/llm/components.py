@@ -1,8 +1,8 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star steps.
 
-Kiveris et al., "Connected Components in MapReduce and Beyond". Each step is an aggregation with map-side combination
-and an equi-join (which AQE may split where a node is hot), so no node's neighbours meet in one task and nothing but one
-number reaches the driver. Every round is written to the shared folder.
+Kiveris et al., "Connected Components in MapReduce and Beyond". Each step is an aggregation with map-side combination,
+written to the shared folder, and an equi-join with that table (both sides are plain shuffles, which AQE splits where a node is hot),
+so no node's neighbours meet in one task and nothing but one number reaches the driver. Every round is written too.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     while not _stars(now):
         turn += 1
         both = now.union(now.select("w", "v"))
-        least = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"))
+        least = scratch.table(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m")), f"{name}-{turn}m")
         large = both.where("w > v").join(least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).where("v <> w")
         large = scratch.table(large, f"{name}-{turn}a")
-        least = large.groupBy("v").agg(F.min("w").alias("m"))
+        least = scratch.table(large.groupBy("v").agg(F.min("w").alias("m")), f"{name}-{turn}n")
         small = large.join(least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).where("v <> w").union(least).distinct()
         now = scratch.table(small, f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}", f"{name}-{turn}a")
+        scratch.drop(f"{name}-{turn - 1}", *(f"{name}-{turn}{x}" for x in "amn"))
     return now.select(F.col("v").alias("node"), F.col("w").alias("component")).union(now.select(F.col("w").alias("node"), F.col("w").alias("component")).distinct())
 
 

@@ -10,10 +10,12 @@ the exact word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .scratch import Scratch
 from .textkit import count_words
@@ -42,22 +44,31 @@ def fill(sizes: list[int], share: float, most: float, weights: tuple[int, ...])
     return out
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sizes(batches: Iterator[pa.RecordBatch], text: int | None) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, the text, by its words; with `text` the text is that field of the last column, a whole row, which stays."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_words(batch.column(2)))], names=["doc_id", "source", "size"])
+        last = batch.column(batch.num_columns - 1)
+        size = pa.array(count_words(last if text is None else last.field(text)))
+        kept = batch.columns[:-1] if text is None else batch.columns
+        yield pa.RecordBatch.from_arrays([*kept, size], names=[*batch.schema.names[: len(kept)], "size"])
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = "mix") -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = "mix", whole: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs.
 
-    size counts ``[^\\x20\\x09-\\x0D]+`` (null or empty text: 0). Sources are taken in code-point order, null last, with
-    `weights` in turn. taken counts the words the mix takes of the row, repeats included; a source's sum to its target
-    but for a fraction of a word. Equal input gives equal output. A null id sorts by the hash of its own; rows that
-    repeat an id are rows of their own and, where all values are equal, interchangeable. Other columns are passed over.
+    size counts ``[^\\x20\\x09-\\x0D]+`` in the whole text, however long (null or empty text: 0). Sources are taken in code-point order,
+    null last, with `weights` in turn. taken counts the words the mix takes of the row, repeats included; a source's sum to its target
+    but for a fraction of a word. Equal input gives equal output. A row with a null id has its place by a hash of its text. Rows that
+    repeat an id are rows of their own, in the order of their sizes, and where all values are equal, interchangeable. An empty table
+    gives an empty one. Other columns are passed over.
+
+    whole gives all columns of docs and then size, source_size, target and taken, which replace columns of those names.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    rows = scratch.table(rows.mapInArrow(_sizes, "doc_id long, source string, size long"), "sizes")
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    key = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")).alias("hash")]
+    rows = docs.select(*key, F.col(text_col).alias("text")).mapInArrow(partial(_sizes, text=None), "doc_id long, source string, hash string, size long")
+    rows = scratch.table(rows, "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -69,12 +80,25 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         plan.append((i, r.source, r.source_size, float(target), turns, int(target) - turns * r.source_size, 1 << max(0, (r.rows - 1) // ROWS).bit_length()))
     plan = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, turns long, rest long, ranges long")
     plan = F.broadcast(plan) if len(totals) <= BROADCAST_SOURCES else plan
-    keyed = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("doc_id", "size", "source_no", "source_size", "target", "turns", "rest", "ranges", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("hash"))
-    keyed = keyed.withColumn("range", F.expr("cast(conv(substr(hash, 1, 8), 16, 10) as bigint) * ranges div 4294967296"))
-    starts = keyed.groupBy("source_no", "range").agg(F.sum("size").alias("in_range"))
+
+    def keyed(rows: DataFrame, *more: str) -> DataFrame:
+        found = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("doc_id", "size", "hash", "source_no", "source_size", "target", "turns", "rest", "ranges", *more)
+        return found.withColumn("range", F.expr("cast(conv(substr(hash, 1, 8), 16, 10) as bigint) * ranges div 4294967296"))
+
+    starts = keyed(rows).groupBy("source_no", "range").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("source_no", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("start"))
+    if whole:
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+        wide = docs.select(*key, row)
+        schema = StructType([*wide.schema.fields, StructField("size", LongType())])
+        placed = keyed(wide.mapInArrow(partial(_sizes, text=docs.columns.index(text_col)), schema), "row")
+    else:
+        placed = keyed(rows)
     within = Window.partitionBy("source_no", "range").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_no", "range"])
+    placed = placed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_no", "range"])
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("inner")))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("turns") * F.col("size") + cut).alias("taken"))
+    figures = [F.col("size"), F.col("source_size"), F.col("target"), (F.col("turns") * F.col("size") + cut).alias("taken")]
+    if whole:
+        return placed.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "taken")), *figures)
+    return placed.select("doc_id", *figures)

@@ -1,15 +1,17 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact intersection of sorted arrays.
 
 Every set of distinct word shingles falls in a geometric band of sizes; a *tile* holds the sets of one band and those
-of the next that may still reach the threshold with them. In a tile two sets that link differ in at most D elements,
-so when the hash range is cut into D + 1 segments, they agree wholly in one: sets meet only in buckets
-(tile, segment, content of the segment), and no pair is lost (D + 1 + E segments, where a set with up to E empty
-segments need not list them; one with more lists them too). A set lists only the first D' + 1 + E segments, D' for its
-own size. Buckets of one set are dropped. In the others each set is compared with hubs first, those it shares
-most buckets with; components of those links settle most buckets, since two sets of one component need no comparison. What is left is compared in blocks,
-all members against all others of a different component: popcounts of bitmaps bound the overlap from above, and only
-pairs that pass are intersected; in the first rounds, which join most components, each set's best pairs by that bound. Nothing is capped; no bucket or set has to fit in one task, and no pair inside a
-settled group is made.
+of the next that may still reach the threshold with them. All sets order their elements alike, rare ones first: by how often an
+element's hash was counted over the whole corpus (a table of 2^TALLY counters, whatever the corpus' size), then by the hash. Two
+sets that link share at least ceil(t * n) elements, n the larger's size, so the first n - ceil(t * n) + 1 elements of each, n its own
+size, hold a common one: sets meet only in buckets (tile, element), and no pair is lost. The counts decide the order, never what is found.
+Buckets of one set are dropped, and those that hold the same sets become one, weighted by their number.
+
+In the others each set is compared with hubs first, those it shares most buckets with; components of those links settle most
+buckets, since two sets of one component need no comparison. What is left is compared in blocks, all members against all others of a
+different component (blocks of a bucket's largest component don't meet each other): popcounts of bitmaps bound the overlap from
+above, and only pairs that pass are intersected; in the first rounds, which join most components, each set's best pairs by that
+bound. Nothing is capped; no bucket or set has to fit in one task, and no pair inside a settled group is made.
 
 Equal sets are one node, so copies are never paired.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from math import ceil, exp, sqrt
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .scratch import Scratch
-from .textkit import U, mix, shingle_sets
+from .textkit import U, chunks, mix, shingle_hashes, shingle_sets, utf8, word_hashes
 
 #: Largest size of a band over its smallest.
-RATIO = 1.5
+RATIO = 3
+#: Counters of the elements' frequencies, as a power of two, and those that travel in one row.
+TALLY, SLICE = 20, 4096
+#: Rows of a bucket up to which it is compared with other buckets' contents; larger ones stay as they are.
+HOLD = 1 << 16
 #: Members of a block that are compared with those of another, and sets that are checked against a hub in one group.
 BLOCK, GROUP = 2048, 256
 #: Hubs that a set is checked against; rounds in which blocks give each set's BEST pairs only, before all that are left.
@@ -42,66 +48,65 @@ _STEP = U(0x9E3779B97F4A7C15)
 
 
 class Banding:
-    """Tiles, segments and the listing of a set, for the threshold num/den."""
+    """Tiles and the listing of a set, for the threshold num/den. level: a grade of each counter's frequency; without it all elements count as equally frequent."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, level: np.ndarray | None = None):
+        self.num, self.den, self.level = num, den, level
 
     @lru_cache(None)  # noqa: B019
     def low(self, band: int) -> int:
         """The smallest size in a band."""
         x = 1
         for _ in range(band):
-            x = max(x + 1, int(x * RATIO))
+            x = max(x + 1, x * RATIO)
         return x
 
-    def differ(self, a: int, b: int) -> int:
-        """Most elements in which sets of these sizes can differ and link."""
-        return (a + b) * (self.den - self.num) // (self.den + self.num)
-
     @lru_cache(None)  # noqa: B019
-    def tiles(self, n: int) -> list[tuple[int, int, int, int]]:
-        """(tile, segments of the tile, segments to list, empties not to list) of a set of n elements."""
+    def tiles(self, n: int) -> list[int]:
+        """The tiles of a set of n elements: its band's, and the one before if a set of that band may link with it."""
         band = 0
         while self.low(band + 1) <= n:
             band += 1
-        out = []
-        for tile in (band, band - 1):
-            if tile < 0:
-                continue
-            top = self.low(tile + 1) - 1  # the smaller set of a pair of the tile has at most this size
-            if tile < band and n * self.num > top * self.den:
-                continue
-            partner = top if tile < band else n * self.den // self.num
-            most = self.differ(top, top * self.den // self.num)
-            spare = self._spare(most, self.low(tile))
-            out.append((tile, most + 1 + spare, self.differ(n, partner) + 1 + spare, spare))
-        return out
-
-    @staticmethod
-    def _spare(most: int, least: int) -> int:
-        spare = 0
-        for _ in range(8):
-            mean = (most + 1 + spare) * exp(-least / (most + 1 + spare))
-            spare = ceil(mean + 3 * sqrt(mean)) if mean > 0.02 else 0
-        return spare
-
-    @staticmethod
-    @lru_cache(None)
-    def cuts(k: int) -> np.ndarray:
-        return np.array([-(-(j << 64) // k) for j in range(1, k)], dtype=np.uint64)
+        return [band, band - 1] if band and n * self.num <= (self.low(band) - 1) * self.den else [band]
 
     def signatures(self, x: np.ndarray) -> np.ndarray:
-        """Bucket hashes of a sorted set."""
-        found = []
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x * _STEP + U(1)))])
-        for tile, k, listed, spare in self.tiles(len(x)):
-            edges = np.concatenate([[0], np.searchsorted(x, self.cuts(k)[:listed]), [len(x)]])[: listed + 1]
-            sums = total[edges[1:]] - total[edges[:-1]]
-            sums = mix(sums ^ mix(np.arange(listed, dtype=np.uint64) * _STEP + U(tile + 1)))
-            empty = edges[1:] == edges[:-1]
-            found.append(sums[~empty] if empty.sum() <= spare else sums)
-        return np.concatenate(found)
+        """Bucket hashes of a set: of its rarest elements, for each tile."""
+        first = len(x) + self.num * len(x) // -self.den + 1
+        rank = x >> U(8)
+        if self.level is not None:
+            rank = rank | self.level[(x >> U(64 - TALLY)).astype(np.int64)].astype(np.uint64) << U(56)
+        if first < len(x):
+            rank = np.partition(rank, first - 1)[:first]
+        return np.concatenate([mix(rank ^ mix(np.array([tile + 1], np.uint64) * _STEP)) for tile in self.tiles(len(x))])
+
+
+def _tally(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the elements' hashes, once for the task: (slice, its counters in as few bytes as they need)."""
+    counts = np.zeros(1 << TALLY, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for lo, hi in chunks(offsets):
+                runs, _ = shingle_hashes(*word_hashes(data, offsets, lo, hi), words)
+                counts += np.bincount((runs >> U(64 - TALLY)).astype(np.int64), minlength=1 << TALLY)
+    parts = [part.astype(np.min_scalar_type(int(part.max()))).tobytes() for part in counts.reshape(-1, SLICE)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+
+def _graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition's slices, summed: (slice, a byte for each counter, a quarter of a power of two a grade)."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[k] = sums.get(k, 0) + np.frombuffer(part, f"<u{len(part) // SLICE}").astype(np.int64)
+    parts = [np.floor(4 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+
+def grades(texts: DataFrame, words: int) -> np.ndarray:
+    """A grade of frequency for each of the 2^TALLY counters, over all rows (text)."""
+    summed = texts.select("text").mapInArrow(partial(_tally, words=words), "slice int, counts binary").repartition("slice").mapInArrow(_graded, "slice int, counts binary")
+    return np.frombuffer(b"".join(r.counts for r in sorted(summed.collect())) or bytes(1 << TALLY), np.uint8)
 
 
 def set_id(x: np.ndarray) -> int:
@@ -110,7 +115,8 @@ def set_id(x: np.ndarray) -> int:
         return int(mix(np.array([mix(x + _STEP).sum(dtype=np.uint64) + U(len(x))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], words: int, band: Banding) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, level) -> Iterator[pa.RecordBatch]:
+    band = Banding(num, den, level.value)
     for batch in batches:
         sizes, ids, sigs, lengths, bits, seen = [], [], [], [], [], set()
         nameless = batch.column(0).is_null().to_pylist()
@@ -144,30 +150,48 @@ def with_set(docs: DataFrame, name: str, text_col: str = "text", words: int = 3)
     return docs.mapInArrow(partial(_set_of, words=words, at=docs.columns.index(text_col), name=name), schema)
 
 
+def _merged(sig: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
+    """(sig, set_id, weight) of whole buckets of two sets at least: those that hold the same sets are one, named by their content."""
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    sizes = np.diff(np.append(starts, len(sig)))
+    with np.errstate(over="ignore"):
+        content = mix(np.add.reduceat(mix(ident.view(np.uint64) * _STEP + U(1)), starts) + sizes.astype(np.uint64))
+    starts, sizes, content = starts[sizes > 1], sizes[sizes > 1], content[sizes > 1]
+    name, first, weight = np.unique(content, return_index=True, return_counts=True)
+    starts, sizes = starts[first], sizes[first]
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    return _row_batch(np.repeat(name, sizes).view(np.int64), ident[at], np.repeat(weight, sizes))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, set_id) in that order, those of buckets with two sets at least, each once. One row is held back between batches."""
-    held: tuple[int, int, bool] | None = None  # sig, set_id, whether the row before it has the same sig
-    for batch in batches:
-        sig, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    """Of rows (sig, set_id) in that order, those of buckets with two sets at least, by content. The last bucket is held back between batches;
+    one of more than HOLD rows goes on as it is, under its own name (a row of it that repeats only weighs more)."""
+    sig, ident, large = np.empty(0, np.int64), np.empty(0, np.int64), None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            sig, ident = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([ident, batch.column(1).to_numpy()])
         new = np.ones(len(sig), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1])
-        if held and len(sig):
-            new[0] = (sig[0], ident[0]) != held[:2]
         sig, ident = sig[new], ident[new]
-        if not len(sig):
-            continue
-        if held:
-            sig, ident = np.concatenate([[held[0]], sig]), np.concatenate([[held[1]], ident])
-        same = sig[1:] == sig[:-1]
-        keep = np.zeros(len(sig), dtype=bool)
-        keep[:-1] |= same
-        keep[1:] |= same
-        keep[0] |= bool(held and held[2])
-        held = (int(sig[-1]), int(ident[-1]), bool(keep[-1]))
-        if keep[:-1].any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][keep[:-1]]), pa.array(ident[:-1][keep[:-1]])], names=["sig", "set_id"])
-    if held and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["sig", "set_id"])
+        out = 0 if large is None else int(np.searchsorted(sig, large, side="right"))
+        if out < len(sig):
+            large = None
+            whole = len(sig) if batch is None else max(out, int(np.searchsorted(sig, sig[-1])))
+            if whole > out:
+                yield _merged(sig[out:whole], ident[out:whole])
+            if len(sig) - whole > HOLD:
+                large = int(sig[-1])
+                yield _row_batch(sig[whole:], ident[whole:])
+                whole = len(sig)
+        else:
+            whole = out
+        if out:
+            yield _row_batch(sig[:out], ident[:out])
+        sig, ident = sig[whole:], ident[whole:]
+
+
+def _row_batch(sig: np.ndarray, ident: np.ndarray, weight: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ident), pa.array(np.ones(len(sig), np.int64) if weight is None else weight, pa.int64())], names=["sig", "set_id", "weight"])
 
 
 def bitmap(x: np.ndarray) -> bytes:
@@ -261,26 +285,37 @@ def _compare(key: tuple, table: pa.Table, num: int, den: int, best: int) -> pa.T
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _hub_pairs(rest: DataFrame) -> DataFrame:
+def _hub_pairs(rest: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): each set b with those HUBS of its buckets' hubs with which it shares most buckets."""
-    hubs = rest.groupBy("sig").agg(F.min("set_id").alias("hub"))
-    met = rest.join(hubs, "sig").where("set_id <> hub").groupBy("set_id", "hub").count()
+    hubs = scratch.table(rest.groupBy("sig").agg(F.min("set_id").alias("hub")), "hubs")
+    met = rest.join(hubs, "sig").where("set_id <> hub").groupBy("set_id", "hub").agg(F.sum("weight").alias("count"))
     best = Window.partitionBy("set_id").orderBy(F.desc("count"), "hub")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
 
 
-def _undominated(named: DataFrame, opened: DataFrame) -> DataFrame:
-    """(sig, blocks) of the open buckets, but for those whose sets all have one other bucket as their largest: it holds all their pairs."""
-    sized = named.join(opened, "sig").select("sig", "set_id", "size")
-    largest = sized.groupBy("set_id").agg(F.max(F.struct("size", "sig"))["sig"].alias("largest"))
-    spread = sized.join(largest, "set_id").groupBy("sig", "size").agg(F.min("largest").alias("lo"), F.max("largest").alias("hi"))
-    return spread.where("lo <> hi or lo = sig").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+def _opened(listing: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    """(sig, major, main, others) of the buckets that hold sets of several components: the component most of its sets are of, blocks of those sets and of the others.
+
+    Each content once, and without those whose sets all have one other bucket as their largest: it holds all their pairs.
+    """
+    parts = listing.groupBy("sig", "component").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(set_id))").alias("content"))
+    parts = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("most"), F.expr("bit_xor(content)").alias("content")).where("parts > 1")
+    parts = parts.groupBy("size", "content").agg(F.min("sig").alias("sig"), F.min("most").alias("most"))
+    parts = scratch.table(parts, f"parts-{turn}")
+    sized = scratch.table(listing.join(parts, "sig").select("sig", "set_id", "size"), f"sized-{turn}")
+    largest = scratch.table(sized.groupBy("set_id").agg(F.max(F.struct("size", "sig"))["sig"].alias("largest")), f"largest-{turn}")
+    spread = sized.join(largest, "set_id").groupBy("sig").agg(F.min("largest").alias("lo"), F.max("largest").alias("hi")).where("lo <> hi or lo = sig").select("sig")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    return scratch.table(parts.join(spread, "sig").select("sig", F.col("most.component").alias("major"), blocks(F.col("most.size")).alias("main"), blocks(F.col("size") - F.col("most.size")).alias("others")), f"opened-{turn}")
 
 
 def _tile_pairs(rest: DataFrame, opened: DataFrame, sets: DataFrame, num: int, den: int, best: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share an open bucket and pass the bound, block by block."""
-    members = rest.join(opened, "sig").select("sig", "set_id", "component", "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    """Pairs (a, b) of sets of different components that share an open bucket and pass the bound, block by block; the largest component's blocks meet the others' only."""
+    main, others = F.col("main"), F.col("others")
+    spread = lambda n: F.pmod(F.xxhash64("set_id"), n).cast("int")
+    members = rest.join(opened, "sig").withColumn("inner", F.col("component") == F.col("major"))
+    members = members.withColumn("block", F.when(F.col("inner"), spread(main)).otherwise(main + spread(others)))
+    other = F.explode(F.sequence(F.when(F.col("inner"), main).otherwise(F.lit(0)), main + others - 1))
     tiles = members.select("sig", "set_id", "component", "block", other.alias("other")).select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "set_id", "component", "block")
     tiles = tiles.join(sets.select("set_id", "n", "bitmap"), "set_id")
     return tiles.groupBy("sig", "one", "two").applyInArrow(lambda key, table: _compare(key, table, num, den, best), "a long, b long").distinct()
@@ -311,9 +346,9 @@ def _elements(pairs: DataFrame, scanned: DataFrame, texts: DataFrame, words: int
     return texts.join(owners, "doc_id").select("set_id", "text").mapInArrow(partial(_fetch, words=words), "set_id long, n long, elements array<long>")
 
 
-def _check_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _check_pairs(pairs: DataFrame, sets: DataFrame, scratch: Scratch, turn: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link. A hub a with many partners is dealt out in parts of about GROUP, each with the hub's set."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    parts = scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), f"parts-of-hubs-{turn}")
     to = pairs.join(parts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("set_id"), F.lit(1).alias("turn"))
     own = parts.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("set_id"), F.lit(0).alias("turn"))
     rows = own.union(to).join(sets, "set_id").select("hub", "part", F.col("set_id").alias("member"), "n", "elements", "turn")
@@ -333,41 +368,43 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named adds set_id, the row's set as `with_set` names it, and group, which is equal just where sets are joined (both null without a set).
     """
-    spark, band = docs.sparkSession, Banding(num, den)
+    spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = scratch.table(texts.mapInArrow(partial(_scan, words=words, band=band), "doc_id long, n_shingles long, set_id long, sigs array<long>, bitmap binary"), "scan")
+    level = spark.sparkContext.broadcast(grades(texts, words))
+    scanned = scratch.table(texts.mapInArrow(partial(_scan, words=words, num=num, den=den, level=level), "doc_id long, n_shingles long, set_id long, sigs array<long>, bitmap binary"), "scan")
     listed = scanned.select(F.explode("sigs").alias("sig"), "set_id").repartition("sig").sortWithinPartitions("sig", "set_id")
-    shared = scratch.table(listed.mapInArrow(_shared, "sig long, set_id long"), "shared")
+    shared = listed.mapInArrow(_shared, "sig long, set_id long, weight long").groupBy("sig", "set_id").agg(F.sum("weight").alias("weight"))
+    rest = scratch.table(shared, "shared")
 
-    sets = scanned.where("bitmap is not null").join(shared.select("set_id").distinct(), "set_id", "left_semi")
-    sets = scratch.table(sets.select("set_id", F.col("n_shingles").alias("n"), "bitmap"), "sets")
+    sets = scanned.where("bitmap is not null").join(rest.select("set_id").distinct(), "set_id", "left_semi")
+    sets = scratch.table(sets.select("set_id", F.col("n_shingles").alias("n"), "bitmap").dropDuplicates(["set_id"]), "sets")
     scanned = scratch.table(scanned.select("doc_id", "n_shingles", "set_id"), "sizes")
     scratch.drop("scan")
-    spark._jvm.System.gc()  # the shuffle files of the buckets go when the driver's JVM collects its garbage
 
-    edges, rest = None, shared.withColumn("component", F.col("set_id"))
+    edges, opened = None, None
     for turn, how in enumerate(("hub", *("best",) * ROUNDS, "all")):
-        pairs = _bounded_pairs(_hub_pairs(rest), sets, num, den) if how == "hub" else _tile_pairs(rest, opened, sets, num, den, BEST if how == "best" else 0)
+        pairs = _bounded_pairs(_hub_pairs(rest, scratch), sets, num, den) if opened is None else _tile_pairs(rest, opened, sets, num, den, BEST if how == "best" else 0)
         pairs = scratch.table(pairs, f"pairs-{turn}")
-        found = scratch.table(_check_pairs(pairs, _elements(pairs, scanned, texts, words, scratch, turn), num, den), f"edges-{turn}")
+        found = scratch.table(_check_pairs(pairs, _elements(pairs, scanned, texts, words, scratch, turn), scratch, turn, num, den), f"edges-{turn}")
         edges = found if edges is None else edges.union(found)
-        groups = components(edges, scratch, f"cc-{turn}")
+        groups = scratch.table(components(edges, scratch, f"cc-{turn}"), f"groups-{turn}")
         if how == "all":
             break
-        # buckets that still hold sets of several components, each content of a bucket once
+        # buckets that still hold sets of several components
         listing = rest.drop("component").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
         listing = scratch.table(listing, f"named-{turn}")
-        opened = listing.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(set_id))").alias("content")).where("lo <> hi")
-        opened = opened.groupBy("size", "content").agg(F.min("sig").alias("sig"))
-        opened = scratch.table(_undominated(listing, opened), f"opened-{turn}")
+        opened = _opened(listing, scratch, turn)
         rest = listing.join(opened, "sig", "left_semi")
 
-    own = scanned.select("doc_id", "n_shingles", "set_id")
-    own = own.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    more = ["set_id", F.col("component").alias("group")] if named else []
-    out = own.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *more)
+    # the smallest document of each set, then of each component; a hot set or component meets one row of a written table, so its rows can be split
+    first = scratch.table(scanned.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first")), "first")
+    joined = scratch.table(groups.withColumnRenamed("node", "set_id").join(first, "set_id"), "joined")
+    least = scratch.table(joined.groupBy("component").agg(F.min("first").alias("least")), "least")
+    joined = joined.join(least, "component").select("set_id", "component", "least")
+    known = first.join(joined, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("group"), F.coalesce("least", "first").alias("least"))
+    known = scratch.table(known, "known")
+    out = scanned.join(known, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *(["set_id", "group"] if named else []))
     out = scratch.table(out, "out")
     scratch.drop(*(scratch.kept - {"out"}))
     return out

@@ -102,7 +102,7 @@ ORACLES: dict[str, str] = {
                list_aggregate(list_transform([a, b, c, d], lambda x: list_aggregate(list_transform(range(8), lambda i: '{_BASE32}'[((x >> (35 - 5 * i)) & 31) + 1]), 'string_agg', '')), 'string_agg', '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     "op6_mix": r"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS h FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM s),
         o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0) AS l, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS r,

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -52,9 +53,22 @@ def family(seed, base, copies, edits):
     return out
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
-def test_groups_equal_brute_force(spark, n, num, monkeypatch):
+def held(rows):
+    """The bucket reader with HOLD lowered, also where it runs."""
+
+    def read(batches):
+        op.HOLD = rows
+        return inner(batches)
+
+    inner = op._shared
+    return read
+
+
+@pytest.mark.parametrize(("n", "num", "block", "hold"), [(3, 90, 2048, 1 << 16), (5, 80, 2, 5)])
+def test_groups_equal_brute_force(spark, n, num, block, hold, monkeypatch):
     monkeypatch.setattr(op, "GROUP", 3)
+    monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "_shared", held(hold))
     texts = family(1, 30, 40, 3) + family(2, 120, 60, 6) + family(3, 9, 20, 1) + family(4, 300, 30, 12) + ["a b", "a  B", "c", "", None, "x y z"] + family(5, 4, 8, 1)
     rows = list(enumerate(texts))
     random.Random(0).shuffle(rows)
@@ -75,7 +89,7 @@ def test_no_pair_escapes_the_buckets():
     """Two sets that link share a signature, whatever their sizes and differences."""
     r = np.random.default_rng(6)
     for num in (90, 80):
-        band = op.Banding(num, 100)
+        band = op.Banding(num, 100, r.integers(0, 9, size=1 << op.TALLY).astype(np.uint8))
         for _ in range(400):
             size = int(r.integers(1, 400))
             x = np.unique(r.integers(0, 2**63, size=size).astype(np.uint64))
@@ -86,6 +100,31 @@ def test_no_pair_escapes_the_buckets():
                     assert set(band.signatures(x)) & set(band.signatures(y))
 
 
+@pytest.mark.parametrize("hold", [1, 3, 100])
+def test_shared_buckets(hold, monkeypatch):
+    """Whatever the batches, all buckets of two sets at least come back, equal ones as one with their number."""
+    monkeypatch.setattr(op, "HOLD", hold)
+    r = random.Random(hold)
+    rows = sorted((s, i) for s in range(60) for i in r.sample(range(12), r.choice([1, 1, 2, 3, 9])) for _ in range(r.choice([1, 1, 2])))
+    want = {}
+    for s in range(60):
+        members = frozenset(i for t, i in rows if t == s)
+        if len(members) > 1:
+            want[members] = want.get(members, 0) + 1
+    for size in (1, 4, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[i : i + size]], pa.int64()) for k in (0, 1)], names=["sig", "set_id"]) for i in range(0, len(rows), size)]
+        found = {}
+        for b in op._shared(iter(parts)):
+            for x in b.to_pylist():
+                found.setdefault(x["sig"], set()).add(x["set_id"])
+        assert {frozenset(v) for v in found.values()} == set(want)
+        if hold == 100 and size == 1000:
+            weights = {}
+            for b in op._shared(iter(parts)):
+                weights |= {x["sig"]: x["weight"] for x in b.to_pylist()}
+            assert {frozenset(found[k]): w for k, w in weights.items()} == want
+
+
 def test_bound_holds():
     r = np.random.default_rng(8)
     for _ in range(200):

@@ -17,10 +17,26 @@ def test_stages(spark, sf):
 
 def test_stages_bear_awkward_rows(spark, awkward, sf):
     docs = awkward
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.count() > 0
+        if name != "mix":
+            assert docs.columns == awkward.columns, name
+    assert docs.columns == [*(c for c in awkward.columns if c != "size"), "size", "source_size", "target", "taken"]
+    assert docs.where("doc_id is null").count() and dict(docs.dtypes)["size"] == "bigint"
+    assert all(r.size == len(r.text.split()) for r in docs.collect())
+
+
+def test_stages_bear_empty_tables(spark, nothing, sf):
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-        docs.count()
-    assert docs.count() > 0
+        assert stage(spark, nothing, sf).collect() == []
+
+
+def test_mix_counts_rows_without_an_id(spark):
+    rows = [(None, f"w{i} a b", "x") for i in range(40)] + [(7, f"v{i} c", "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.mix(spark, docs, None).collect()
+    assert sum(r.taken for r in got) == 300 and len(got) == 80 and {r.source_size for r in got} == {200}
 
 
 def test_texts_that_share_an_id_are_told_apart(spark, sf):
