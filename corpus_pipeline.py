@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before has kept; each result is written as
 Parquet and read again. All stages but the last return the columns of documents, the last adds the mix's.
-Null texts go with the first stage (they have no language). Of rows that repeat an id and a text one stays after the second. Rows
-without an id pass all stages but the last: nothing names them, so the mix can't cut them and leaves them out. Other columns
-are kept.
+Null, empty and letterless texts go with the first stage (they have no language); very long texts are read whole by all. Of rows that repeat an
+id and a text one stays after the second. Rows without an id pass the second (nothing names them as copies) and take part in the others.
+Other columns are kept, whatever their names, but for those that the mix replaces. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.op1_decontaminate import clean
 from nearfield.llm.op2_pii import redacted
 from nearfield.llm.op6_mix import mixture
-from nearfield.llm.op8_jaccard import jaccard_groups, with_set
+from nearfield.llm.op8_jaccard import BROADCAST_IDS, jaccard_groups, with_set
 from nearfield.llm.op10_language import train, with_language
 from nearfield.llm.scratch import Scratch
 
@@ -29,15 +29,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id. Texts that share an id are told apart; of equal ones, or of one group, one stays."""
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = Scratch(spark, "pipeline").table(again, "again")
-    repeated = again.count() > 0
-    groups = jaccard_groups(docs, words=SHINGLE, num=SIMILAR, den=100, named=repeated)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    """One document of each group: that of the smallest id. Texts that share an id are told apart; of equal ones, or of one group, one stays.
+
+    Ids that go or repeat are looked up by a broadcast where there are at most BROADCAST_IDS of them, by a shuffled join beyond.
+    """
+    scratch = Scratch(spark, "pipeline")
+    again = scratch.table(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    repeated = again.count()
+    groups = jaccard_groups(docs, words=SHINGLE, num=SIMILAR, den=100, named=repeated > 0)
+    gone = scratch.table(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").union(again).distinct(), "gone")
+    small = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    single = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     if not repeated:
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    single = docs.join(again.union(gone), "doc_id", "left_anti").select(*docs.columns)
+        return single
+    again = small(again, repeated)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).join(again, "doc_id", "left_semi")
     stay = stay.select(F.col("doc_id").alias("_doc"), F.col("set_id").alias("_own"), F.col("group").alias("_group")).distinct()
     rows = with_set(docs.join(again, "doc_id", "left_semi").select(*docs.columns), "_set", words=SHINGLE)
@@ -57,9 +62,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their size, their source's, its target, and the words that the mix takes."""
-    taken = mixture(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
-    return docs.join(taken.where("doc_id is not null").dropDuplicates(["doc_id"]), "doc_id").select(*docs.columns, "size", "source_size", "target", "taken")
+    """The documents of the mix with size, source_size, target and taken (the words that the mix takes), which replace columns of those names.
+
+    Those go of which the mix takes no word. Rows without an id and rows that repeat one count as any other.
+    """
+    return mixture(docs, whole=True).where("taken > 0")
 
 
 STAGES = [
