@@ -1,20 +1,24 @@
-"""Benchmark decontamination: BM25 over test items with block-max bounds, then question and answer overlap.
-
-The test items are indexed: terms with their BM25 impacts, in blocks of BLOCK items ordered by an item's score against itself,
-and for each term and block the largest impact. Every passage of every text is a query. A passage's bound for a block is the
-sum of its terms' largest impacts there; blocks whose bound stays below what their easiest item needs are skipped (the
-pivot rule of block-max WAND, taken for all passages and blocks of a batch at once), the items of the others are scored
-exactly, and all at or above their threshold, a share of the item's score against itself, are verified: word
-3-grams of the item's question and of its answer have to be in the passage (a part of one or two words is looked for as it is,
-and an item of less than SHORT words with such a part has to be there whole). Passages are 2 * stride words, a stride apart,
-where a stride is no shorter than the longest item, so an item's copy always lies whole in one.
-
-The index is made in shards of bounded size, each broadcast and met by a scan of its own. Counts of items and of a term's items, the
-mean and the longest item are those of the whole benchmark, so shards don't change what is found. Texts aren't shuffled.
+"""Benchmark decontamination: a BM25 inverted index of test items with block-max WAND, then question and answer overlap.
+
+The test items are indexed: for each term the list of its items with their BM25 impacts, items in the order of their scores against
+themselves, and over each list a shorter one of blocks of BLOCK neighbouring items with the largest impact in each. Every passage of
+every text is a query, and all items at or above their threshold, a share of the item's score against itself, are retrieved. A
+passage's terms are put in the order of their largest impacts; those before the pivot, where the sum of the impacts reaches the
+smallest threshold, can't lift an item to it by themselves, so their lists (the longest) aren't walked. The block lists of the others are
+walked, for many passages at once: blocks whose bound, the sum of block maxima and of the impacts before the pivot, stays below
+what their easiest item needs are skipped, and only in the blocks left all terms' lists are entered, by binary search, and their items scored exactly.
+
+Retrieved items are verified: word 3-grams of the item's question and of its answer have to be in the passage (a part of one or
+two words is looked for as it is, and an item of less than SHORT words with such a part has to be there whole). Passages are 2 * stride words,
+a stride apart, where a stride is no shorter than the longest item, so an item's copy always lies whole in one.
+
+Counts of items and of a term's items, the mean and the longest item are those of the whole benchmark. An index beyond POSTINGS
+entries is met in parts, each broadcast and met by a scan of its own; scores, and so results, don't depend on the parts. Texts aren't shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -29,13 +33,15 @@ from pyspark.sql import functions as F
 from .scratch import small_batches
 from .textkit import chunks, shingle_hashes, utf8, word_hashes
 
-#: Items and bytes of text of a shard (an item of more bytes is a shard of its own); items of a block; words of the shortest stride.
-ITEMS, BYTES, BLOCK, STRIDE = 1024, 1 << 19, 8, 64
+#: Entries of one index (some 40 bytes each; an item of more is one of its own); items of a block; words of the shortest stride.
+POSTINGS, BLOCK, STRIDE = 1 << 21, 8, 64
+#: Cells of passages by blocks, and entries of lists, that are held at once.
+CELLS, ENTRIES = 1 << 22, 1 << 20
 K1, B = 1.2, 0.75
+#: What rounding may take from a score.
+SLACK = 1e-9
 #: Share of an item's own score from which it is verified; overlaps asked for; words below which an item must be there whole.
 SHARE, QUESTION, ANSWER, SHORT = 0.55, 0.5, 0.5, 8
-#: Overlap of the question with which the answer may be missing, if the question has a 3-gram.
-ALONE = 0.8
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -50,6 +56,11 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 def _hashes(text: str) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _words_of(text)
+
+
+def _words_of(text: str) -> np.ndarray:
     data, offsets = utf8(pa.array([text]))
     return word_hashes(data, offsets, 0, 1, letters=True)[0]
 
@@ -103,42 +114,59 @@ def statistics(rows: DataFrame) -> Statistics:
     return Statistics(total["items"], total["words"] / max(1, total["items"]), total["longest"], terms[order], df[order])
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of each range in turn."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+
+
+def _cuts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Where parts of about ENTRIES begin and end."""
+    first = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // ENTRIES, prepend=-1)).tolist() if len(sizes) else []
+    return list(zip(first, [*first[1:], len(sizes)], strict=False))
+
+
 class Index:
-    """One shard; without statistics of the whole it is the whole."""
+    """The lists of some items; without statistics of the whole they are the whole."""
 
     def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
         with np.errstate(over="ignore"):
             coded = [(k, _hashes(text), *(_hashes(x) for x in split_item(text))) for k, text in items]
         coded = [x for x in coded if len(x[1])]
         lengths = np.array([len(x[1]) for x in coded], dtype=np.float64)
-        terms, df = np.unique(np.concatenate([np.unique(x[1]) for x in coded] or [np.empty(0, np.uint64)]), return_counts=True)
-        whole = whole or Statistics(len(coded), float(lengths.mean()) if len(coded) else 1.0, int(lengths.max(initial=0)), terms, df)
-        df, mean = whole.items_of(terms), whole.mean
+        bags = [np.unique(x[1], return_counts=True) for x in coded]
+        self.terms, df = np.unique(np.concatenate([x[0] for x in bags] or [np.empty(0, np.uint64)]), return_counts=True)
+        whole = whole or Statistics(len(coded), float(lengths.mean()) if len(coded) else 1.0, int(lengths.max(initial=0)), self.terms, df)
+        df = whole.items_of(self.terms)
         idf = np.log(1 + (whole.count - df + 0.5) / (df + 0.5))
-        scored = []
-        for (k, words, question, answer), n in zip(coded, lengths, strict=True):
-            own, tf = np.unique(words, return_counts=True)
-            at = np.searchsorted(terms, own)
-            parts = [(grams(x), min(3, len(x))) for x in (question, answer)]
-            if n < SHORT and any(0 < x[1] < 3 for x in parts):
-                parts.append((grams(words), min(3, len(words))))
-            scored.append((k, parts, at, (idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))).astype(np.float32), int(n)))
-        scored.sort(key=lambda x: (float(x[3].sum()), x[0]))
-        self.terms, self.stride = terms, max(STRIDE, whole.longest)
-        self.ids = [x[0] for x in scored]
-        self.parts = [(x[1], x[4]) for x in scored]
-        self.own = np.array([x[3].sum() for x in scored], dtype=np.float32)
-        blocks = [scored[i : i + BLOCK] for i in range(0, len(scored), BLOCK)]
-        self.most = np.zeros((len(terms), len(blocks)), dtype=np.float32)
-        self.need = np.array([SHARE * self.own[i * BLOCK] for i in range(len(blocks))], dtype=np.float32)
-        self.impacts = []
-        for b, block in enumerate(blocks):
-            at = np.unique(np.concatenate([x[2] for x in block]))
-            impact = np.zeros((len(at), len(block)), dtype=np.float32)
-            for j, x in enumerate(block):
-                impact[np.searchsorted(at, x[2]), j] = x[3]
-            self.most[at, b] = impact.max(axis=1)
-            self.impacts.append((at, impact))
+        term = [np.searchsorted(self.terms, own) for own, _ in bags]
+        impact = [idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / whole.mean)) for at, (_, tf), n in zip(term, bags, lengths, strict=True)]
+        own = [math.fsum(x) for x in impact]
+        order = sorted(range(len(coded)), key=lambda i: (own[i], coded[i][0]))
+        self.ids = [coded[i][0] for i in order]
+        self.own = np.array([own[i] for i in order])
+        self.parts = [(self._parts(*coded[i][1:]), len(coded[i][1])) for i in order]
+        self.stride = max(STRIDE, whole.longest)
+        # entries in the order of term, then item
+        flat = np.concatenate([term[i] for i in order] or [np.empty(0, np.int64)]) * len(order) + np.repeat(np.arange(len(order)), [len(term[i]) for i in order])
+        by_list = np.argsort(flat, kind="stable")
+        self.entry, self.impact = flat[by_list], np.concatenate([impact[i] for i in order] or [np.empty(0)])[by_list]
+        # and over them the blocks with their largest impacts
+        self.blocks = -(-len(order) // BLOCK)
+        list_of, item = self.entry // max(1, len(order)), self.entry % max(1, len(order))
+        block = list_of * self.blocks + item // BLOCK
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        self.block, self.block_most = block[first] % max(1, self.blocks), np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
+        self.list_at = np.searchsorted(block[first], np.arange(len(self.terms) + 1) * self.blocks)
+        self.most = np.maximum.reduceat(self.block_most, self.list_at[:-1]) if len(self.terms) else np.empty(0)
+        self.need = SHARE * self.own[::BLOCK] - SLACK
+
+    @staticmethod
+    def _parts(words: np.ndarray, question: np.ndarray, answer: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """(grams, their words) of the question and the answer, and of the whole of a short item with a part of one or two words."""
+        parts = [(grams(x), min(3, len(x))) for x in (question, answer)]
+        if len(words) < SHORT and any(0 < n < 3 for _, n in parts):
+            parts.append((grams(words), min(3, len(words))))
+        return parts
 
     def search(self, column: pa.Array) -> Iterator[tuple[int, int, float, float, float, float]]:
         """(row, item, score, share of the item's own, question overlap, answer overlap) of each contaminated text and item, from its best passage."""
@@ -150,7 +178,7 @@ class Index:
             if len(words):
                 yield from self._search(words, bounds, lo)
 
-    def _search(self, words: np.ndarray, bounds: np.ndarray, lo: int) -> Iterator[tuple[int, int, float, float, float, float]]:
+    def _search(self, words: np.ndarray, bounds: np.ndarray, lo_text: int) -> Iterator[tuple[int, int, float, float, float, float]]:
         sizes = np.diff(bounds)
         cells = -(-sizes // self.stride)
         first = np.concatenate([[0], np.cumsum(cells)])  # a text's first cell
@@ -169,24 +197,57 @@ class Index:
         if not len(keys):
             return
         passage, t = keys // n, keys % n
-        starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
         ends = np.append(starts[1:], len(keys))
         best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
-        for s in range(0, len(starts), 4096):  # bounds of all blocks, for some passages at once
-            part = slice(starts[s], ends[min(s + 4096, len(starts)) - 1])
-            bound = np.add.reduceat(self.most[t[part]], starts[s : s + 4096] - starts[s], axis=0)
-            rows, blocks = np.nonzero(bound >= self.need)
-            for b in np.unique(blocks):
-                at, impact = self.impacts[b]
-                for r in rows[blocks == b] + s:
-                    own = np.searchsorted(at, t[starts[r] : ends[r]])
-                    own[own == len(at)] = 0
-                    own = own[at[own] == t[starts[r] : ends[r]]]
-                    score = impact[own].sum(axis=0)
-                    for j in np.flatnonzero(score >= SHARE * self.own[b * BLOCK : b * BLOCK + len(score)]):
-                        self._verify(words, bounds, first, int(passage[starts[r]]), int(b) * BLOCK + int(j), float(score[j]), best)
+        step = max(1, CELLS // self.blocks)
+        for s in range(0, len(starts), step):
+            lo, hi = starts[s], ends[min(s + step, len(starts)) - 1]
+            row = np.repeat(np.arange(min(step, len(starts) - s)), ends[s : s + step] - starts[s : s + step])
+            for r, block in self._blocks(row, t[lo:hi]):
+                a, b = starts[s + r], ends[s + r]
+                for i, item, score in self._scores(a, b, block, t):
+                    self._verify(words, bounds, first, int(passage[a[i]]), int(item), float(score), best)
         for (row, item), found in sorted(best.items()):
-            yield lo + row, self.ids[item], *found
+            yield lo_text + row, self.ids[item], *found
+
+    def _blocks(self, row: np.ndarray, t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, blocks) that may hold an item, for passages 0, 1, ... (row) of terms t, in parts."""
+        passages, upper = int(row[-1]) + 1, self.most[t]
+        order = np.lexsort((upper, row))
+        sums = np.cumsum(upper[order])
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        sums -= np.repeat(np.concatenate([[0], sums[begin[1:] - 1]]), np.diff(np.append(begin, len(row))))
+        walked = np.empty(len(row), dtype=bool)
+        walked[order] = sums >= self.need[0]  # from the pivot on
+        low = np.bincount(row, np.where(walked, 0, upper), minlength=passages)  # what the others may add
+        row_of, row, t = row, row[walked], t[walked]
+        count = self.list_at[t + 1] - self.list_at[t]
+        bound = np.zeros(passages * self.blocks)
+        for a, b in _cuts(count):
+            at = _ranges(self.list_at[t[a:b]], count[a:b])
+            cell = np.repeat(row[a:b], count[a:b]) * self.blocks + self.block[at]
+            from_, to = int(cell[0]) // self.blocks * self.blocks, (int(row[b - 1]) + 1) * self.blocks
+            bound[from_:to] += np.bincount(cell - from_, self.block_most[at], minlength=to - from_)
+        bound = bound.reshape(passages, self.blocks)
+        r, block = np.nonzero((bound + low[:, None] >= self.need) & (bound > 0))
+        size = np.bincount(row_of, minlength=passages)[r]
+        for a, b in _cuts(size):
+            yield r[a:b], block[a:b]
+
+    def _scores(self, a: np.ndarray, b: np.ndarray, block: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(which, item, score) of the items that reach their threshold in block[i] for the terms t[a[i]:b[i]]. Impacts add up in the order of the terms."""
+        which, term = np.repeat(np.arange(len(a)), b - a), t[_ranges(a, b - a)]
+        low = term * len(self.ids) + block[which] * BLOCK
+        start = np.searchsorted(self.entry, low)
+        count = np.searchsorted(self.entry, np.minimum(low + BLOCK, (term + 1) * len(self.ids))) - start
+        at = _ranges(start, count)
+        cell = np.repeat(which, count) * BLOCK + self.entry[at] % len(self.ids) % BLOCK
+        score = np.bincount(cell, self.impact[at], minlength=len(a) * BLOCK)
+        item = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        there = np.flatnonzero((item < len(self.ids)) & (score > 0))
+        there = there[score[there] >= SHARE * self.own[item[there]] - SLACK]
+        return zip(there // BLOCK, item[there], score[there], strict=True)
 
     def _verify(self, words: np.ndarray, bounds: np.ndarray, first: np.ndarray, passage: int, item: int, score: float, best: dict) -> None:
         row = int(np.searchsorted(first, passage, side="right")) - 1
@@ -195,22 +256,22 @@ class Index:
         parts, size = self.parts[item]
         there = {n: grams(span, n) for n in {n for _, n in parts if n}}
         q, a, *whole = (float(np.isin(x, there[n]).mean()) if n else 1.0 for x, n in parts)
-        good = q == 1 == a and whole in ([], [1]) if size < SHORT else q >= QUESTION and (a >= ANSWER or q >= ALONE and parts[0][1] == 3)
+        good = q == 1 == a and whole in ([], [1]) if size < SHORT else q >= QUESTION and a >= ANSWER
         if good:
             found = (score, score / float(self.own[item]), q, a)
             best[row, item] = max(found, best.get((row, item), found), key=lambda x: (x[2] + x[3], x[0]))
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """The shards; the driver holds one shard's texts at a time."""
+    """The index in parts of at most POSTINGS entries; the driver holds one part's texts at a time."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     whole = statistics(rows)
-    held, room = [], BYTES
+    held, room = [], POSTINGS
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        size = len(r.text.encode())
-        if held and (len(held) == ITEMS or size > room):
+        size = len(_hashes(r.text))
+        if held and size > room:
             yield Index(held, whole)
-            held, room = [], BYTES
+            held, room = [], POSTINGS
         held.append((r.item_id, r.text))
         room -= size
     if held:
@@ -230,9 +291,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, score, share, question_overlap, answer_overlap) for every row of docs and every test item in it.
 
     Overlaps are shares of the question's and the answer's word 3-grams found in the best passage (of a part of one or two words,
-    1 if it is there and else 0). Rows of docs without a
+    1 if it is there and else 0); of passages that tie in both overlaps the one of the larger score counts. Whole texts are read, however long. Rows of docs without a
     find, null and empty texts among them, aren't returned; null ids and repeated rows of docs are kept as they are. Items
-    with a null id or no word are found nowhere; repeated items give equal rows. Other columns are passed over.
+    with a null id or no word are found nowhere; repeated items give equal rows. An empty table on either side gives an empty one.
+    Other columns are passed over.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -245,7 +307,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no test item is found, with all their columns and repeats."""
+    """The rows of docs in which no test item is found, with all their columns and repeats, null and empty texts among them."""
 
     def keep(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
