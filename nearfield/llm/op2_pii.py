@@ -2,9 +2,10 @@
 
 The field scores candidate segments as wholes: shape of the characters, digits and letters, check digits, the word before,
 what stands on either side. A dynamic program over segments of at most SEGMENT tokens chooses boundaries and types
-together. It is trained here, by conditional likelihood, on sentences made from a seeded generator (no corpus text), and
-reads only the surroundings of digits, ``@`` and ``[at]`` that no pattern has covered: elsewhere it has no candidates, so
-leaving those parts out changes nothing. Its spans are added; those of the patterns stay.
+together, with a weight for each pair of neighbouring labels. It is trained here, weights and pairs, by conditional likelihood, on sentences made
+from a seeded generator (no corpus text), and reads only the surroundings of digits, ``@`` and ``[at]`` that no pattern has covered: elsewhere it
+has no candidates, and the surroundings hold every candidate whole with the words before it that count, so
+leaving the rest out changes nothing. Its spans are added; those of the patterns stay.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from .textkit import chunks, utf8
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "ssn", "iban", "mail", "tel")
 KINDS = BASE + ADDED
-#: Most tokens and characters of a segment, and characters read around a place of interest.
-SEGMENT, SPAN, AROUND = 16, 80, 96
+#: Most tokens and characters of a segment, characters before it in which a telling word is sought, and characters read around a place of interest.
+SEGMENT, SPAN, CUE = 16, 80, 24
+AROUND = SPAN + CUE + 2
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -131,26 +133,36 @@ class Field:
 
     @staticmethod
     def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, tuple[str, str, str, str]]]:
-        """(first token, token after the last, (span, cue, before, after)) of all segments that may be an entity."""
+        """(first token, token after the last, (span, cue, before, after)) of all segments that may be an entity.
+
+        A segment begins with a letter, a digit, + or ( and ends with a letter or digit, and holds a digit or an at sign, plain or in brackets. One
+        of several words begins and ends with words that hold digits, unless it has an at sign.
+        """
+        words = [text[a:b] for a, b in tokens]
+        digit = [w.isascii() and any(c in "0123456789" for c in w) for w in words]
+        at = [w == "@" or w in "])}" and i > 1 and words[i - 1] in ("at", "AT") and words[i - 2] in "[({" for i, w in enumerate(words)]
         for i, (start, _) in enumerate(tokens):
             c = text[start]
             if not (c in "+(" or c.isascii() and c.isalnum()):
                 continue
-            cue = None
+            cue, before, spaced, numbers, ats = None, "", False, False, False
             for j in range(i, min(len(tokens), i + SEGMENT)):
                 a, b = tokens[j]
-                if j > i and a - tokens[j - 1][1] > (text[tokens[j - 1][1] : a] == " ") or b - start > SPAN:
+                gap = a - tokens[j - 1][1] if j > i else 0
+                if gap > (text[a - 1] == " ") or b - start > SPAN:
                     break
-                if not (text[b - 1].isascii() and text[b - 1].isalnum()):
+                spaced, numbers, ats = spaced or gap > 0, numbers or digit[j], ats or at[j]
+                if not (numbers or ats) or b - start < 9 or not (text[b - 1].isascii() and text[b - 1].isalnum()):
                     continue
-                span = text[start:b]
-                if len(span) < 9 or not _INTEREST.search(span):
+                if spaced and not ats and not (digit[j] and (digit[i] or c in "+(")):
                     continue
                 if cue is None:
-                    words = re.findall(r"[A-Za-z]+", text[max(0, start - 24) : start].lower())
-                    cue = next((w for w in reversed(words[-3:]) if w in _CUES), "-")
-                before, after = text[start - 1 : start], text[b : b + 1]
-                yield i, j + 1, (span, cue, before if before in " \n=\"':.(" else "a" if before.isalnum() else "?", after if after in " \n\"'.,:;)" else "a" if after.isalnum() else "?")
+                    near = re.findall(r"[A-Za-z]+", text[max(0, start - CUE) : start].lower())
+                    cue = next((w for w in reversed(near[-3:]) if w in _CUES), "-")
+                    before = text[start - 1 : start]
+                    before = before if before in " \n=\"':.(" else "a" if before.isalnum() else "?"
+                after = text[b : b + 1]
+                yield i, j + 1, (text[start:b], cue, before, after if after in " \n\"'.,:;)" else "a" if after.isalnum() else "?")
 
     def score(self, what: tuple[str, str, str, str]) -> np.ndarray:
         found = [self.index[f] for f in _features(*what) if f in self.index]
@@ -184,7 +196,7 @@ class Field:
         return out[::-1]
 
     def fit(self, sentences: list[tuple[str, list[tuple[str, int, int]]]], turns: int = 8, rate: float = 0.4, decay: float = 1e-4) -> "Field":
-        """Stochastic gradient ascent of the conditional likelihood of the marked segmentations."""
+        """Stochastic gradient ascent of the conditional likelihood of the marked segmentations, in the features' weights and in `step`; both are averaged over the turns."""
         made = []
         for text, spans in sentences:
             tokens = [m.span() for m in _TOKEN.finditer(text)]
@@ -196,7 +208,7 @@ class Field:
             made.append((len(tokens), found, {(starts[a], ends[b]): ADDED.index(kind) for kind, a, b in spans}))
         k = len(ADDED) + 1
         self.weight = np.zeros((len(self.index), k - 1))
-        total, order = np.zeros_like(self.weight), random.Random(3)
+        total, steps, order = np.zeros_like(self.weight), np.zeros_like(self.step), random.Random(3)
         for turn in range(turns):
             order.shuffle(made)
             speed = rate / (1 + turn)
@@ -218,16 +230,34 @@ class Field:
                         value = np.logaddexp(value, np.logaddexp.reduce(self.step[:, 1:] + (s + behind[j, 1:])[None], axis=1))
                     behind[t] = value
                 log_z = np.logaddexp.reduce(ahead[n])
+                expected = np.zeros_like(self.step)
+                expected[:, 0] = np.exp(ahead[:-1] + self.step[:, 0] + behind[1:, :1] - log_z).sum(axis=0)
+                shares = []
                 for i, j, s, c in (seg for segs in by_end.values() for seg in segs):
-                    share = np.exp(np.logaddexp.reduce(ahead[i][:, None] + self.step[:, 1:], axis=0) + s + behind[j, 1:] - log_z)
+                    entering = np.exp(ahead[i][:, None] + self.step[:, 1:] + s + behind[j, 1:] - log_z)
+                    expected[:, 1:] += entering
+                    shares.append((i, j, c, entering.sum(axis=0)))
+                for i, j, c, share in shares:
                     if (i, j) in gold:
                         share[gold[i, j]] -= 1
                     np.subtract.at(self.weight, found[c][2], speed * share)
+                self.step += speed * (self._steps(n, gold) - expected)
             self.weight *= 1 - decay
+            self.step *= 1 - decay
             total += self.weight
-        self.weight = total / turns
+            steps += self.step
+        self.weight, self.step = total / turns, steps / turns
         return self
 
+    def _steps(self, n: int, gold: dict[tuple[int, int], int]) -> np.ndarray:
+        """How often each label follows each in the segmentation of n tokens with these entities."""
+        out, ends, t, label = np.zeros_like(self.step), {i: (j, c + 1) for (i, j), c in gold.items()}, 0, 0
+        while t < n:
+            to, now = ends.get(t, (t + 1, 0))
+            out[label, now] += 1
+            t, label = to, now
+        return out
+
 
 @lru_cache(1)
 def trained() -> Field:
@@ -268,12 +298,14 @@ def sentences(count: int, seed: int = 17) -> list[tuple[str, list[tuple[str, int
     for i in range(count):
         text, spans = " ".join(word() for _ in range(r.randint(0, 5))), []
         if i % 2:
-            kind = r.choice(list(kinds))
-            make, frames = kinds[kind]
-            x, frame = make(), r.choice(frames)
-            text += (" " if text else "") + frame.split("{}")[0]
-            spans.append((kind, len(text), len(text) + len(x)))
-            text += x + frame.split("{}")[1]
+            for turn in range(1 + (i % 10 == 1)):  # some hold two, next to each other or a few words apart
+                kind = r.choice(list(kinds))
+                make, frames = kinds[kind]
+                x, frame = make(), r.choice(frames)
+                text += r.choice([" ", ", ", f" {word()} {word()} "]) if turn else " " if text else ""
+                text += frame.split("{}")[0]
+                spans.append((kind, len(text), len(text) + len(x)))
+                text += x + frame.split("{}")[1]
         else:
             text += (" " if text else "") + r.choice(plain)()
         text += r.choice([" ", ", ", ". ", "\n"]) + " ".join(word() for _ in range(r.randint(0, 4)))
@@ -295,7 +327,7 @@ def find(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tupl
     pieces = zip([0, *(b for _, b in merged)], [*(a for a, _ in merged), len(text)], strict=True)
     for a, b in pieces:  # between the patterns' spans
         for m in _INTEREST.finditer(text, a, b):
-            lo, hi = max(a, m.start() - AROUND), min(b, m.end() + AROUND)
+            lo, hi = _edge(text, max(a, m.start() - AROUND), a, -1), _edge(text, min(b, m.end() + AROUND), b, 1)
             if parts and lo <= parts[-1][1] and parts[-1][2] == a:
                 parts[-1][1] = hi
             else:
@@ -304,6 +336,16 @@ def find(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tupl
     return base, added
 
 
+def _edge(text: str, at: int, end: int, way: int) -> int:
+    """at, moved away so far as it cuts a word, at most to end; back to where it was in a word that is too long for any segment."""
+    to = at
+    while to != end and text[to - 1].isalnum() and text[to].isalnum():
+        to += way
+        if abs(to - at) > SPAN:
+            return at
+    return to
+
+
 def listed(spans: list[tuple[str, int, int]]) -> str:
     """kind:start:end, by kind as listed, then start."""
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
@@ -340,7 +382,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of docs.
 
     The counts and the digest are of the patterns' spans, `spans` lists the field's too; places are code points, ends
-    exclusive. A null or empty text has no spans. Null ids and repeated rows are kept; other columns are passed over.
+    exclusive. Whole texts are read, however long. A null or empty text has no spans. Segmentations that tie give the one with the earlier kind.
+    Null ids and repeated rows are kept; an empty table gives an empty one. Other columns are passed over.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
