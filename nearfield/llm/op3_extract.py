@@ -2,14 +2,18 @@
 
 Markup is stripped into lines, one for each block element's run of text. Elements that never hold an article (scripts,
 menus, headers, footers, sidebars, forms, notices, adverts, reader comments; known by tag, role, class or id) are left out, and
-each leaves a gap of empty lines behind. In a page that marks its article (``<article>``, ``<main>``) the lines inside it are the text.
+each leaves a gap of empty lines behind. The edge of each box (``<div>``, ``<section>``, ``<center>``) is an empty line.
 
-In a page that marks none the distribution decides. The edge of each box (``<div>``, ``<section>``, ``<center>``) is an empty
-line, and the characters outside links are summed over sliding windows of WINDOW lines. Where the window that ends at a line
+The characters outside links are summed over sliding windows of WINDOW lines. Where the window that ends at a line
 rises to the page's level is a surge, where the window that begins at a line falls below it a dive; the lines between are a
-stretch. The level is DENSE of the page's largest window, but no more than SURGE characters. Kept are the longest stretch, those at
+stretch. The level is DENSE of the page's largest window, but no more than SURGE characters. Lines that are mostly links never
+belong to a stretch.
+
+In a page that marks its article (``<article>``, ``<main>``) the windows run over the lines inside it. The marks say where the article is, so
+what lies between a dive and the next surge stays too, short paragraphs among it, but for windows full of links (menus, lists of other
+pages). In a page that marks none the distribution decides alone: kept are the longest stretch, those at
 least SHARE of it, and of the other runs of lines those that belong to the article: between two kept stretches, in the same box as
-a kept one, or headings right before one. Nothing is kept that is mostly links. A notice as dense and long as the article, in a
+a kept one, or headings right before one. A notice as dense and long as the article, in a
 box of its own with no telling name, can't be told from it.
 """
 
@@ -24,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: Lines of a window; a stretch's text, of the longest one's, from which it is kept too; text in links above which it isn't.
 WINDOW, SHARE, LINKS = 3, 0.3, 0.5
 #: Window sum of a surge: of the page's largest window, and characters that always suffice.
@@ -37,18 +43,36 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ROOT = frozenset(["article", "main"])
 _BOX = frozenset(["div", "section", "center"])
 _HEADING = frozenset(["h1", "h2", "h3"])
-# Words of class, id and role that mark what isn't the article.
-_MARKS = frozenset("ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments discussion disqus respond reply replies related recommended share sharing social newsletter subscribe subscription signup login search pagination pager skip copyright complementary contentinfo advert-box".split())
+# Words of class, id and role that mark what isn't the article; those that do so beside one unknown word; words that say nothing; words of an article's own parts.
+_MARKS = frozenset("ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments discussion disqus respond reply replies related recommended share sharing social newsletter subscribe subscription signup login search pagination pager skip copyright complementary contentinfo".split())
+_STRONG = frozenset("advert advertisement sponsor sponsored cookie cookies sidebar newsletter breadcrumb breadcrumbs navbar comment comments disqus".split())
+_PLAIN = frozenset("area bar block bottom box btn button buttons column container form global group icons id inner item items left links list module outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
 _KEEP = frozenset("article content post entry story main body text".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORDS = re.compile(r"[^a-z0-9]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_WORDS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)} if text else {}
+    """A tag's attributes, each name as a whole, the first of a name."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _marked(token: str, whole: bool) -> bool:
+    """Whether a class or id names a part that isn't the article. With `whole` (ids, which often repeat a title) no word of it may be unknown; else
+    most have to be known, or half beside a strong one. Words of an article's parts save all but strong ones (entry-header, but not post-comments)."""
+    words = [w for w in _WORDS.split(_CAMEL.sub("-", token).lower()) if w]
+    marks, strong = sum(w in _MARKS for w in words), any(w in _STRONG for w in words)
+    if not marks or not strong and any(w in _KEEP for w in words):
+        return False
+    unknown = sum(w not in _MARKS and w not in _PLAIN and w not in _KEEP for w in words)
+    return not unknown or not whole and (2 * unknown < len(words) or strong and 2 * unknown == len(words))
 
 
 def _unwanted(name: str, found: dict[str, str]) -> bool:
@@ -56,12 +80,12 @@ def _unwanted(name: str, found: dict[str, str]) -> bool:
         return True
     if not found or name in ("html", "body"):
         return False
-    if "hidden" in found or found.get("aria-hidden") == "true":
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDES.search(found.get("style", "")):
         return True
-    if found.get("role", "").lower() in ("main", "article"):
+    roles = found.get("role", "").lower().split()
+    if "main" in roles or "article" in roles:
         return False
-    words = {w for k in ("class", "id", "role") for x in found.get(k, "").split() for w in _WORDS.split(_CAMEL.sub("-", x).lower())}
-    return bool(words & _MARKS) and not (name in _ROOT and words & _KEEP)
+    return any(r in _MARKS for r in roles) or any(_marked(x, False) for x in found.get("class", "").split()) or any(_marked(x, True) for x in found.get("id", "").split())
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
@@ -78,8 +102,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
     link = False
     skip: str | None = None
     deep = 0
-    edge = ("", 0, False, 0, False)
-    gap = [edge] * WINDOW
+
+    def gap(lines: int = WINDOW) -> list[tuple[str, int, bool, int, bool]]:
+        return [("", 0, inside > 0, 0, False)] * lines
 
     def flush() -> None:
         nonlocal linked
@@ -118,7 +143,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
                 if not (skip == "head" and name == "body"):
                     continue
             skip = None
-            out += gap
+            out += gap()
             if closing or not opened:
                 continue
         found = {} if closing else _attributes(rest)
@@ -127,7 +152,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
                 flush()
                 continue
             flush()
-            out += gap
+            out += gap()
             skip, deep = name, 1
             continue
         if name == "a":
@@ -137,7 +162,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
             link = False
             heading = not closing and name in _HEADING
             if name in _BOX and not rest.endswith("/"):
-                out.append(edge)
+                out += gap(1)
                 if not closing:
                     count += 1
                     boxes.append((name, count))
@@ -147,7 +172,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
             if name in _ROOT:
                 inside = max(0, inside - 1) if closing else inside + 1
                 if inside == (0 if closing else 1):
-                    out += gap
+                    out += gap()
         elif name in ("br", "td", "th"):
             held.append(" ")
     if skip is None:
@@ -156,22 +181,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
     return out
 
 
-def _runs(lines: list[tuple[str, int, bool, int, bool]]) -> list[tuple[bool, list[tuple[str, int, bool, int, bool]]]]:
-    """(between a surge and its dive, lines) of each run of lines in page order; other lines part where the box changes."""
+Line = tuple[str, int, bool, int, bool]
+
+
+def _runs(lines: list[Line]) -> list[tuple[bool, bool, list[Line]]]:
+    """(between a surge and its dive, mostly links, lines) of each run of lines in page order; lines beyond a dive part where the box changes."""
     plain = np.array([len(x[0]) - x[1] for x in lines])
     before = np.convolve(plain, np.ones(WINDOW, dtype=np.int64), "full")[: len(lines)]  # the window that ends at each line
     after = np.convolve(plain, np.ones(WINDOW, dtype=np.int64), "full")[WINDOW - 1 :]  # and the one that begins there
     level = max(1, min(DENSE * before.max(), SURGE))
-    runs: list[tuple[bool, list[tuple[str, int, bool, int, bool]]]] = []
+    runs: list[tuple[bool, bool, list[Line]]] = []
     broken = True
     for line, a, b in zip(lines, before, after, strict=True):
         if not line[0]:
             broken = broken or a == 0
             continue
-        alive = bool(a >= level and b >= level)
-        if broken or runs[-1][0] != alive or not alive and runs[-1][1][-1][3] != line[3]:
-            runs.append((alive, []))
-        runs[-1][1].append(line)
+        linked = line[1] > LINKS * len(line[0])
+        alive = bool(a >= level and b >= level) and not linked
+        if broken or runs[-1][:2] != (alive, linked) or not alive and runs[-1][2][-1][3] != line[3]:
+            runs.append((alive, linked, []))
+        runs[-1][2].append(line)
         broken = False
     return runs
 
@@ -179,23 +208,25 @@ def _runs(lines: list[tuple[str, int, bool, int, bool]]) -> list[tuple[bool, lis
 def main_text(page: str) -> str:
     """The article's blocks, joined by newlines; empty if there is none."""
     lines = lines_of(page)
-    kept = [x for x in lines if x[2] and x[0]]
-    if kept or not lines:
-        return "\n".join(x[0] for x in kept)
+    marked = [x for x in lines if x[2]]
+    if any(x[0] for x in marked):
+        return "\n".join(x[0] for _, linked, part in _runs(marked) if not linked or len(part) < WINDOW for x in part)
+    if not any(x[0] for x in lines):
+        return ""
     runs = _runs(lines)
-    sizes = [(sum(len(x[0]) for x in part), sum(x[1] for x in part)) for _, part in runs]
-    free = [linked <= LINKS * text for text, linked in sizes]
-    most = max((text - linked for (text, linked), (alive, _), ok in zip(sizes, runs, free, strict=True) if alive and ok), default=0)
-    take = [alive and ok and text - linked >= SHARE * most for (text, linked), (alive, _), ok in zip(sizes, runs, free, strict=True)]
+    sizes = [sum(len(x[0]) - x[1] for x in part) for _, _, part in runs]
+    most = max((n for n, (alive, _, _) in zip(sizes, runs, strict=True) if alive), default=0)
+    take = [alive and n >= SHARE * most for n, (alive, _, _) in zip(sizes, runs, strict=True)]
     chosen = [i for i, x in enumerate(take) if x]
     if not chosen:
         return ""
-    places = {x[3] for i in chosen for x in runs[i][1]}
+    places = {x[3] for i in chosen for x in runs[i][2]}
     for i in range(len(runs) - 1, -1, -1):
-        part = runs[i][1]
+        _, linked, part = runs[i]
         titles = i + 1 < len(runs) and take[i + 1] and all(x[4] for x in part)
-        take[i] = take[i] or free[i] and (chosen[0] < i < chosen[-1] or part[0][3] in places or titles)
-    return "\n".join(x[0] for ok, (_, part) in zip(take, runs, strict=True) if ok for x in part)
+        between = chosen[0] < i < chosen[-1]
+        take[i] = take[i] or not linked and (between or part[0][3] in places or titles) or linked and len(part) < WINDOW and (between or titles)
+    return "\n".join(x[0] for ok, (_, _, part) in zip(take, runs, strict=True) if ok for x in part)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +238,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages, from the whole html.
 
-    A null or empty page, or one without an article, has an empty text. Null ids and urls and repeated rows are kept as
-    they are; other columns are passed over.
+    A null or empty page, or one without an article, has an empty text. Very long pages are read whole, in time linear in their length. Null ids
+    and urls and repeated rows are kept as they are, each with its own text, so nothing ties; an empty table gives an empty one. Other columns are passed over.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -40,6 +40,14 @@ def test_articles_of_the_tables(spark, sf):
         ("<script>var a = '</p><p>no';</script><style>p{}</style><!-- <p>no</p> --><p>yes</p>", "yes"),
         ("<p title='a > b'>x</p><p>1 < 2 and 3 > 2</p>", "x\n1 < 2 and 3 > 2"),
         ("<article><p>kept &am</p><ul><li>one<li>two</ul>", "kept &am\none\ntwo"),
+        ('<article><div style="overflow:hidden"><p>Paragraph one.</p></div></article>', "Paragraph one."),
+        ('<main><div data-id="menu-7"><p>Paragraph one.</p></div></main>', "Paragraph one."),
+        ('<article><p title="the hidden valley">Paragraph one.</p><p>Two.</p></article>', "Paragraph one.\nTwo."),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>One.</p></article>', "Title\nOne."),
+        ('<article><section id="search-for-truth"><h2>Search for truth</h2><p>One.</p></section></article>', "Search for truth\nOne."),
+        ('<article><p>One.</p><div style="display: none"><p>Hidden</p></div><p hidden>Hidden</p><div class="post-comments"><p>first!</p></div><div id="related"><p>More</p></div><p>Two.</p></article>', "One.\nTwo."),
+        ('<article><h1><a href=/x>Linked title</a></h1><p>Short.</p><ul><li><a href=/a>One story</a><li><a href=/b>Another story</a><li><a href=/c>A third</a></ul><p>That was the end, <a href=/d>see this</a>.</p></article>', "Linked title\nShort.\nThat was the end, see this."),
+        ('<main><div class="site-cookie-bar">We use them</div><div class="wp-comments">No</div><div class="share-price"><p>The share price rose.</p></div></main>', "The share price rose."),
     ],
 )
 def test_main_text(page, text):
