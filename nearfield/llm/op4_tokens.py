@@ -1,16 +1,18 @@
-"""Token counts by a map-side lookup of two tiers; no pre-token is ever shuffled.
+"""Token counts by a map-side lookup of two tiers; pre-tokens are neither shuffled nor collected.
 
 Byte-level BPE with the usual pattern of letters, digits, punctuation and white space never lets a pre-token cross from
 a run of ASCII white space into a word, but for one space before it. So a text's count is the sum over its words, each
 with the single space before it if there is one, and over the rest of the white space. Words are hashed with numpy and
-looked up in a direct-mapped table: tier one, the frequent words of a bounded sample, is made once and broadcast (at most
-FREQUENT entries); tier two is the worker's own copy of the table (SLOTS entries), which learns the misses. Misses are
+looked up in a direct-mapped table: tier one, the words of the tokenizer's own vocabulary (its merges are those of frequent words), alone and with a
+mark after them, is made once by the tokenizer and broadcast as hashes and lengths (12 bytes an entry, at most FREQUENT); tier two is the worker's own
+copy of the table (SLOTS entries), which learns the misses. Misses are
 encoded by the tokenizer itself, each distinct one of a batch once. Texts in which the rule above doesn't hold (a special
-token's string, white space beyond ASCII) are encoded whole.
+token's string, white space beyond ASCII) are encoded whole, and so is every text if the file's tokenizer isn't of that kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import partial
@@ -21,21 +23,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textkit import SPACE, U, chunks, mix, utf8, word_hashes, word_starts
 
-#: Entries of the broadcast tier, and documents sampled for it.
-FREQUENT, SAMPLE = 1 << 16, 4000
+#: Entries of the broadcast tier, and marks with which its words are taken too.
+FREQUENT, AFTER = 1 << 18, ("", ",", ".")
 #: Slots of a worker's table.
 SLOTS = 1 << 22
 _SPACED = U(0xA24BAED4963EE407)
 _BEYOND = regex.compile(r"(?V1)[\p{White_Space}--[\x20\x09-\x0D]]|[\x1C-\x1F]")
+_ONE_WORD = regex.compile(r" ?[^\s\x1C-\x1F\uFFFD]+")
 _workers: dict[str, "Counter"] = {}
 
 
 class Counter:
     """Token counts of Arrow text columns for one tokenizer file."""
 
-    def __init__(self, path: str, frequent: list[tuple[int, int]] = ()):
+    def __init__(self, path: str, frequent: tuple[np.ndarray, np.ndarray] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,9 +48,10 @@ class Counter:
         self.tokenizer.no_padding()
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.keys, self.lengths = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32)
-        if len(frequent):
-            self._learn(np.array([x[0] for x in frequent], np.int64).view(np.uint64), np.array([x[1] for x in frequent], np.int64))
+        if frequent:
+            self._learn(*frequent)
         self.blank: dict[str, int] = {}
+        self.splits = splits_at_words(json.loads(self.tokenizer.to_str()))
 
     def _learn(self, keys: np.ndarray, lengths: np.ndarray) -> None:
         at = (keys >> U(8) & U(SLOTS - 1)).astype(np.int64)
@@ -67,6 +72,9 @@ class Counter:
         data, offsets = utf8(column)
         tokens = np.zeros(len(offsets) - 1, dtype=np.int64)
         for lo, hi in chunks(offsets):
+            if not self.splits:
+                tokens[lo:hi] = self.encode([data[i:j].tobytes().decode() for i, j in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
+                continue
             b, starts, bounds = word_starts(data, offsets, lo, hi)
             inner = offsets[lo : hi + 1] - offsets[lo]
             if len(starts):
@@ -146,23 +154,33 @@ class Counter:
         return out
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of a sample: (word with its space, times)."""
-    for batch in batches:
-        seen: dict[str, int] = {}
-        for text in batch.column(0).to_pylist():
-            for m in regex.finditer(r"(?:(?<=[^\x20\x09-\x0D])\x20)?[^\x20\x09-\x0D]+", text or ""):
-                seen[m.group()] = seen.get(m.group(), 0) + 1
-        top = sorted(seen.items(), key=lambda kv: -kv[1])[:FREQUENT]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["word", "times"])
+def splits_at_words(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those under which words can be counted one by one: byte-level BPE with the usual pattern, nothing before it."""
+    before = settings.get("pre_tokenizer") or {}
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    plain = not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in settings.get("added_tokens") or ())
+    return bool(usual and plain and settings.get("normalizer") is None and settings.get("model", {}).get("type") == "BPE")
 
 
-def key_of(word: str) -> int:
-    """A word's key in the table, signed."""
-    data, offsets = utf8(pa.array([word]))
+def keys_of(words: list[str]) -> np.ndarray:
+    """Keys in the table of words without white space but a space before them."""
+    data, offsets = utf8(pa.array(words, pa.string()))
+    found, spaced = [np.empty(0, np.uint64)], np.array([w[:1] == " " for w in words], dtype=bool)
     with np.errstate(over="ignore"):
-        h, _ = word_hashes(data, offsets, 0, 1, fold=False)
-        return int((mix(h ^ (_SPACED if word[0] == " " else U(0))) | U(1)).view(np.int64)[0])
+        for lo, hi in chunks(offsets):
+            hashes, _ = word_hashes(data, offsets, lo, hi, fold=False)
+            found.append(mix(hashes ^ np.where(spaced[lo:hi], _SPACED, U(0))) | U(1))
+    return np.concatenate(found)
+
+
+def frequent_words(counter: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, lengths) of the vocabulary's words, the first of its merges first, and of those with a mark."""
+    if not counter.splits:
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    vocabulary = range(counter.tokenizer.get_vocab_size(with_added_tokens=False))
+    words = [w for w in counter.tokenizer.decode_batch([[i] for i in vocabulary], skip_special_tokens=False) if _ONE_WORD.fullmatch(w)]
+    words = [w + mark for w in words[: FREQUENT // len(AFTER)] for mark in AFTER]
+    return keys_of(words), np.array(counter.encode(words), dtype=np.uint32)
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, frequent, limit: int) -> Iterator[pa.RecordBatch]:
@@ -179,13 +197,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs, counted as the byte-level BPE of the file at `path` does.
 
     No special tokens are added; their strings inside a text count as the library takes them by default. A null or empty
-    text has 0 bytes and 0 tokens. Null ids and repeated rows are kept as they are; other columns are passed over.
+    text has 0 bytes and 0 tokens; very long ones are counted whole. Null ids and repeated rows are kept as they are, each with its own count, so
+    nothing ties; an empty table gives an empty one. Other columns are passed over.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    words = texts.select("text").sample(share, seed=7).mapInArrow(_sampled, "word string, times long")
-    top = words.groupBy("word").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "word").limit(FREQUENT).collect()
-    encoder = Counter(path)
-    frequent = [(key_of(r.word), n) for r, n in zip(top, encoder.encode([r.word for r in top]), strict=True)] if top else []
-    return texts.mapInArrow(partial(_count, path=path, frequent=spark.sparkContext.broadcast(frequent), limit=limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    frequent = spark.sparkContext.broadcast(frequent_words(Counter(path)))
+    return texts.mapInArrow(partial(_count, path=path, frequent=frequent, limit=limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
