@@ -1,8 +1,8 @@
 """Quality selection by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Word unigrams and bigrams are hashed into BUCKETS buckets. Raw counts come from every document, target counts from a
-bounded sample of the documents that are labelled good; both models are smoothed, and a document's log weight is the sum of
-its n-grams' log ratios, divided by their number so that length doesn't decide. Adding Gumbel noise from a hash of the id
+bounded sample of the documents that are labelled good; both models are smoothed, and a document's log weight is the log of its
+probability under the target's model less that under the raw text's, the sum of its n-grams' log ratios. Adding Gumbel noise from a hash of the id
 and keeping the k largest keys draws k documents without replacement in proportion to their weights. The k-th key is
 found exactly, 16 bits of it at a time, by counts of at most 65,536 prefixes; no key is sorted or gathered.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textkit import U, chunks, mix, shingle_hashes, utf8, word_hashes
 
-#: Buckets of the models, labelled documents that are read at most, counts added to each bucket, and factor of the log weight in the key.
-BUCKETS, LABELLED, SMOOTH, SHARPNESS = 1 << 14, 20_000, 1.0, 10.0
+#: Buckets of the models, labelled documents that are read at most, and counts added to each bucket.
+BUCKETS, LABELLED, SMOOTH = 1 << 14, 20_000, 1.0
 
 
 def buckets(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +61,20 @@ def _weigh(batches: Iterator[pa.RecordBatch], ratio) -> Iterator[pa.RecordBatch]
             weight = np.zeros(len(batch))
             for lo, hi in chunks(offsets):
                 found, at = buckets(*word_hashes(data, offsets, lo, hi, letters=True))
-                n = np.diff(at)
                 if len(found):
-                    sums = np.add.reduceat(ratio.value[found], np.minimum(at[:-1], len(found) - 1)) * (n > 0)
-                    weight[lo:hi] = sums / np.maximum(n, 1)
+                    weight[lo:hi] = np.add.reduceat(ratio.value[found], np.minimum(at[:-1], len(found) - 1)) * (np.diff(at) > 0)
             ids = batch.column(0)
             seeds = np.array([0 if x is None else x for x in ids.to_pylist()], dtype=np.int64).view(np.uint64)
             u = (mix(seeds * U(0x9E3779B97F4A7C15) + U(29)) >> U(11)).astype(np.float64)
             gumbel = -np.log(-np.log((u + 0.5) / 2.0**53))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(weight), pa.array(SHARPNESS * weight + gumbel)], names=["doc_id", "log_weight", "key"])
+            key = weight + gumbel
+            yield pa.RecordBatch.from_arrays([ids, pa.array(weight), pa.array(key), pa.array(places(key))], names=["doc_id", "log_weight", "key", "place"])
+
+
+def places(key: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of finite doubles, equal just where they are."""
+    bits = (key + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
 
 
 def log_ratios(texts: DataFrame) -> np.ndarray:
@@ -100,9 +105,9 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float = 0.5, id_col: st
     """(doc_id, log_weight, key, selected) for every row of docs: ceil(share * rows) are drawn.
 
     The target is the text of rows labelled 1 (of at most LABELLED labels, by a hash of the id); without any, all weights
-    are 0. A null or empty text weighs 0. Rows that repeat an id have equal noise; ties of the key go to the smaller id,
+    are 0. A null or empty text has the log weight 0; whole texts count, so a long one's may be large either way. Rows that repeat an id have equal noise; ties of the key go to the smaller id,
     and rows that tie in both are drawn together, which may exceed the number by their repeats. A null id draws as 0 does.
-    Null labels aren't good; other columns are passed over.
+    Null labels aren't good; an empty table gives an empty one; other columns are passed over.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "resample")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -110,9 +115,7 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float = 0.5, id_col: st
     good = good.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(LABELLED).withColumn("good", F.lit(True))
     texts = rows.join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ratio = spark.sparkContext.broadcast(log_ratios(texts))
-    # a key's place in the order of all keys, in parts of 2^-40: exact for the cut, equal for keys closer than that
-    weighed = rows.mapInArrow(partial(_weigh, ratio=ratio), "doc_id long, log_weight double, key double").withColumn("place", F.round(F.col("key") * float(1 << 40)).cast("long"))
-    weighed = scratch.table(weighed, "weighed")
+    weighed = scratch.table(rows.mapInArrow(partial(_weigh, ratio=ratio), "doc_id long, log_weight double, key double, place long"), "weighed")
     total = weighed.count()
     if not total:
         return weighed.select("doc_id", "log_weight", "key", F.lit(False).alias("selected"))
