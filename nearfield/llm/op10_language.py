@@ -2,12 +2,14 @@
 
 Each language has a byte context tree of variable order, up to ORDER. A symbol that a context has seen costs its share
 of the context's counts; any other costs the escape (method C: distinct symbols over total plus distinct) and then its share
-in the context that is shorter by a symbol, among the symbols not yet excluded. Statistics are frozen after training, so every
+in the context that is shorter by a symbol, where the symbols already seen are excluded and the shares of the others, escapes of that
+context included, are brought to sum 1 again. Statistics are frozen after training, so every
 node's full distribution is worked out once, as whole numbers of 1/4096 bit, and a text's code length under a language is
 an exact sum of table entries. The language of the shortest code wins.
 
 Symbols are bytes: ASCII letters in lower case, any other ASCII byte as a space, Latin capitals of two bytes in lower case,
-bytes that training never saw as one more symbol.
+bytes that training never saw as one more symbol. All trees share one alphabet; each is kept over its own language's symbols and one
+that stands for any of the others, which are equally likely there, so a tree's size depends on its own language alone.
 """
 
 from __future__ import annotations
@@ -57,69 +59,75 @@ class Model:
         for v in coded.values():
             for x in v:
                 seen[x] = True
-        order = [32, *(c for c in np.flatnonzero(seen).tolist() if c != 32)]
-        self.symbols = len(order) + 1
-        self.map = np.full(256, len(order), dtype=np.int32)
-        self.map[order] = np.arange(len(order))
-        self.trees = [self._tree([self.map[x] for x in coded[k]]) for k in self.languages]
-
-    def _tree(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(node of each run of ORDER symbols, cost of each symbol after each node)."""
-        s = self.symbols
+        self.alphabet = int(seen.sum()) + 1
+        self.trees = [self._tree(coded[k]) for k in self.languages]
+
+    def _tree(self, texts: list[np.ndarray]) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """(symbol of each byte, symbols, node of each run of ORDER symbols, cost of each symbol after each node). Symbol 0 is the space, the last any other."""
+        own = np.zeros(256, dtype=bool)
+        own[32] = True
+        for t in texts:
+            own[t] = True
+        order = [32, *(c for c in np.flatnonzero(own).tolist() if c != 32)]
+        s = len(order) + 1
+        symbol = np.full(256, s - 1, dtype=np.int32)
+        symbol[order] = np.arange(s - 1)
+        times = np.ones(s)  # symbols of the alphabet that each stands for
+        times[-1] = self.alphabet - (s - 1)
+        texts = [symbol[t] for t in texts]
         pad = np.zeros(ORDER, dtype=np.int64)
         x = np.concatenate([y for t in texts for y in (pad, t)] or [pad]).astype(np.int64)
         code = np.zeros(max(0, len(x) - ORDER), dtype=np.int64)
         for j in range(ORDER + 1):
             code = code * s + x[j : j + len(code)]
-        grams, counts = np.unique(code, return_counts=True)
-        chance, at = np.full((1, s), 1 / s), np.zeros(1, dtype=np.int64)  # the level below order 0 is uniform
+        inside = np.concatenate([y for t in texts for y in (np.zeros(ORDER, dtype=bool), np.ones(len(t), dtype=bool))] or [np.zeros(ORDER, dtype=bool)])
+        grams, counts = np.unique(code[inside[ORDER:]], return_counts=True)  # the spaces before a text are contexts, not symbols
+        chance, at = np.full((1, s), 1 / self.alphabet), np.zeros(1, dtype=np.int64)  # the level below order 0 is uniform
         rows, node, base = [], np.zeros(1, dtype=np.int32), 0
         for k in range(ORDER + 1):
-            context, symbol = (grams % s ** (k + 1)) // s, grams % s
+            context, last = (grams % s ** (k + 1)) // s, grams % s
             known, back = np.unique(context, return_inverse=True)
             if not k:
                 known, back = np.zeros(1, dtype=np.int64), np.zeros(len(grams), dtype=np.int64)
             n = np.zeros((len(known), s))
-            np.add.at(n, (back, symbol), counts)
+            np.add.at(n, (back, last), counts)
             parent = chance[at[known % s ** (k - 1)]] if k else np.repeat(chance, len(known), axis=0)
             total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
             rest = np.where(n > 0, 0, parent)
-            left = rest.sum(axis=1, keepdims=True)
-            full = kinds == s
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = np.where(full, n / total, n / np.maximum(total + kinds, 1) + np.where(kinds == 0, 1.0, kinds / (total + kinds)) * rest / left)
-            chance = own if not k else np.concatenate([chance, own])
+            left = (rest * times).sum(axis=1, keepdims=True)  # the last symbol is never seen, so something is
+            here = n / np.maximum(total + kinds, 1) + np.where(kinds == 0, 1.0, kinds / np.maximum(total + kinds, 1)) * rest / left
+            chance = here if not k else np.concatenate([chance, here])
             wide = np.tile(node, s) if k else node  # a context not known stands for its longest known ending
             ids = np.arange(base, base + len(known))
             wide = wide.copy()
             wide[known] = ids
             node, base = wide.astype(np.int32), base + len(known)
             at = node.astype(np.int64)
-            rows.append(own)
+            rows.append(here)
         cost = np.rint(-np.log2(np.concatenate(rows)) * PARTS).astype(np.int32)
-        return node, cost.ravel()
+        return symbol, s, node, cost.ravel()
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """Code lengths of texts lo to hi (rows) under the languages (columns), in 1/PARTS bit."""
-        x = self.map[folded(data[offsets[lo] : offsets[hi]])]
-        inner = offsets[lo : hi + 1] - offsets[lo]
+        sizes = np.diff(offsets[lo : hi + 1])
         out = np.zeros((hi - lo, len(self.trees)), dtype=np.int64)
-        if not len(x):
+        if not sizes.sum():
             return out
-        starts, context = inner[:-1], np.zeros(len(x), dtype=np.int32)
-        for j in range(ORDER, 0, -1):
-            context *= self.symbols
-            before = np.zeros(len(x), dtype=np.int32)
-            before[j:] = x[:-j]
-            for i in range(j):
-                before[(starts + i)[starts + i < inner[1:]]] = 0
-            context += before
-        at, some = np.minimum(starts, len(x) - 1), inner[1:] > starts
-        for k, (node, cost) in enumerate(self.trees):
-            index = node[context]
-            index *= self.symbols
-            index += x
-            out[:, k] = np.add.reduceat(cost[index], at, dtype=np.int64) * some
+        # ORDER spaces go before each text, so that contexts are plain shifts; places are those of the symbols after them
+        start = np.cumsum(sizes) - sizes + ORDER * np.arange(hi - lo)
+        b = np.full(int(sizes.sum()) + ORDER * (hi - lo), 32, dtype=np.uint8)
+        b[np.arange(sizes.sum()) + np.repeat(ORDER * np.arange(1, hi - lo + 1), sizes)] = folded(data[offsets[lo] : offsets[hi]])
+        ends = np.stack([start, start + sizes], axis=1).ravel()
+        for k, (symbol, s, node, cost) in enumerate(self.trees):
+            x = symbol[b]
+            index = x[:-ORDER].copy()
+            for j in range(1, ORDER):
+                index *= s
+                index += x[j : j - ORDER]
+            index = node[index]
+            index *= s
+            index += x[ORDER:]
+            out[:, k] = np.add.reduceat(np.append(cost[index], 0), ends, dtype=np.int64)[::2] * (sizes > 0)
         return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -183,9 +191,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
 def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rate) for every row of docs, from its whole text alone.
 
-    lang_pred is UNKNOWN and score 0 for a null text and one without a letter (or if nothing was learned); rate is the
-    winner's bits a byte. Ties go to the first language by code point. Null ids and repeated rows are kept as they are;
-    other columns are passed over.
+    lang_pred is UNKNOWN and score 0 for a null or empty text and one without a letter (or if nothing was learned); rate is the
+    winner's bits a byte. Very long texts are read whole. Ties go to the first language by code point. Null ids and repeated rows are kept as they are;
+    an empty table gives an empty one. Other columns are passed over.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -193,7 +201,7 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
 
 def with_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is known with a score of at least `least`, with all their columns and repeats."""
+    """The rows of docs whose language is known with a score of at least `least`, with all their columns and repeats; those go whose text is null, empty or without a letter."""
     small_batches(docs.sparkSession)
 
     def choose(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
