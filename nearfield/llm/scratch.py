@@ -1,21 +1,25 @@
 """Intermediate tables in the folder that all executors share.
 
 Long plans are cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it back, so a lost
-executor costs a re-read and not a re-computation. The folder is read from the session; only where it is unset
-(tests) a local one is set.
+executor costs a re-read and not a re-computation. The folder is read from the session; where it is unset a local one is set, if all
+executors are this process (tests), and else that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,8 +36,10 @@ BATCH = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    """Hold the session's Arrow batches to BATCH bytes, from now on (plans run later); a smaller bound of the session's own stays."""
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
 class Scratch:
