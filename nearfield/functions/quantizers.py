@@ -11,7 +11,7 @@ import json
 from typing import ClassVar, Protocol
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.metrics import Metric, doubles, metric
@@ -23,7 +23,8 @@ class Quantizer(Protocol):
 
     def encode(self, x: np.ndarray) -> np.ndarray: ...
     def decode(self, codes: np.ndarray) -> np.ndarray: ...
-    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray: ...
+    def prepare(self, q: np.ndarray): ...  # what distances needs of the queries, made once for all codes
+    def distances(self, q: np.ndarray, codes: np.ndarray, ready=None) -> np.ndarray: ...
     def code_size(self) -> int: ...
 
 
@@ -32,13 +33,12 @@ def compression(quantizer: Quantizer) -> float:
     return 4 * quantizer.dim / quantizer.code_size()
 
 
-def by_metric(quantizer: Quantizer, q: np.ndarray, codes: np.ndarray, by: str | Metric) -> np.ndarray:
-    """Distances under any metric: the quantizer's own for (squared) Euclidean, else from decoded vectors."""
+def by_metric(quantizer: Quantizer, q: np.ndarray, codes: np.ndarray, by: str | Metric, ready=None) -> np.ndarray:
+    """Distances under any metric: the quantizer's own for (squared) Euclidean, else from decoded vectors. ready: what `prepare` has made of q."""
     m = metric(by)
-    if m.name == "l2":
-        return quantizer.distances(q, codes)
-    if m.name == "euclidean":
-        return np.sqrt(quantizer.distances(q, codes))
+    if m.name in ("l2", "euclidean"):
+        d = quantizer.distances(q, codes, ready)
+        return np.sqrt(d) if m.name == "euclidean" else d
     return m.exact(q[:, None, :], quantizer.decode(codes)[None])
 
 
@@ -63,8 +63,11 @@ class Half:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(codes).view("<f2").astype(np.float64)
 
-    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        return metric("l2").exact(self.decode(self.encode(q))[:, None, :], self.decode(codes)[None])
+    def prepare(self, q: np.ndarray) -> np.ndarray:
+        return self.decode(self.encode(q))
+
+    def distances(self, q: np.ndarray, codes: np.ndarray, ready: np.ndarray | None = None) -> np.ndarray:
+        return metric("l2").exact((self.prepare(q) if ready is None else ready)[:, None, :], self.decode(codes)[None])
 
     def to_json(self) -> dict:
         return {"kind": self.kind, "dim": self.dim}
@@ -104,8 +107,11 @@ class Byte:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return codes * self.scale + self.offset
 
-    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        a, b = self.encode(q).astype(np.float64), codes.astype(np.float64)
+    def prepare(self, q: np.ndarray) -> np.ndarray:
+        return self.encode(q).astype(np.float64)
+
+    def distances(self, q: np.ndarray, codes: np.ndarray, ready: np.ndarray | None = None) -> np.ndarray:
+        a, b = self.prepare(q) if ready is None else ready, codes.astype(np.float64)
         return np.maximum((a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)[None], 0) * (self.scale * self.scale)  # whole numbers: exact
 
     def column(self, v: Column) -> Column:
@@ -173,12 +179,21 @@ class Product:
         """Squared distances of each query's parts to all centres: queries, parts, centres."""
         return np.stack([metric("l2").exact(part[:, None, :], self.books[m][None]) for m, part in enumerate(np.moveaxis(self._parts(q), 1, 0))], axis=1)
 
-    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        table, out = self.tables(q), np.zeros((len(q), len(codes)))
+    prepare = tables
+
+    def distances(self, q: np.ndarray, codes: np.ndarray, ready: np.ndarray | None = None) -> np.ndarray:
+        table, out = self.tables(q) if ready is None else ready, np.zeros((len(q), len(codes)))
         for m in range(len(self.books)):
             out += table[:, m, :][:, codes[:, m]]
         return out
 
+    def direct(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The same distances without tables: of each query's parts to the centres that the codes name, summed in the order of the parts."""
+        parts, out = self._parts(q), np.zeros((len(q), len(codes)))
+        for m in range(len(self.books)):
+            out += metric("l2").exact(parts[:, m][:, None, :], self.books[m][codes[:, m]][None])
+        return out
+
     def to_json(self) -> dict:
         return {"kind": self.kind, "books": self.books.tolist()}
 
@@ -232,8 +247,9 @@ class SignBit:
             x = self._hadamard(x) * s
         return x[:, : self.dim]
 
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        x = self.rotate(x - self.centre)
+    def encode(self, x: np.ndarray, centre: np.ndarray | None = None) -> np.ndarray:
+        """Codes of the residuals from `centre`, or from the own one."""
+        x = self.rotate(x - (self.centre if centre is None else centre))
         bits = np.packbits(x > 0, axis=1, bitorder="little")
         norm2, spread = (x * x).sum(axis=1), np.abs(x).sum(axis=1) / np.sqrt(self.wide)
         # x is a residual of length n; n / (sum |unit| / sqrt(wide)) is n * n / (sum |x| / sqrt(wide))
@@ -245,19 +261,23 @@ class SignBit:
         tail = np.ascontiguousarray(codes[:, cut:]).view("<f4").astype(np.float64)
         return np.unpackbits(codes[:, :cut], axis=1, bitorder="little").astype(np.float64), tail[:, 0], tail[:, 1]
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
+    def decode(self, codes: np.ndarray, centre: np.ndarray | None = None) -> np.ndarray:
         bits, norm2, _ = self._open(codes)
-        return self.unrotate((2 * bits - 1) / np.sqrt(self.wide) * np.sqrt(norm2)[:, None]) + self.centre
+        return self.unrotate((2 * bits - 1) / np.sqrt(self.wide) * np.sqrt(norm2)[:, None]) + (self.centre if centre is None else centre)
 
-    def estimates(self, q: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimated squared distances, bounds of their errors), queries by codes."""
-        bits, norm2, factor = self._open(codes)
-        r = self.rotate(q - self.centre)
+    def prepare(self, q: np.ndarray, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, 4-bit rotated unit vectors) of the queries' residuals."""
+        r = self.rotate(q - (self.centre if centre is None else centre))
         length = np.linalg.norm(r, axis=1)
         unit = np.divide(r, length[:, None], out=np.zeros_like(r), where=length[:, None] > 0)
         lo, hi = unit.min(axis=1, keepdims=True), unit.max(axis=1, keepdims=True)
         step = np.maximum((hi - lo) / 15, 1e-30)
-        grid = np.clip(np.rint((unit - lo) / step), 0, 15) * step + lo
+        return length, np.clip(np.rint((unit - lo) / step), 0, 15) * step + lo
+
+    def estimates(self, q: np.ndarray, codes: np.ndarray, centre: np.ndarray | None = None, ready=None) -> tuple[np.ndarray, np.ndarray]:
+        """(estimated squared distances, bounds of their errors), queries by codes."""
+        bits, norm2, factor = self._open(codes)
+        length, grid = self.prepare(q, centre) if ready is None else ready
         inner = (grid @ (2 * bits - 1).T) / np.sqrt(self.wide)
         about = norm2[None] + (length**2)[:, None] - 2 * length[:, None] * factor[None] * inner
         ip = np.divide(np.sqrt(norm2), factor, out=np.zeros_like(norm2), where=factor > 0)
@@ -265,8 +285,8 @@ class SignBit:
             bound = 2 * length[:, None] * (factor * self.SPREAD * np.sqrt(np.maximum(1 - ip * ip, 0) / (self.wide - 1)))[None]
         return np.maximum(about, 0), np.where((ip <= 0)[None] & (norm2 > 0)[None], np.inf, bound)
 
-    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        return self.estimates(q, codes)[0]
+    def distances(self, q: np.ndarray, codes: np.ndarray, ready=None) -> np.ndarray:
+        return self.estimates(q, codes, ready=ready)[0]
 
     def to_json(self) -> dict:
         return {"kind": self.kind, "centre": self.centre.tolist(), "seed": self.seed}
@@ -289,6 +309,22 @@ def dumps(quantizer: Quantizer) -> str:
     return json.dumps(quantizer.to_json())
 
 
+def save(spark: SparkSession, quantizer: Quantizer, path: str) -> None:
+    """Write a quantizer to a file of any Hadoop file system; an existing file is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
+    out.write(bytearray(dumps(quantizer).encode()))
+    out.close()
+
+
+def load(spark: SparkSession, path: str) -> Quantizer:
+    """A quantizer from its file; a damaged file is an error."""
+    try:
+        return loads(spark.read.text(path, wholetext=True).first()[0])
+    except (TypeError, KeyError, ValueError) as bad:
+        raise ValueError(f"{path} holds no quantizer") from bad
+
+
 def loads(text: str) -> Quantizer:
     x = json.loads(text)
     if x.get("kind") not in KINDS:

@@ -12,7 +12,28 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.metrics import Metric, metric
 from nearfield.functions.quantizers import Quantizer, SignBit, by_metric, dumps, loads, unpacked
-from nearfield.operators.search import AT_ONCE, Best, in_blocks, query_blocks, rescored, top_k
+from nearfield.operators.search import AT_ONCE, Best, block_by_block, in_blocks, rescored, top_k
+
+
+class Ready:
+    """What a quantizer makes of its queries, in parts of PART; kept from batch to batch up to KEPT bytes."""
+
+    PART, KEPT = 256, 64 << 20
+
+    def __init__(self, own: Quantizer, q: np.ndarray):
+        self.own, self.q, self.kept, self.room = own, q, {}, self.KEPT
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, object]]:
+        """(first query, queries, what was made of them)."""
+        for lo in range(0, len(self.q), self.PART):
+            part = self.q[lo : lo + self.PART]
+            ready = self.kept.get(lo)
+            if ready is None:
+                ready = self.own.prepare(part)
+                size = sum(x.nbytes for x in (ready if isinstance(ready, tuple) else (ready,)))
+                if size <= self.room:
+                    self.kept[lo], self.room = ready, self.room - size
+            yield lo, part, ready
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], queries, k: int, text: str, by) -> Iterator[pa.RecordBatch]:
@@ -20,15 +41,15 @@ def _nearest(batches: Iterator[pa.RecordBatch], queries, k: int, text: str, by)
     own, best = loads(text), Best(len(q_ids), k)
     if q.shape[1] != own.dim:
         raise ValueError(f"a query has {q.shape[1]} dimensions, not {own.dim}")
+    made = Ready(own, q)
     for batch in batches:
         if not len(batch) or not k:
             continue
         ids, codes = batch.column(0).to_numpy(), unpacked(batch.column(1), own)
-        step = max(1, AT_ONCE // len(ids) // own.dim + 1)
-        for lo in range(0, len(q), step):
-            d = by_metric(own, q[lo : lo + step], codes, by)
+        for lo, part, ready in made.parts():
+            d = by_metric(own, part, codes, by, ready)
             for i in range(len(d)):
-                near = np.flatnonzero(d[i] <= best.dist[lo + i, -1])
+                near = np.flatnonzero(d[i] <= best.bound(lo + i))
                 best.add(lo + i, ids[near], d[i, near])
     yield best.table(q_ids)
 
@@ -61,13 +82,15 @@ def _within(batches: Iterator[pa.RecordBatch], queries, text: str, limits) -> It
 def bounded_knn(codes: DataFrame, queries: DataFrame, k: int, quantizer: SignBit, vectors: DataFrame, by: Metric) -> DataFrame:
     """Exact distances where they may matter: the k best estimates are rescored, and the k-th of those distances bounds the
     true one, so only rows whose estimate less its error stays within it are rescored in turn."""
-    spark, codes, text, out = codes.sparkSession, codes.select("vec_id", "code"), dumps(quantizer), None
-    for block in query_blocks(queries):
-        sent = spark.sparkContext.broadcast(block)
+    codes, text, schema = codes.select("vec_id", "code"), dumps(quantizer), "q_id long, vec_id long, dist double"
+
+    def near(block, send):
+        sent = send(block)
         own = queries.where(F.col("q_id").isin([int(i) for i in block[0]])) if len(block[0]) <= 1000 else queries
-        first = top_k(codes.mapInArrow(partial(_nearest, queries=sent, k=k, text=text, by="l2"), "q_id long, vec_id long, dist double"), k)
+        first = top_k(codes.mapInArrow(partial(_nearest, queries=sent, k=k, text=text, by="l2"), schema), k)
         exact = rescored(first, vectors, own, k, "l2")
         limits = {r.q_id: r.d if r.n >= k else float("inf") for r in exact.groupBy("q_id").agg(F.max("dist").alias("d"), F.count("*").alias("n")).collect()}  # one number a query
-        near = codes.mapInArrow(partial(_within, queries=sent, text=text, limits=spark.sparkContext.broadcast(limits)), "q_id long, vec_id long, dist double")
-        out = near if out is None else out.union(near)
-    return rescored(spark.createDataFrame([], "q_id long, vec_id long, dist double") if out is None else out, vectors, queries, k, by)
+        found = codes.mapInArrow(partial(_within, queries=sent, text=text, limits=send(limits)), schema)
+        return rescored(found, vectors, queries, k, by)
+
+    return block_by_block(queries, k, near)

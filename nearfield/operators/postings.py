@@ -1,9 +1,16 @@
 """A partitioned index: every vector in the posting of its nearest centroid, searched by probing the nearest postings.
 
-Tables: postings(posting_id, vec_id, embedding[, code]) sorted by posting, centroids(posting_id, centroid), deleted(vec_id).
-Mutations write new versions and publish them together. Assignment is to the nearest of all centroids after every change, so a
-row always sits in its nearest posting; equal centroids share their rows by a hash of the id, which keeps postings of
-identical vectors below the limit too. Centroids are broadcast; their size is checked against CENTROID_BYTES.
+Tables: postings(posting_id, vec_id, embedding[, code]) in parts by posting, sorted by posting; centroids(posting_id, centroid, n);
+deleted(vec_id) in parts, one a deletion. Mutations write new versions of the parts they touch and publish them together.
+
+A build assigns every row to the nearest centroid. An insert assigns its own rows only. A posting that reaches the limit is split by
+k-means, and then its rows and those of the postings nearest to the new centroids are assigned anew, in rounds, until none is
+too large; nothing else is read or moved. Equal centroids share their rows by a hash of the id, which keeps postings of
+identical vectors below the limit too. Centroids are broadcast; their size is checked against CENTROID_BYTES before any are drawn. Beyond
+FLAT of them they are searched by groups, which finds the nearest nearly always (`in_nearest` measures it against all).
+
+Sign codes are of the residual from a row's own centroid, made again when the row moves, and searched with their error bound: every
+row of the probed postings whose bound may reach the k-th exact distance is measured exactly.
 """
 
 from __future__ import annotations
@@ -19,23 +26,26 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import quantizers as Q
 from nearfield.functions.metrics import doubles, metric
-from nearfield.operators.search import Best, matrix, query_blocks, rescored, top_k
-from nearfield.sources.store import Store
+from nearfield.operators.search import Best, block_by_block, matrix, rescored, top_k
+from nearfield.sources.store import Packed, Store
 
 #: Bytes of centroids that are sent to workers; centroids that are compared one by one, above which groups of them are; groups that a vector visits.
 CENTROID_BYTES, FLAT, GROUPS = 1 << 30, 4096, 8
-#: Rounds of splitting, and vectors of a posting that place its new centroids.
-ROUNDS, SPLIT_SAMPLE = 16, 2048
+#: Rounds of splitting, vectors of a posting that place its new centroids, and postings around a new centroid whose rows may move to it.
+ROUNDS, SPLIT_SAMPLE, NEIGHBOURS = 64, 2048, 10
+#: Rows of a part of the postings, about.
+PART_ROWS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ROWS = "posting_id long, vec_id long, embedding array<float>"
 
 
 class Centroids:
     """Centroids in memory, by groups of them if they are many."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, by: str = "l2"):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, by: str = "l2", flat: bool = False):
         self.ids, self.rows, self.by = ids, rows, by
         self.heads = None
-        if len(ids) > FLAT:
+        if len(ids) > FLAT and not flat:
             k = int(math.sqrt(len(ids)))
             rng = np.random.default_rng(3)
             self.heads = Q.lloyd(rows[rng.permutation(len(rows))[: 20 * k]], k, 4, rng)
@@ -90,63 +100,132 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids) -> Iterator[pa.RecordB
         for batch in batches:
             if len(batch):
                 x = matrix(batch.column(1), c.rows.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(c.owners(x, batch.column(0).to_numpy())), batch.column(0), batch.column(1)], names=["posting_id", "vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.owners(x, batch.column(0).to_numpy()), pa.int64()), batch.column(0), batch.column(1)], names=["posting_id", "vec_id", "embedding"])
 
 
 def assign(vectors: DataFrame, centroids: Centroids) -> DataFrame:
     """(posting_id, vec_id, embedding): each row with its nearest centroid."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return rows.mapInArrow(partial(_assign, centroids=vectors.sparkSession.sparkContext.broadcast(centroids)), "posting_id long, vec_id long, embedding array<float>")
+    return rows.mapInArrow(partial(_assign, centroids=vectors.sparkSession.sparkContext.broadcast(centroids)), _ROWS)
+
+
+def _groups(posting: np.ndarray) -> list[np.ndarray]:
+    """Rows of each posting of a batch."""
+    order = np.argsort(posting, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(posting[order])) + 1)
 
 
-def _probe(batches: Iterator[pa.RecordBatch], probes, k: int, by: str, text: str | None) -> Iterator[pa.RecordBatch]:
-    """Rows (posting_id, vec_id, embedding or code) against the queries that probe their posting."""
-    q_ids, q, into = probes.value
-    own, best, m = Q.loads(text) if text else None, Best(len(q_ids), k), metric(by)
+def _encode(batches: Iterator[pa.RecordBatch], centroids, text: str) -> Iterator[pa.RecordBatch]:
+    """Rows (posting_id, vec_id, embedding) with their codes: of residuals from the posting's centroid for sign codes."""
+    own, c = Q.loads(text), centroids.value
     for batch in batches:
-        if not len(batch) or not k:
+        if not len(batch):
             continue
-        posting, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        x = Q.unpacked(batch.column(2), own) if own else matrix(batch.column(2), q.shape[1])
-        order = np.argsort(posting, kind="stable")
-        cuts = np.flatnonzero(np.diff(posting[order])) + 1
-        for rows in np.split(order, cuts):
-            for i in into.get(int(posting[rows[0]]), ()):
-                d = Q.by_metric(own, q[i : i + 1], x[rows], by)[0] if own else m.exact(q[i][None], x[rows])
-                near = d <= best.dist[i, -1]
-                best.add(i, ids[rows[near]], d[near])
-    yield best.table(q_ids)
-
-
-class PostingIndex:
+        x, posting = matrix(batch.column(2), own.dim), batch.column(0).to_numpy()
+        if isinstance(own, Q.SignBit):
+            place = np.searchsorted(c.ids, posting)
+            codes = own.encode(x, c.rows[place])
+        else:
+            codes = own.encode(x)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.tobytes() for k in codes], pa.binary())], names=[*batch.schema.names, "code"])
+
+
+class Probe:
+    """What a task needs to measure rows of postings: queries, which of them probe a posting, and for residual codes the probed centroids."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, into: dict[int, list[int]], centres: dict[int, np.ndarray], by: str, text: str | None):
+        self.q_ids, self.q, self.into, self.centres, self.by, self.text = q_ids, q, into, centres, by, text
+        self.limits: np.ndarray | None = None
+
+    def measured(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, ids, distances, their errors) of rows (posting_id, vec_id, embedding or code) for each query that probes their posting."""
+        own, m, ready = Q.loads(self.text) if self.text else None, metric(self.by), {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            posting, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = Q.unpacked(batch.column(2), own) if own else matrix(batch.column(2), self.q.shape[1])
+            for rows in _groups(posting):
+                p = int(posting[rows[0]])
+                asked = self.into.get(p, ())
+                if not len(asked):
+                    continue
+                if isinstance(own, Q.SignBit):
+                    if m.name in ("l2", "euclidean"):
+                        d, e = own.estimates(self.q[asked], x[rows], self.centres[p])
+                    else:
+                        d, e = m.exact(self.q[asked][:, None], own.decode(x[rows], self.centres[p])[None]), None
+                elif own:
+                    if p not in ready and len(ready) < 1024:
+                        ready[p] = own.prepare(self.q[asked])
+                    d, e = Q.by_metric(own, self.q[asked], x[rows], self.by, ready.get(p)), None
+                else:
+                    d, e = m.exact(self.q[asked][:, None], x[rows][None]), None
+                for i, k in enumerate(asked):
+                    yield k, ids[rows], d[i], (np.zeros(len(rows)) if e is None else e[i])
+
+
+def _probe(batches: Iterator[pa.RecordBatch], probe, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest for each query, by (estimated) distance."""
+    p: Probe = probe.value
+    best = Best(len(p.q_ids), k)
+    if k:
+        for i, ids, d, _ in p.measured(batches):
+            near = d <= best.bound(i)
+            best.add(i, ids[near], d[near])
+    yield best.table(p.q_ids)
+
+
+def _within(batches: Iterator[pa.RecordBatch], probe, limits) -> Iterator[pa.RecordBatch]:
+    """All rows whose estimate less its error stays within the query's limit."""
+    p: Probe = probe.value
+    for i, ids, d, e in p.measured(batches):
+        near = np.flatnonzero(d - e <= limits.value.get(int(p.q_ids[i]), math.inf))
+        if len(near):
+            yield pa.RecordBatch.from_arrays([pa.array([int(p.q_ids[i])] * len(near), pa.int64()), pa.array(ids[near]), pa.array(d[near])], names=["q_id", "vec_id", "dist"])
+
+
+class PostingIndex(Packed):
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
         m = store.meta
         self.by, self.dim, self.ratio, self.rerank = m["by"], m["dim"], m["ratio"] if m["ratio"] is not None else math.inf, m["rerank"]
-        self.most, self.least, self.next_id = m["most"], m["least"], m["next_id"]
+        self.most, self.least, self.next_id, self.parts = m["most"], m["least"], m["next_id"], m["parts"]
         self.quantizer = Q.loads(m["quantizer"]) if m.get("quantizer") else None
         self._centroids: Centroids | None = None
+        self._sizes: dict[int, int] = {}
+
+    @property
+    def has_quantizer(self) -> bool:
+        return self.quantizer is not None
 
     @classmethod
-    def build(cls, spark: SparkSession, path: str, vectors: DataFrame, by: str = "l2", max_posting_size: int = 128, min_posting_size: int = 16, probe_ratio: float = math.inf, quantizer: str | None = None, rerank_size: int = 0, **options) -> "PostingIndex":
-        """Index vectors(vec_id, embedding), ids from 0 without gaps; deterministic in them."""
+    def build(cls, spark: SparkSession, path: str, vectors: DataFrame, by: str = "l2", max_posting_size: int = 128, min_posting_size: int = 16, probe_ratio: float = math.inf, quantizer: str | None = None, rerank_size: int = 0, centroids: Centroids | None = None, **options) -> "PostingIndex":
+        """Index vectors(vec_id, embedding), ids from 0 without gaps; deterministic in them. centroids: those to begin with, in place of drawn rows."""
         metric(by)
         n, top, dim, dim_to = vectors.agg(F.count("*"), F.max("vec_id"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
         if not n:
             raise ValueError("no vectors")
         if dim != dim_to:
             raise ValueError("vectors differ in dimensions")
+        most = max(2, max_posting_size)
+        seeds = max(1, n // max(1, most // 2))
+        _fits(seeds, dim)
         model = Q.train(quantizer, vectors, **options) if quantizer else None
-        store, most = Store(spark, path), max(2, max_posting_size)
+        store = Store(spark, path)
         if store._numbers():
             raise FileExistsError(path)
-        store.meta = {"family": "postings", "by": by, "dim": dim, "most": most, "least": min_posting_size, "ratio": None if math.isinf(probe_ratio) else probe_ratio, "rerank": rerank_size, "next_id": top + 1, "quantizer": Q.dumps(model) if model else None, "deleted": 0}
+        store.meta = {"family": "postings", "by": by, "dim": dim, "most": most, "least": min_posting_size, "ratio": None if math.isinf(probe_ratio) else probe_ratio, "rerank": rerank_size, "next_id": top + 1, "parts": min(4096, max(4, n // PART_ROWS)), "quantizer": Q.dumps(model) if model else None}
         index = cls(store)
-        seeds = max(1, n // max(1, most // 2))
-        drawn = vectors.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(seeds).select(doubles("embedding").alias("e")).collect()
-        index._settle(vectors, Centroids(np.arange(len(drawn)), np.array([r.e for r in drawn]), by))
-        store.write("deleted", spark.createDataFrame([], "vec_id long"))
+        if centroids is None:
+            drawn = vectors.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(seeds).select(doubles("embedding").alias("e")).collect()
+            centroids = Centroids(np.arange(len(drawn)), np.array([r.e for r in drawn]), by)
+        index._centroids = centroids
+        store.write_parts("deleted", spark.createDataFrame([], "vec_id long"), F.lit(0))
+        store.write_parts("postings", spark.createDataFrame([], _ROWS if model is None else _ROWS + ", code binary"), F.lit(0))
+        index._settle(assign(vectors, centroids), set())
         store.publish()
+        store.vacuum()
         return index
 
     @classmethod
@@ -159,53 +238,105 @@ class PostingIndex:
         return cls(store)
 
     def centroids(self) -> Centroids:
+        """All centroids; the sizes of their postings are known from then on."""
         if self._centroids is None:
             table = self.store.read("centroids")
-            if table.count() * self.dim * 8 > CENTROID_BYTES:
-                raise ValueError(f"centroids take more than {CENTROID_BYTES} bytes; build with a larger max_posting_size")
+            _fits(table.count(), self.dim)
             rows = table.orderBy("posting_id").collect()
             self._centroids = Centroids(np.array([r.posting_id for r in rows], dtype=np.int64), np.array([r.centroid for r in rows]), self.by)
+            self._sizes = {r.posting_id: r.n for r in rows}
         return self._centroids
 
-    def _settle(self, vectors: DataFrame, centroids: Centroids) -> None:
-        """Assign all rows, split what is too large, and write postings and centroids."""
+    def _among(self, table: DataFrame, postings: set[int], how: str = "left_semi") -> DataFrame:
+        """The rows of these postings (or with left_anti of all others); their ids are no more than the centroids."""
+        ids = self.spark.createDataFrame([(int(p),) for p in sorted(postings)], "posting_id long")
+        return table.join(F.broadcast(ids), "posting_id", how)
+
+    def _stored(self, postings: set[int], how: str = "left_semi") -> DataFrame:
+        """The kept rows of some postings, from their parts alone."""
+        parts = {p % self.parts for p in postings} if how == "left_semi" else None
+        return self._among(self.store.read("postings", parts), postings, how).select("posting_id", "vec_id", "embedding")
+
+    def _settle(self, rows: DataFrame, taken: set[int]) -> None:
+        """Put rows(posting_id, vec_id, embedding) in place of those that the postings `taken` hold, beside those of others, and split what has reached the limit."""
+        store, c = self.store, self.centroids()
+        last = c.ids.max()
         for turn in range(ROUNDS):
-            if len(centroids.ids) * self.dim * 8 > CENTROID_BYTES:
-                raise ValueError(f"centroids take more than {CENTROID_BYTES} bytes; build with a larger max_posting_size")
-            placed = self.store.write("draft", assign(vectors, centroids))
-            large = placed.groupBy("posting_id").count().where(F.col("count") >= self.most)
-            made = self._split(placed, large, int(centroids.ids.max()) + 1)
-            if not made or turn == ROUNDS - 1:
+            _fits(len(c.ids), self.dim)
+            rows = store.write(f"draft-{turn}", rows)
+            store.discard(f"draft-{turn - 1}")
+            counts = {r[0]: r[1] for r in rows.groupBy("posting_id").count().collect()}  # a number a posting
+            more = {p for p, n in counts.items() if p not in taken and n + self._sizes.get(p, 0) >= self.most and self._sizes.get(p)}
+            large = {p: n for p, n in counts.items() if p not in more and n + (0 if p in taken else self._sizes.get(p, 0)) >= self.most}
+            if not more and not large:
                 break
-            gone, new = {r[0] for r in made}, np.array([r[1] for r in made])
-            keep = ~np.isin(centroids.ids, list(gone))
-            ids = np.concatenate([centroids.ids[keep], int(centroids.ids.max()) + 1 + np.arange(len(new))])
-            centroids = Centroids(ids, np.concatenate([centroids.rows[keep], new]), self.by)
-        rows = placed if self.quantizer is None else Q.encoded(placed.withColumn("raw", F.col("embedding")), self.quantizer).withColumnRenamed("raw", "embedding")
-        self.store.write("postings", rows.repartitionByRange("posting_id").sortWithinPartitions("posting_id", "vec_id"))
-        used = self.store.read("postings").select("posting_id").distinct()
-        table = self.spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(centroids.ids, centroids.rows, strict=True)], "posting_id long, centroid array<double>")
-        self.store.write("centroids", table.join(used, "posting_id", "left_semi"))
-        self.store.tables.pop("draft", None)
-        self._centroids = None
-
-    def _split(self, placed: DataFrame, large: DataFrame, first: int) -> list[tuple[int, list[float]]]:
+            made = self._split(rows, large)
+            ids = last + 1 + np.arange(len(made))
+            last += len(made)
+            keep = ~np.isin(c.ids, list(large))
+            new = np.array([r for _, r in made]).reshape(len(made), self.dim)
+            c = Centroids(np.concatenate([c.ids[keep], ids]).astype(np.int64), np.concatenate([c.rows[keep], new]), self.by)
+            near = {int(c.ids[i]) for at in (c.nearest(new, NEIGHBOURS)[0] if len(new) else ()) for i in at} - set(ids.tolist())
+            loaded = (near | more) - taken
+            loaded = {p for p in loaded if self._sizes.get(p)}
+            here = rows if not loaded else rows.unionByName(self._stored(loaded))
+            moved = self._among(here, set(large) | near)
+            rows = self._among(here, set(large) | near, "left_anti").unionByName(assign(moved.select("vec_id", "embedding"), c)) if large else here
+            taken = taken | loaded | set(large)
+        else:
+            raise ValueError(f"after {ROUNDS} rounds some postings still hold {self.most} rows or more")
+        self._write(rows, counts, taken, c)
+        store.discard(f"draft-{turn}")
+
+    def _write(self, rows: DataFrame, counts: dict[int, int], taken: set[int], c: Centroids) -> None:
+        """Write the parts that rows or postings taken touch, and the centroids of postings that hold rows."""
+        sizes = {p: n for p, n in self._sizes.items() if p not in taken}
+        for p, n in counts.items():
+            sizes[p] = sizes.get(p, 0) + n
+        used = np.isin(c.ids, [p for p, n in sizes.items() if n])
+        c = Centroids(c.ids[used], c.rows[used], self.by)
+        order = np.argsort(c.ids)
+        c = Centroids(c.ids[order], c.rows[order], self.by)
+        touched = {p % self.parts for p in taken | set(counts)}
+        coded = rows
+        if self.quantizer is not None:
+            coded = rows.mapInArrow(partial(_encode, centroids=self.spark.sparkContext.broadcast(c), text=Q.dumps(self.quantizer)), _ROWS + ", code binary")
+        here = {int(p) for p in self.store.tables["postings"]} & touched
+        if here:
+            coded = coded.unionByName(self._among(self.store.read("postings", here), taken, "left_anti"))
+        coded = coded.withColumn("part", F.pmod("posting_id", F.lit(self.parts)).cast("int"))
+        coded = coded.repartition(max(1, len(touched)), "part").sortWithinPartitions("part", "posting_id", "vec_id")
+        self.store.write_parts("postings", coded, F.col("part"), touched)
+        table = [(int(i), [float(v) for v in r], int(sizes[int(i)])) for i, r in zip(c.ids, c.rows, strict=True)]
+        self.store.write("centroids", self.spark.createDataFrame(table, "posting_id long, centroid array<double>, n long"))
+        self._centroids, self._sizes = c, {p: n for p, n in sizes.items() if n}
+
+    def _split(self, rows: DataFrame, large: dict[int, int]) -> list[tuple[int, list[float]]]:
         """(posting, new centroid) of postings that have reached the limit: k-means of some of their rows, k by their size."""
+        if not large:
+            return []
         half = max(1, self.most // 2)
+        sizes = self.spark.createDataFrame([(int(p), int(n)) for p, n in large.items()], "posting_id long, count long")
         order = Window.partitionBy("posting_id").orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id")
-        some = placed.join(large, "posting_id").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SPLIT_SAMPLE)
+        some = rows.join(F.broadcast(sizes), "posting_id").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SPLIT_SAMPLE)
 
         def cut(key, table):
             x = matrix(table.sort_by("vec_id").column("embedding"))
             k = max(2, -(-int(table.column("count")[0].as_py()) // half))
-            rows = Q.lloyd(x, k, 5, np.random.default_rng(key[0].as_py()))
-            return pa.table({"posting_id": pa.array([key[0].as_py()] * k, pa.int64()), "centroid": pa.array(rows.tolist(), pa.list_(pa.float64()))})
+            made = Q.lloyd(x, k, 5, np.random.default_rng(key[0].as_py()))
+            return pa.table({"posting_id": pa.array([key[0].as_py()] * k, pa.int64()), "centroid": pa.array(made.tolist(), pa.list_(pa.float64()))})
 
         found = some.groupBy("posting_id").applyInArrow(cut, "posting_id long, centroid array<double>").collect()  # centroids only
         return sorted((r.posting_id, r.centroid) for r in found)
 
-    def live(self) -> DataFrame:
-        return self.store.read("postings").join(self.store.read("deleted"), "vec_id", "left_anti")
+    def live(self, postings: set[int] | None = None) -> DataFrame:
+        """The rows that aren't deleted; of some postings, from their parts alone."""
+        rows = self.store.read("postings") if postings is None else self.store.read("postings", {p % self.parts for p in postings})
+        if postings is not None and len(postings) <= 10_000:
+            rows = rows.where(F.col("posting_id").isin(sorted(postings)))  # row groups of other postings aren't read
+        elif postings is not None:
+            rows = self._among(rows, postings)
+        return rows.join(self.store.read("deleted"), "vec_id", "left_anti")
 
     def probes(self, q: np.ndarray, n_probe: int, ratio: float | None = None) -> list[list[int]]:
         """Postings to probe for each query: the nearest n_probe (at least one), up to ratio times the nearest's distance."""
@@ -220,72 +351,112 @@ class PostingIndex:
         return out
 
     def search(self, queries: DataFrame, k: int = 10, n_probe: int = 8, ratio: float | None = None, rerank: int | None = None) -> DataFrame:
-        """(q_id, rank, vec_id, dist) of the live rows of the probed postings; exact distances unless a quantizer isn't re-ranked."""
+        """(q_id, rank, vec_id, dist) of the live rows of the probed postings; exact distances unless a quantizer isn't re-ranked.
+
+        Sign codes under (squared) Euclidean are always re-ranked, by their bound: the k best estimates are measured, and then all rows that may
+        still be nearer than the farthest of those. Other codes are re-ranked by the `rerank` best.
+        """
         rerank = self.rerank if rerank is None else rerank
-        coded = self.quantizer is not None
-        exact = coded and isinstance(self.quantizer, Q.SignBit) and self.by in ("l2", "euclidean")
-        wide = max(k, rerank or (4 * k if exact else 0)) if coded else k
-        out = None
-        for ids, q in query_blocks(queries):
+        coded, schema = self.quantizer is not None, "q_id long, vec_id long, dist double"
+        bound = isinstance(self.quantizer, Q.SignBit) and self.by in ("l2", "euclidean")
+        wide = max(k, rerank) if coded and not bound else k
+
+        def near(block, send):
+            ids, q = block
             into: dict[int, list[int]] = {}
             for i, postings in enumerate(self.probes(q, n_probe, ratio)):
                 for p in postings:
                     into.setdefault(p, []).append(i)
-            rows = self.live()
-            if len(into) <= 10_000:
-                rows = rows.where(F.col("posting_id").isin(sorted(into)))  # row groups of other postings aren't read
-            rows = rows.select("posting_id", "vec_id", "code" if coded else "embedding")
-            sent = self.spark.sparkContext.broadcast((ids, q, into))
-            found = rows.mapInArrow(partial(_probe, probes=sent, k=wide, by=self.by, text=Q.dumps(self.quantizer) if coded else None), "q_id long, vec_id long, dist double")
-            out = found if out is None else out.union(found)
-        out = top_k(self.spark.createDataFrame([], "q_id long, vec_id long, dist double") if out is None else out, wide)
-        return rescored(out, self.store.read("postings"), queries, k, self.by) if coded and (rerank or exact) else out
-
-    def insert(self, vectors: DataFrame) -> tuple[int, int]:
-        """Add rows(embedding); returns the range of their new ids, first and after the last, in the rows' order."""
+            c = self.centroids()
+            centres = dict(zip(into, c.rows[np.searchsorted(c.ids, list(into))], strict=True)) if isinstance(self.quantizer, Q.SignBit) else {}
+            probe = send(Probe(ids, q, into, centres, self.by, Q.dumps(self.quantizer) if coded else None))
+            live = self.live(set(into))
+            rows = live.select("posting_id", "vec_id", "code" if coded else "embedding")
+            found = top_k(rows.mapInArrow(partial(_probe, probe=probe, k=wide), schema), wide)
+            if bound and k:
+                own = queries.where(F.col("q_id").isin([int(i) for i in ids])) if len(ids) <= 1000 else queries
+                exact = rescored(found, live, own, k, "l2")
+                limits = {r.q_id: r.d for r in exact.groupBy("q_id").agg(F.max("dist").alias("d"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}  # one number a query
+                found = rows.mapInArrow(partial(_within, probe=probe, limits=send(limits)), schema)
+            return rescored(found, live, queries, k, self.by) if coded and (bound or rerank) else found
+
+        return block_by_block(queries, k, near)
+
+    def insert(self, vectors: DataFrame, publish: bool = True) -> tuple[int, int]:
+        """Add rows(embedding); returns the range of their new ids, first and after the last, in the rows' order. Only the parts that they or a split touch are read and written."""
         store = self.store
-        staged = store.write("staged", vectors.select(F.col("embedding").cast("array<float>").alias("embedding"), F.monotonically_increasing_id().alias("mono")))
+        staged = store.write("draft-new", vectors.select(F.col("embedding").cast("array<float>").alias("embedding"), F.monotonically_increasing_id().alias("mono")))
         n, a, b = staged.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
-        store.tables.pop("staged")
         if n and not a == b == self.dim:
+            store.discard("draft-new")
             raise ValueError(f"a vector has not {self.dim} dimensions")
-        first = self.next_id
-        if not n:
-            return first, first
-        part = F.shiftright("mono", 33)
-        counts, starts = {r[0]: r[1] for r in staged.groupBy(part).count().collect()}, {}
-        for p in sorted(counts):
-            starts[p], first = first, first + counts[p]
-        start = self.spark.createDataFrame(list(starts.items()), "part long, start long")
-        new = staged.withColumn("part", part).join(F.broadcast(start), "part").select((F.col("start") + F.col("mono").bitwiseAND((1 << 33) - 1)).alias("vec_id"), "embedding")
-        before = self.next_id
-        self._settle(store.read("postings").select("vec_id", "embedding").union(new), self.centroids())
-        self.next_id = first
-        store.publish(next_id=first)
+        first = before = self.next_id
+        if n:
+            part = F.shiftright("mono", 33)
+            counts, starts = {r[0]: r[1] for r in staged.groupBy(part).count().collect()}, {}
+            for p in sorted(counts):
+                starts[p], first = first, first + counts[p]
+            start = self.spark.createDataFrame(list(starts.items()), "part long, start long")
+            new = staged.withColumn("part", part).join(F.broadcast(start), "part").select((F.col("start") + F.col("mono").bitwiseAND((1 << 33) - 1)).alias("vec_id"), "embedding")
+            self._settle(assign(new, self.centroids()), set())
+            self.next_id = first
+        store.discard("draft-new")
+        if publish:
+            store.publish(next_id=first)
+        else:
+            store.meta["next_id"] = first
         return before, first
 
-    def delete(self, ids: DataFrame) -> int:
-        """Mark ids(vec_id) as deleted; unknown ones are passed over. Returns how many are deleted now."""
-        known = ids.where((F.col("vec_id") >= 0) & (F.col("vec_id") < self.next_id)).select(F.col("vec_id").cast("long"))
-        table = self.store.write("deleted", self.store.read("deleted").union(known).distinct())
-        self.store.publish()
-        return table.count()
+    def reassign_neighbors(self) -> int:
+        """Move every row that doesn't sit in its nearest posting there; returns how many moved."""
+        rows, c = self.store.read("postings").select("posting_id", "vec_id", "embedding"), self.centroids()
+        now = self.store.write("draft-all", assign(rows.select("vec_id", "embedding"), c))
+        both = rows.select("vec_id", F.col("posting_id").alias("was")).join(now, "vec_id").where("was <> posting_id")
+        ends = both.select("was", "posting_id").collect()  # rows out of place are few; two numbers of each
+        if ends:
+            touched = {r.was for r in ends} | {r.posting_id for r in ends}
+            self._settle(self._among(now, touched), touched)
+        self.store.discard("draft-all")
+        if ends:
+            self.store.publish()
+        return len(ends)
+
+    def delete(self, ids: DataFrame, publish: bool = True) -> int:
+        """Mark ids(vec_id) as deleted; unknown ones are passed over. Returns how many are deleted now. Each call adds a part of its own ids alone."""
+        known = ids.where((F.col("vec_id") >= 0) & (F.col("vec_id") < self.next_id)).select(F.col("vec_id").cast("long")).distinct()
+        self.store.append("deleted", known.join(self.store.read("deleted"), "vec_id", "left_anti"))
+        if publish:
+            self.store.publish()
+        return self.store.read("deleted").count()
 
     def gc(self) -> None:
-        """Rewrite postings without deleted rows; postings with fewer than min_posting_size are dissolved. `deleted` stays."""
-        live = self.live().select("posting_id", "vec_id", "embedding")
-        small = {r[0] for r in live.groupBy("posting_id").count().where(F.col("count") < self.least).select("posting_id").collect()}
-        c = self.centroids()
-        keep = ~np.isin(c.ids, list(small))
-        if not keep.any():
-            keep[0] = True
-        self._settle(live.select("vec_id", "embedding"), Centroids(c.ids[keep], c.rows[keep], self.by))
+        """Rewrite the parts that hold deleted rows without them; postings left with fewer than min_posting_size are dissolved. `deleted` stays."""
+        self.centroids()
+        rows = self.store.read("postings").select("posting_id", "vec_id", "embedding")
+        dead = {r[0]: r[1] for r in rows.join(self.store.read("deleted"), "vec_id", "left_semi").groupBy("posting_id").count().collect()}  # a number a posting
+        left = {p: n - dead.get(p, 0) for p, n in self._sizes.items()}
+        small = {p for p, n in left.items() if n < self.least}
+        if len(small) == len(left):
+            small -= {max(left, key=lambda p: (left[p], -p))}
+        taken = set(dead) | small
+        if taken:
+            live = self._stored(taken).join(self.store.read("deleted"), "vec_id", "left_anti").select("posting_id", "vec_id", "embedding")
+            keep = ~np.isin(self._centroids.ids, list(small))
+            self._centroids = Centroids(self._centroids.ids[keep], self._centroids.rows[keep], self.by)
+            moved = assign(self._among(live, small).select("vec_id", "embedding"), self._centroids)
+            self._settle(self._among(live, small, "left_anti").unionByName(moved), taken)
         self.store.publish()
 
     def compact(self) -> None:
-        """Rewrite the centroids; postings and results stay as they are."""
+        """Write the centroids and the deletions as one part each, and delete what older states left; postings and results stay as they are."""
         self.store.write("centroids", self.store.read("centroids").orderBy("posting_id"))
+        self.store.write_parts("deleted", self.store.read("deleted"), F.lit(0))
         self.store.publish()
+        self.store.vacuum()
+
+    def save(self, path: str) -> None:
+        """The whole index, newest state only, as a store at a new path."""
+        self.store.snapshot(path)
 
     def is_deleted(self, vec_id: int) -> bool:
         return not self.store.read("deleted").where(F.col("vec_id") == vec_id).isEmpty()
@@ -301,9 +472,9 @@ class PostingIndex:
         return {"live": self.next_id - deleted, "deleted": deleted, "postings": sizes.postings, "max_posting": sizes.max or 0, "dim": self.dim}
 
     def in_nearest(self) -> float:
-        """The share of rows that sit in the posting of their nearest centroid."""
-        rows = self.store.read("postings")
-        again = assign(rows.select("vec_id", "embedding"), self.centroids()).select("vec_id", F.col("posting_id").alias("now"))
+        """The share of rows that sit in the posting of their nearest centroid, each compared with all centroids."""
+        rows, c = self.store.read("postings"), self.centroids()
+        again = assign(rows.select("vec_id", "embedding"), Centroids(c.ids, c.rows, self.by, flat=True)).select("vec_id", F.col("posting_id").alias("now"))
         return rows.join(again, "vec_id").agg(F.avg((F.col("posting_id") == F.col("now")).cast("int"))).first()[0]
 
     def snapshot(self, target: str) -> list[str]:
@@ -313,3 +484,8 @@ class PostingIndex:
     def restore(cls, spark: SparkSession, source: str, path: str) -> "PostingIndex":
         Store(spark, source).open().snapshot(path)
         return cls.open(spark, path)
+
+
+def _fits(centroids: int, dim: int) -> None:
+    if centroids * dim * 8 > CENTROID_BYTES:
+        raise ValueError(f"centroids take more than {CENTROID_BYTES} bytes; build with a larger max_posting_size")

@@ -3,11 +3,12 @@
 Collections are DataFrames (vec_id, embedding[, labels]), queries (q_id, q_vec), results (q_id, rank, vec_id, dist) with ties by
 id. A stated set of queries meets all rows in blocks: the queries travel to the rows' partitions, each partition keeps
 its k best for each query, and only those are shuffled, so moved data grows with queries and partitions, not with rows.
-Query sets beyond QUERY_BYTES are taken in several blocks, each with a scan of its own.
+Query sets beyond QUERY_BYTES are taken in several blocks, one after the other, each with a scan of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.metrics import Metric, doubles, metric
 from nearfield.functions.predicates import Predicate
+from nearfield.sources.workdir import fresh
 
 #: Bytes of query vectors that are sent to the workers at once, and distances computed at once.
 QUERY_BYTES, AT_ONCE = 64 << 20, 1 << 22
+#: Queries that knn_columns takes at most.
+FEW = 10_000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
@@ -37,40 +41,46 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.nda
 
 
 class Best:
-    """The k nearest rows seen so far for each query."""
+    """The k nearest rows seen so far for each query; room is taken as rows come, so k may exceed them. A distance that isn't a number is none."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.ids, self.dist = k, np.full((queries, k), np.iinfo(np.int64).max), np.full((queries, k), np.inf)
+        self.k = k
+        self.ids = [np.empty(0, dtype=np.int64) for _ in range(queries)]
+        self.dist = [np.empty(0) for _ in range(queries)]
+
+    def bound(self, q: int) -> float:
+        """The distance that a row may not exceed to be taken."""
+        return float(self.dist[q][-1]) if len(self.dist[q]) == self.k else math.inf
 
     def add(self, q: int, ids: np.ndarray, dist: np.ndarray) -> None:
-        ids, dist = np.concatenate([self.ids[q], ids]), np.concatenate([self.dist[q], dist])
+        there = ~np.isnan(dist)
+        ids, dist = np.concatenate([self.ids[q], ids[there]]), np.concatenate([self.dist[q], dist[there]])
         order = np.lexsort((ids, dist))[: self.k]
         self.ids[q], self.dist[q] = ids[order], dist[order]
 
     def table(self, q_ids: np.ndarray) -> pa.RecordBatch:
-        q, r = np.nonzero(self.dist < np.inf)
-        return pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(self.ids[q, r]), pa.array(self.dist[q, r])], names=["q_id", "vec_id", "dist"])
+        owner = np.repeat(q_ids, [len(x) for x in self.ids])
+        ids, dist = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((self.ids, np.int64), (self.dist, np.float64)))
+        return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(ids), pa.array(dist)], names=["q_id", "vec_id", "dist"])
 
 
 def scan(q: np.ndarray, x: np.ndarray, ids: np.ndarray, m: Metric, best: Best) -> None:
-    """Offer rows to the queries' best: BLAS names the candidates, the exact kernel decides."""
+    """Offer rows to the queries' best: BLAS names the candidates, the exact kernel decides. Where BLAS gives no finite number the kernel is always asked."""
     if not len(ids) or not best.k:
         return
     step = max(1, AT_ONCE // max(1, len(x)))
-    for lo in range(0, len(q), step):
-        part = q[lo : lo + step]
-        if m.rough is None:
-            near = m.exact(part[:, None, :], x[None, :, :])
-            slack = 0.0
-        else:
-            near = m.rough(part, x)
-            slack = 1e-9 * (1 + float(np.abs(near).max(initial=0)))
-        k = min(best.k, len(ids))
-        limit = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1], best.dist[lo : lo + step, -1]) + slack
-        for i in range(len(part)):
-            rows = np.flatnonzero(near[i] <= limit[i])
-            if len(rows):
-                best.add(lo + i, ids[rows], m.exact(part[i][None], x[rows]))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for lo in range(0, len(q), step):
+            part = q[lo : lo + step]
+            near = m.exact(part[:, None, :], x[None, :, :]) if m.rough is None else m.rough(part, x)
+            sure = np.isfinite(near)
+            slack = 0.0 if m.rough is None else 1e-9 * (1 + float(np.abs(near).max(initial=0, where=sure)))
+            k = min(best.k, len(ids))
+            limit = np.partition(np.where(sure, near, np.inf), k - 1, axis=1)[:, k - 1]
+            for i in range(len(part)):
+                rows = np.flatnonzero((near[i] <= min(limit[i], best.bound(lo + i)) + slack) | ~sure[i])
+                if len(rows):
+                    best.add(lo + i, ids[rows], m.exact(part[i][None], x[rows]))
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], queries, k: int, name: str | Metric) -> Iterator[pa.RecordBatch]:
@@ -111,17 +121,44 @@ def live(vectors: DataFrame, predicate: Predicate | None = None, deleted: DataFr
     return vectors if deleted is None else vectors.join(deleted.select("vec_id").distinct(), "vec_id", "left_anti")
 
 
+def block_by_block(queries: DataFrame, k: int, work: Callable[[tuple[np.ndarray, np.ndarray], Callable], DataFrame], block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """top_k of work(block, send) for every block of queries; send broadcasts what the block's tasks need.
+
+    One block stays a plan. Of several, each is run and written to the shared folder before the next is read, and what it sent is freed, so neither
+    the driver nor an executor holds more than a block.
+    """
+    spark, schema = queries.sparkSession, "q_id long, rank int, vec_id long, dist double"
+    blocks, sent, paths = query_blocks(queries, block_bytes), [], []
+
+    def send(value):
+        sent.append(spark.sparkContext.broadcast(value))
+        return sent[-1]
+
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
+        return spark.createDataFrame([], schema)
+    if after is None:
+        return top_k(work(block, send), k)
+    while block is not None:
+        paths.append(fresh(spark, "block"))
+        top_k(work(block, send), k).write.parquet(paths[-1])
+        while sent:
+            sent.pop().destroy()
+        block, after = after, next(blocks, None)
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def in_blocks(queries: DataFrame, rows: DataFrame, work: Callable, k: int, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """top_k of work(batches, queries=...) over rows for every block of queries."""
-    spark, out, schema = rows.sparkSession, None, "q_id long, vec_id long, dist double"
-    for block in query_blocks(queries, block_bytes):
-        found = rows.mapInArrow(partial(work, queries=spark.sparkContext.broadcast(block)), schema)
-        out = found if out is None else out.union(found)
-    return top_k(spark.createDataFrame([], schema) if out is None else out, k)
+    return block_by_block(queries, k, lambda block, send: rows.mapInArrow(partial(work, queries=send(block)), "q_id long, vec_id long, dist double"), block_bytes)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, by: str | Metric = "l2", predicate: Predicate | None = None, deleted: DataFrame | None = None, block_bytes: int = QUERY_BYTES) -> DataFrame:
-    """Exact top-k of the live rows for every query: exactly min(k, rows) of them. k = 0 gives none."""
+    """Exact top-k of the live rows for every query: exactly min(k, rows) of them. k = 0 gives none.
+
+    An infinite distance counts as any other; a row whose distance isn't a number (a component is NaN, or infinite in both) is left out
+    of that query's result. Null vectors and vectors of other dimensions than the queries' are errors. Ties go to the smaller id.
+    """
     if k < 0:
         raise ValueError("k is negative")
     m = metric(by)
@@ -130,10 +167,13 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, by: str | Metric = "l2",
 
 
 def knn_columns(vectors: DataFrame, queries: DataFrame, k: int, by: str | Metric = "l2", predicate: Predicate | None = None, deleted: DataFrame | None = None) -> DataFrame:
-    """The same relation in Catalyst expressions alone, for a few queries (whose side is broadcast if small enough)."""
+    """The same relation in Catalyst expressions alone, for a stated set of at most FEW queries, whose side is broadcast."""
     rows = live(vectors, predicate, deleted).select("vec_id", doubles("embedding").alias("e"))
-    pairs = rows.join(queries.select("q_id", doubles("q_vec").alias("q")))
-    return top_k(pairs.select("q_id", "vec_id", metric(by).column(F.col("q"), F.col("e")).alias("dist")), k)
+    few = queries.select("q_id", doubles("q_vec").alias("q"))
+    if few.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} queries; knn takes any number")
+    pairs = rows.join(F.broadcast(few))
+    return top_k(pairs.select("q_id", "vec_id", metric(by).column(F.col("q"), F.col("e")).alias("dist")).where(~F.isnan("dist")), k)
 
 
 def rescored(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, by: str | Metric = "l2") -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a file's beginning that the driver reads itself.
+PREFIX = 16 << 20
 _TYPES = {"fvecs": ("<f4", "float", pa.float32()), "ivecs": ("<i4", "int", pa.int32()), "bvecs": ("u1", "smallint", pa.int16())}
 
 
@@ -76,6 +78,43 @@ def read(spark: SparkSession, path: str, kind: str, first: int | None = None, sc
     return rows
 
 
+def read_blocks(spark: SparkSession, path: str, kind: str, dim: int, first: int | None = None) -> DataFrame:
+    """(vec_id, embedding) of files whose records all have `dim` dimensions, read in blocks: a file of any size is dealt out among tasks.
+
+    first: so many records of all, in the files' order. A file that doesn't divide into such records, and a record of another dimension, are errors.
+    """
+    dtype, sql, _ = _kind(kind)
+    record = 4 + dim * np.dtype(dtype).itemsize
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((x.getPath().toString(), x.getLen()) for x in fs.listStatus(at) if not x.getPath().getName().startswith((".", "_")))
+    out, start = None, 0
+    for name, size in files:
+        if size % record:
+            raise ValueError(f"{name} doesn't hold whole records of {dim} dimensions")
+        want = size // record if first is None else min(size // record, first - start)
+        if want <= 0:
+            continue
+
+        def opened(found: tuple[bytes, int], start: int = start) -> tuple[int, list]:
+            data, place = found
+            if int.from_bytes(data[:4], "little") != dim:
+                raise ValueError(f"record {start + place} has {int.from_bytes(data[:4], 'little')} dimensions, not {dim}")
+            return start + place, np.frombuffer(data, dtype, dim, 4).tolist()
+
+        if want * record <= PREFIX and want < size // record:  # a short prefix isn't worth a pass over the file
+            stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(name))
+            data = bytes(stream.readNBytes(want * record))
+            stream.close()
+            rows = spark.sparkContext.parallelize([(data[i * record : (i + 1) * record], i) for i in range(want)])
+        else:
+            rows = spark.sparkContext.binaryRecords(name, record).zipWithIndex()
+            rows = rows if want == size // record else rows.filter(lambda x, want=want: x[1] < want)
+        found = spark.createDataFrame(rows.map(opened), f"vec_id long, embedding array<{sql}>")
+        out, start = found if out is None else out.union(found), start + want
+    return spark.createDataFrame([], f"vec_id long, embedding array<{sql}>") if out is None else out
+
+
 def write(vectors: DataFrame, path: str, kind: str, files: int = 1) -> None:
     """Write vectors in the order of their ids to `files` files below the folder path, ranges of ids apart; an existing folder is an error."""
     _kind(kind)

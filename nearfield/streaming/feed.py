@@ -18,12 +18,10 @@ def feed(stream: DataFrame, index, checkpoint: str, trigger: dict | None = None)
             return
         gone = batch.where("op = 'delete' and vec_id is not null").select("vec_id")
         new = batch.where("op = 'add'").select(*(c for c in ("embedding", "labels") if c in batch.columns))
-        index.delete(gone)  # of rows that were there before; a repeat changes nothing
-        index.store.meta["batch"] = number
-        if new.isEmpty():
-            index.store.publish()
-        else:
-            (index.add if hasattr(index, "add") else index.insert)(new)
+        index.delete(gone, publish=False)  # of rows that were there before; a repeat changes nothing
+        if not new.isEmpty():
+            (index.add if hasattr(index, "add") else index.insert)(new, publish=False)
+        index.store.publish(batch=number)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -9,6 +9,7 @@ from nearfield.functions.metrics import metric
 from nearfield.functions.predicates import Predicate as P
 from nearfield.operators import measure
 from nearfield.operators.coded import coded_knn
+from nearfield.operators.graph import build_shard
 from nearfield.operators.search import knn, knn_columns
 from nearfield.plans import queries as plans
 from nearfield.sources.workdir import fresh
@@ -48,6 +49,23 @@ def test_exact_search(sample, by):
     assert found(knn_columns(rows, asked, 7, by), 9) == truth(x, q, 7, by)
 
 
+def test_non_finite_vectors(spark):
+    x = cloud(60, 4)
+    x[3, 1], x[7, 0], x[9, 2], x[11] = np.nan, np.inf, -np.inf, np.inf
+    q = np.array([x[0], x[7], x[3]])
+    rows, asked = api.vectors(spark, x.tolist()), api.queries(spark, q.tolist())
+    for by in ("l2", "euclidean", "dot"):
+        with np.errstate(invalid="ignore"):
+            d = metric(by).exact(q.astype(float)[:, None], x.astype(float)[None])
+        want = [[(int(i), float(r[i])) for i in np.lexsort((np.arange(60), r)) if not np.isnan(r[i])] for r in d]
+        for k in (5, 100):
+            assert found(knn(rows, asked, k, by), 3) == [w[:k] for w in want]
+        assert found(knn_columns(rows, asked, 5, by), 3) == [w[:5] for w in want]
+    assert len(want[0]) < 60 and want[2] == []
+    with pytest.raises(Exception, match="null"):
+        knn(spark.createDataFrame([(0, None)], "vec_id long, embedding array<float>"), asked.limit(1), 1).collect()
+
+
 def test_edges_of_k_and_blocks(sample, spark):
     x, q, rows, asked = sample
     assert found(knn(rows, asked, 7, block_bytes=300), 9) == truth(x, q, 7)
@@ -85,6 +103,15 @@ def test_quantizers(spark, kind, floor):
     assert share(plain) >= floor and share(ranked) >= share(plain)
     exact = [dict(t) for t in truth(x, q, 300)]
     assert all(d == pytest.approx(exact[i][v], abs=1e-9) for i, r in enumerate(found(ranked, 8)) for v, d in r)
+    y = q.astype(float)
+    assert (model.distances(y, codes) == model.distances(y, codes, model.prepare(y))).all()
+    if kind == "pq":
+        assert np.allclose(model.distances(y, codes), model.direct(y, codes)) and (model.distances(y, codes) == model.direct(y, codes)).mean() > 0.99
+    path = fresh(spark, "model") + ".json"
+    Q.save(spark, model, path)
+    assert (Q.load(spark, path).encode(x.astype(float)) == codes).all()
+    with pytest.raises(Exception, match="exist"):
+        Q.save(spark, model, path)
 
 
 def test_quantizer_arguments(spark):
@@ -127,6 +154,24 @@ def test_measures(spark, sample):
     assert "numpy" in api.engine_info() and math.isfinite(near[0])
 
 
+def test_copies_of_a_node_do_not_fill_its_list():
+    x = np.concatenate([np.zeros((20, 2)), np.random.default_rng(0).normal(size=(30, 2))])
+    near, _ = build_shard(x, metric("l2"), 8, 40, 1.2)
+    assert all((near[i] >= 20).any() for i in range(20)) and max(map(len, near)) <= 8
+
+
+def test_every_node_is_reached():
+    x = np.concatenate([np.random.default_rng(i).normal(100 * i, 0.01, (40, 3)) for i in range(6)])
+    near, medoid = build_shard(x, metric("l2"), 4, 6, 1.2)
+    seen, todo = {medoid}, [medoid]
+    while todo:
+        for j in near[todo.pop()]:
+            if int(j) not in seen:
+                seen.add(int(j))
+                todo.append(int(j))
+    assert len(seen) == 240 and max(map(len, near)) <= 4
+
+
 def test_graph(spark):
     x, q = cloud(600, 32, 4), cloud(12, 32, 6)
     index = api.GraphIndex.build(spark, fresh(spark, "t"), api.vectors(spark, x, [[i % 5] for i in range(600)]), max_degree=24, build_beam_width=64, shard_rows=250)
@@ -138,7 +183,10 @@ def test_graph(spark):
     from pyspark.sql import functions as F
 
     assert again.graph().agg(F.max(F.size("neighbors"))).first()[0] <= 24
-    assert again.get_labels(7) == [2] and again.count_matching(P.eq(0, 2)) == 120
+    assert again.get_labels(7) == [2] and again.count_matching(P.eq(0, 2)) == 120 and again.has_labels and again.num_fields == 1 and again.dim == 32
+    assert again.get_vector(7) == x[7].tolist() and again.search_filtered(api.queries(spark, q), P.eq(0, 3), 5).count() == 60
+    moved = api.GraphIndex.from_bytes(spark, again.to_bytes(), fresh(spark, "t"))
+    assert api.search_batch(moved, q.tolist(), 10, beam_width=64) == got
     keep = np.arange(600) % 5 == 3
     assert api.search_batch(index, q.tolist(), 5, predicate=P.eq(0, 3)) == truth(x, q, 5, keep=keep)
     with pytest.raises(IndexError):
@@ -151,7 +199,7 @@ def test_graph(spark):
         api.search(index, [1.0, 2.0])
 
 
-@pytest.mark.parametrize("name", ["ivf_build", "graph_search"])
+@pytest.mark.parametrize("name", ["ivf_build", "graph_build"])
 def test_recall_verdicts_rest_on_rows_of_the_whole_table(spark, sf, name, monkeypatch):
     asked, recall = set(), plans.measure.recall
 
