@@ -1,7 +1,7 @@
 """The registered queries over the embeddings table, and the SQL that says the same.
 
-Conventions: queries are the rows with vec_id < 20 (for the recall verdicts of ivf_build and graph_search those with vec_id % 50 = 0); a row's labels are [label, vec_id % 100]; the delta is vec_id >= 400; tombstones
-are vec_id % 10 = 0; fixed centroids are vec_id % 25 = 0; product codes have 8 parts, their 16 centres the 16 smallest ids.
+Conventions: queries are the rows whose vec_id is divisible by 50, against all rows; a row's labels are [label, vec_id % 100]; the delta is
+vec_id >= 400; tombstones are vec_id % 10 = 0; fixed centroids are vec_id % 25 = 0; fixed product codes have 8 parts of 16 centres, the 16 smallest ids.
 `stretched` vectors aren't of unit length, so that the metrics rank differently.
 """
 
@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,11 @@ from nearfield.functions.metrics import Metric, doubles, metric, normalized, squ
 from nearfield.functions.predicates import Predicate as P
 from nearfield.operators import measure
 from nearfield.operators.coded import bounded_knn, coded_knn
+from nearfield.operators.compressed import CompressedIndex
 from nearfield.operators.graph import GraphIndex
 from nearfield.operators.layered import DELTA, LayeredIndex, delta_local, is_delta_id
 from nearfield.operators.postings import Centroids, PostingIndex, assign
-from nearfield.operators.search import knn, knn_columns, live, rescored, top_k
-from nearfield.sources.store import Store
+from nearfield.operators.search import knn, knn_columns, live, query_blocks, rescored, top_k
 from nearfield.sources.vecs import read, write
 from nearfield.sources.workdir import fresh
 
@@ -46,7 +47,7 @@ _V = "v AS (SELECT vec_id, label, [label, vec_id % 100] AS labels, embedding::DO
 _S = "s AS (SELECT vec_id, list_transform(embedding, lambda x, i: x::DOUBLE * (1 + (vec_id + i - 1) % 7)) AS e FROM embeddings)"
 
 
-def knn_sql(dist: str, where: str = "true", k: int = 10, who: str = "vec_id < 20", table: str = "v", out: str = "q_id, rank, vec_id, dist", more: str = "") -> str:
+def knn_sql(dist: str, where: str = "true", k: int = 10, who: str = "vec_id % 50 = 0", table: str = "v", out: str = "q_id, rank, vec_id, dist", more: str = "") -> str:
     """Top-k SQL; dist speaks of q.e and t.e."""
     return f"""WITH {_V}, {_S}{more}, d AS (SELECT q.vec_id AS q_id, t.vec_id AS vec_id, {dist} AS dist FROM (SELECT * FROM {table} WHERE {who}) q, (SELECT * FROM {table} WHERE {where}) t),
         r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id)::INTEGER AS rank FROM d) SELECT {out} FROM r WHERE rank <= {k}"""
@@ -74,13 +75,9 @@ def stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("embedding", F.transform(doubles("embedding"), lambda x, i: x * (1 + (F.col("vec_id") + i) % 7)))
 
 
-def asked(rows: DataFrame, until: int = 20) -> DataFrame:
-    return rows.where(F.col("vec_id") < until).select(F.col("vec_id").alias("q_id"), doubles("embedding").alias("q_vec"))
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Queries from all over the table: the rows whose id is divisible by 50."""
-    return asked(rows.where("vec_id % 50 = 0"), 1 << 62)
+def asked(rows: DataFrame, every: int = 50) -> DataFrame:
+    """The rows whose id is divisible by `every` as queries."""
+    return rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q_id"), doubles("embedding").alias("q_vec"))
 
 
 # Exact search -------------------------------------------------------------------------------------------------------
@@ -103,7 +100,7 @@ _metric_query("knn_dot", "dot", f"1 - {dot_sql('q.e', 't.e')}")
 @query(knn_sql(l2_sql("q.e", "t.e"), who="true"))
 def knn_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return knn(rows, asked(rows, 1 << 62), 10)
+    return knn(rows, asked(rows, 1), 10)
 
 
 @query(knn_sql(l2_sql("q.e", "t.e"), table="s"))
@@ -112,10 +109,23 @@ def knn_in_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_columns(rows, asked(rows), 10)
 
 
-@query(knn_sql(l2_sql("q.e", "t.e"), where="vec_id < 7"))
+@query(knn_sql(l2_sql("q.e", "t.e"), k=1 << 30))
 def knn_k_gt_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return knn(rows.where("vec_id < 7"), asked(rows), 10)
+    return knn(rows, asked(rows), 1 << 30)
+
+
+_ODD = """, o AS (SELECT vec_id, list_transform(e, lambda x, i: CASE WHEN vec_id % 7 = 3 AND i = 1 THEN 'nan'::DOUBLE WHEN vec_id % 11 = 5 AND i = 2 THEN 'inf'::DOUBLE ELSE x END) AS e FROM v),
+        w AS (SELECT q.vec_id AS q_id, t.vec_id, """ + l2_sql("q.e", "t.e") + """ AS dist FROM (SELECT * FROM o WHERE vec_id % 50 = 0) q, o t)"""
+
+
+@query(f"WITH {_V}{_ODD} SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id)::INTEGER AS rank, vec_id, coalesce(nullif(dist, 'inf'::DOUBLE), -1) AS dist FROM w WHERE NOT isnan(dist)")
+def knn_non_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    nan, inf = (F.col("vec_id") % 7 == 3), (F.col("vec_id") % 11 == 5)
+    odd = F.transform(doubles("embedding"), lambda x, i: F.when(nan & (i == 0), F.lit(float("nan"))).when(inf & (i == 1), F.lit(float("inf"))).otherwise(x))
+    rows = rows.withColumn("embedding", odd)
+    return knn(rows, asked(rows), 1 << 30).withColumn("dist", F.when(F.col("dist") == float("inf"), -1.0).otherwise(F.col("dist")))
 
 
 @query(knn_sql(l2_sql("q.e", "t.e"), out="q_id, rank, vec_id"))
@@ -205,7 +215,7 @@ _GLOBAL = f"g AS (SELECT CASE WHEN vec_id < 400 THEN vec_id ELSE vec_id - 400 +
 
 
 def _layer_sql(where: str = "true", k: int = 10) -> str:
-    return f"""WITH {_V}, {_GLOBAL}, d AS (SELECT q.vec_id AS q_id, g.vec_id, {l2_sql('q.e', 'g.e')} AS dist FROM (SELECT * FROM v WHERE vec_id < 20) q, (SELECT * FROM g WHERE old % 10 <> 0 AND ({where})) g),
+    return f"""WITH {_V}, {_GLOBAL}, d AS (SELECT q.vec_id AS q_id, g.vec_id, {l2_sql('q.e', 'g.e')} AS dist FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q, (SELECT * FROM g WHERE old % 10 <> 0 AND ({where})) g),
         r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id)::INTEGER AS rank FROM d) SELECT q_id, rank, vec_id, dist FROM r WHERE rank <= {k}"""
 
 
@@ -324,7 +334,7 @@ def compression_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PARTS = ", bk AS (SELECT vec_id AS c, m, e[m * 8 + 1:m * 8 + 8] AS x FROM v, range(8) r(m) WHERE vec_id < 16), pt AS (SELECT vec_id, m, e[m * 8 + 1:m * 8 + 8] AS x FROM v, range(8) r(m))"
 _CODES = _PARTS + f", pd AS (SELECT pt.vec_id, pt.m, bk.c, bk.x AS bx, {l2_sql('pt.x', 'bk.x')} AS d FROM pt JOIN bk USING (m)), ch AS (SELECT vec_id, m, arg_min(c, (d, c)) AS c FROM pd GROUP BY ALL)"
-_PQ = f"""WITH {_V}{_CODES}, tb AS (SELECT vec_id AS q_id, m, c, d FROM pd WHERE vec_id < 20), f AS (SELECT tb.q_id, ch.vec_id, list_sum(list(tb.d ORDER BY tb.m)) AS dist FROM ch JOIN tb USING (m, c) GROUP BY ALL),
+_PQ = f"""WITH {_V}{_CODES}, tb AS (SELECT vec_id AS q_id, m, c, d FROM pd WHERE vec_id % 50 = 0), f AS (SELECT tb.q_id, ch.vec_id, list_sum(list(tb.d ORDER BY tb.m)) AS dist FROM ch JOIN tb USING (m, c) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id)::INTEGER AS rank FROM f) SELECT q_id, rank, vec_id, dist FROM r WHERE rank <= {{k}}"""
 
 
@@ -349,7 +359,7 @@ def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.encoded(rows, model).select("vec_id", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get(F.get(books, i), byte(i)))).alias("decoded"))
 
 
-@query(f"WITH {_V}{_CODES} SELECT vec_id AS q_id, m::INTEGER AS part, list(d ORDER BY c) AS distances FROM pd WHERE vec_id < 20 GROUP BY ALL")
+@query(f"WITH {_V}{_CODES} SELECT vec_id AS q_id, m::INTEGER AS part, list(d ORDER BY c) AS distances FROM pd WHERE vec_id % 50 = 0 GROUP BY ALL")
 def pq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     model = _books(rows)
@@ -366,6 +376,18 @@ def pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_knn(Q.encoded(rows, model), asked(rows), 10, model)
 
 
+@query(_PQ.format(k=10))
+def pq_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product codes' distances without tables, of all codes to a query's parts."""
+    rows = vectors(spark, sf_dir).select("vec_id", "embedding")
+    model = _books(rows)
+    books = F.array(*(F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in b)) for b in model.books))
+    byte = lambda i: F.conv(F.hex(F.substring("code", i + 1, F.lit(1))), 16, 10).cast("int")
+    part = lambda i: squared(F.slice("q_vec", i * 8 + 1, 8), F.get(F.get(books, i), byte(i)))
+    pairs = Q.encoded(rows, model).join(F.broadcast(asked(rows)))
+    return top_k(pairs.select("q_id", "vec_id", total(F.array(*(part(F.lit(m)) for m in range(8)))).alias("dist")), 10)
+
+
 @query(_rerank_sql(_PQ, 100))
 def pq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).select("vec_id", "embedding")
@@ -385,37 +407,88 @@ def pq_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sign bits ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS rows, true AS rotation_keeps_length, true AS bound_holds, true AS estimates_close FROM embeddings")
-def sign_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _turn() -> str:
+    """The rotation of sign codes as the rows of a matrix in SQL: the rotated unit vectors."""
+    rows = Q.SignBit(np.zeros(64)).rotate(np.eye(64)).T
+    return "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row) + "]::DOUBLE[]" for row in rows) + "]"
+
+
+_SIGN = f"""WITH {_V}, p AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, sum(x::DECIMAL(38, 18))::DOUBLE / count(*) AS x FROM p GROUP BY i)),
+    r AS (SELECT vec_id, list_transform(list_zip(e, c), lambda p: p[1] - p[2]) AS r FROM v, m), y AS (SELECT vec_id, list_transform({_turn()}, lambda w: list_inner_product(w, r)) AS y FROM r),
+    n AS (SELECT vec_id, y, list_transform(y, lambda x: x > 0) AS bits, list_inner_product(y, y) AS n2, list_sum(list_transform(y, lambda x: abs(x))) / 8 AS spread FROM y),
+    c AS (SELECT vec_id, y, bits, n2::FLOAT::DOUBLE AS n2, (n2 / spread)::FLOAT::DOUBLE AS factor, sqrt(n2) AS length FROM n)"""
+
+
+@query(f"{_SIGN} SELECT vec_id, bits, round(n2, 5) AS n2, round(factor, 5) AS factor FROM c")
+def sign_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign bits of the rotated residuals, their squared norms and correction factors, taken out of the codes."""
     rows = vectors(spark, sf_dir).select("vec_id", "embedding")
     model = Q.SignBit.train(rows)
-    dim = 64
 
-    def work(batches):
-        import pyarrow as pa
+    def opened(batches):
+        for batch in batches:
+            bits, n2, factor = model._open(Q.unpacked(batch.column(1), model))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((bits > 0).tolist(), pa.list_(pa.bool_())), pa.array(n2), pa.array(factor)], names=["vec_id", "bits", "n2", "factor"])
+
+    return Q.encoded(rows, model).mapInArrow(opened, "vec_id long, bits array<boolean>, n2 double, factor double").select("vec_id", "bits", F.round("n2", 5).alias("n2"), F.round("factor", 5).alias("factor"))
 
-        from nearfield.operators.search import matrix
 
+_GRID = "list_transform(y, lambda x: greatest(0, least(15, round_even((x / length - lo) / step, 0))) * step + lo)"
+
+
+@query(f"""{_SIGN}, u AS (SELECT *, list_min(y) / length AS lo, (list_max(y) - list_min(y)) / length / 15 AS step FROM c WHERE vec_id % 50 = 0), q AS (SELECT vec_id AS q_id, length, {_GRID} AS grid FROM u),
+    d AS (SELECT q_id, vec_id, n2 + q.length * q.length - 2 * q.length * factor * list_sum(list_transform(list_zip(grid, bits), lambda p: CASE WHEN p[2] THEN p[1] ELSE -p[1] END)) / 8 AS about,
+    2 * q.length * factor * 1.9 * sqrt(greatest(1 - n2 / (factor * factor), 0) / 63) AS error FROM q, c) SELECT q_id, vec_id, round(greatest(about, 0), 6) AS about, round(error, 6) AS error FROM d""")
+def sign_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated distances of all codes to the queries, and the bounds of their errors."""
+    rows = vectors(spark, sf_dir).select("vec_id", "embedding")
+    model = Q.SignBit.train(rows)
+    sent = spark.sparkContext.broadcast(next(query_blocks(asked(rows)), (np.empty(0, np.int64), np.empty((0, 64)))))
+
+    def work(batches):
+        ids, q = sent.value
         for batch in batches:
-            if len(batch):
-                x = matrix(batch.column(1), dim)
-                turned = np.abs(np.linalg.norm(model.rotate(x), axis=1) - np.linalg.norm(x, axis=1)) < 1e-9
-                q = x[: min(32, len(x))]
-                d, e = model.estimates(q, model.encode(x))
-                true = metric("l2").exact(q[:, None, :], x[None])
-                yield pa.RecordBatch.from_arrays([pa.array(turned), pa.array((d - e <= true).mean(axis=0)), pa.array((np.abs(d - true) < 0.35 * true + 0.1).mean(axis=0))], names=["turned", "bound", "close"])
+            if len(batch) and len(ids):
+                d, e = model.estimates(q, Q.unpacked(batch.column(1), model))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(batch))), pa.array(np.tile(batch.column(0).to_numpy(), len(ids))), pa.array(d.ravel()), pa.array(e.ravel())], names=["q_id", "vec_id", "about", "error"])
 
-    checks = rows.mapInArrow(work, "turned boolean, bound double, close double")
-    return checks.agg(F.count("*").alias("rows"), F.every("turned").alias("rotation_keeps_length"), (F.avg("bound") > 0.93).alias("bound_holds"), (F.avg("close") > 0.9).alias("estimates_close"))
+    found = Q.encoded(rows, model).mapInArrow(work, "q_id long, vec_id long, about double, error double")
+    return found.select("q_id", "vec_id", F.round("about", 6).alias("about"), F.round("error", 6).alias("error"))
 
 
-@query("SELECT vec_id AS q_id, 10::BIGINT AS n, true AS found FROM embeddings WHERE vec_id < 20")
+@query(knn_sql(l2_sql("q.e", "t.e")))
 def sign_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest by sign codes, re-ranked by their bound, which on these tables loses none."""
     rows = vectors(spark, sf_dir).select("vec_id", "embedding")
-    model, q = Q.SignBit.train(rows), asked(rows)
-    found = bounded_knn(Q.encoded(rows, model), q, 10, model, rows, metric("l2"))
-    share = measure.recall(found, knn(rows, q, 10), 10)
-    return found.groupBy("q_id").agg(F.count("*").alias("n")).join(share, "q_id").select("q_id", "n", (F.col("recall") >= 0.9).alias("found"))
+    model = Q.SignBit.train(rows)
+    return bounded_knn(Q.encoded(rows, model), asked(rows), 10, model, rows, metric("l2"))
+
+
+def _share_sql(name: str, found: str) -> str:
+    return f"SELECT n.q_id, '{name}' AS codes, count(f.vec_id) / 10.0::DOUBLE AS recall FROM near n LEFT JOIN ({found}) f ON f.q_id = n.q_id AND f.vec_id = n.vec_id GROUP BY n.q_id"
+
+
+@query(f"WITH near AS ({knn_sql(l2_sql('q.e', 't.e'))}) {_share_sql('f16', _HALF_SQL)} UNION ALL {_share_sql('int8', _BYTE_SQL)}")
+def recall_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall@10 of half-precision and byte codes without re-ranking."""
+    rows = vectors(spark, sf_dir)
+    truth = knn(rows, asked(rows), 10)
+    parts = [measure.recall(_coded(spark, sf_dir, kind), truth, 10).select("q_id", F.lit(kind).alias("codes"), "recall") for kind in ("f16", "int8")]
+    return parts[0].union(parts[1])
+
+
+@query("SELECT * FROM (VALUES ('pq-32', 8.0::DOUBLE, true), ('pq-16', 16.0::DOUBLE, true), ('pq-8', 32.0::DOUBLE, true)) t(codes, compression, reached)")
+def recall_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether product codes without re-ranking reach the recall@10 known for them: 0.62, 0.30 and 0.12 with 32, 16 and 8 parts of 64 dimensions."""
+    rows = vectors(spark, sf_dir).select("vec_id", "embedding")
+    truth, out = knn(rows, asked(rows), 10).cache(), []
+    for parts, floor in ((32, 0.62), (16, 0.30), (8, 0.12)):
+        model = Q.train("pq", rows, parts=parts)
+        found = coded_knn(Q.encoded(rows, model), asked(rows), 10, model)
+        out.append((f"pq-{parts}", float(Q.compression(model)), measure.recall(found, truth, 10).agg(F.avg("recall")).first()[0] >= floor))
+    return spark.createDataFrame(out, "codes string, compression double, reached boolean")
 
 
 # Aggregates ---------------------------------------------------------------------------------------------------------
@@ -436,7 +509,7 @@ def value_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.value_range(vectors(spark, sf_dir))
 
 
-_TWICE = f"WITH {_V}, d AS (SELECT q.vec_id AS q_id, t.vec_id, {l2_sql('q.e', 't.e')} AS dist FROM (SELECT * FROM v WHERE vec_id < 20) q, v t)"
+_TWICE = f"WITH {_V}, d AS (SELECT q.vec_id AS q_id, t.vec_id, {l2_sql('q.e', 't.e')} AS dist FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q, v t)"
 
 
 @query(f"{_TWICE} SELECT q_id, vec_id, min(dist) AS dist FROM (SELECT * FROM d UNION ALL SELECT q_id, vec_id, dist + vec_id % 3 - 1 FROM d) GROUP BY ALL")
@@ -446,7 +519,7 @@ def dedup_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.nearest_of_each(d.union(d.select("q_id", "vec_id", F.col("dist") + F.col("vec_id") % 3 - 1)))
 
 
-_HALVES = f"WITH {_V}, d AS (SELECT q.vec_id AS q_id, t.vec_id, {l2_sql('q.e', 't.e')} AS dist FROM (SELECT * FROM v WHERE vec_id < 20) q, v t), a AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS rank FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS rank FROM d WHERE vec_id % 3 <> 1)"
+_HALVES = f"WITH {_V}, d AS (SELECT q.vec_id AS q_id, t.vec_id, {l2_sql('q.e', 't.e')} AS dist FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q, v t), a AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS rank FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS rank FROM d WHERE vec_id % 3 <> 1)"
 
 
 @query(f"{_HALVES} SELECT a.q_id, count(b.vec_id) / 10.0::DOUBLE AS recall FROM a LEFT JOIN b ON a.q_id = b.q_id AND a.vec_id = b.vec_id AND b.rank <= 10 WHERE a.rank <= 10 GROUP BY a.q_id")
@@ -477,20 +550,15 @@ def _fixed(rows: DataFrame) -> Centroids:
     return Centroids(np.array([r.vec_id for r in found]), np.array([r.e for r in found]))
 
 
-def _fixed_index(spark: SparkSession, sf_dir: str, ratio: float = math.inf) -> PostingIndex:
-    """The index of the fixed centroids, as if built with them."""
+def _fixed_index(spark: SparkSession, sf_dir: str, ratio: float = math.inf, quantizer: str | None = None) -> PostingIndex:
+    """The index of the fixed centroids, none of whose postings is split."""
     rows = vectors(spark, sf_dir)
-    c, store = _fixed(rows), Store(spark, fresh(spark, "postings"))
-    store.write("postings", assign(rows, c).repartitionByRange(4, "posting_id").sortWithinPartitions("posting_id"))
-    store.write("centroids", spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(c.ids, c.rows, strict=True)], "posting_id long, centroid array<double>"))
-    store.write("deleted", spark.createDataFrame([], "vec_id long"))
-    store.publish(family="postings", by="l2", dim=64, most=1 << 30, least=16, ratio=None if math.isinf(ratio) else ratio, rerank=0, next_id=rows.count(), quantizer=None)
-    return PostingIndex(store)
+    return PostingIndex.build(spark, fresh(spark, "postings"), rows, max_posting_size=1 << 30, probe_ratio=ratio, centroids=_fixed(rows), quantizer=quantizer)
 
 
 def _ivf_sql(probes: int, ratio: float | None = None, where: str = "true") -> str:
     cut = f"AND p.d <= {ratio} * p.least" if ratio else ""
-    return f"""WITH {_V}{_A}, p AS (SELECT q.vec_id AS q_id, q.e, c.posting_id, {l2_sql('q.e', 'c.e')} AS d FROM (SELECT * FROM v WHERE vec_id < 20) q, c),
+    return f"""WITH {_V}{_A}, p AS (SELECT q.vec_id AS q_id, q.e, c.posting_id, {l2_sql('q.e', 'c.e')} AS d FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q, c),
         n AS (SELECT *, row_number() OVER w AS turn, first_value(d) OVER w AS least FROM p WINDOW w AS (PARTITION BY q_id ORDER BY d, posting_id)),
         d AS (SELECT p.q_id, a.vec_id, {l2_sql('p.e', 'a.e')} AS dist FROM n p JOIN a USING (posting_id) WHERE p.turn <= {probes} {cut} AND {where.replace('vec_id', 'a.vec_id')}),
         r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id)::INTEGER AS rank FROM d) SELECT q_id, rank, vec_id, dist FROM r WHERE rank <= 10"""
@@ -508,7 +576,7 @@ def ivf_posting_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(rows, _fixed(rows)).groupBy("posting_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_V}{_P}, p AS (SELECT q.vec_id AS q_id, c.posting_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {l2_sql('q.e', 'c.e')}, c.posting_id) AS turn FROM (SELECT * FROM v WHERE vec_id < 20) q, c) SELECT q_id, turn::INTEGER AS turn, posting_id FROM p WHERE turn <= 4")
+@query(f"WITH {_V}{_P}, p AS (SELECT q.vec_id AS q_id, c.posting_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {l2_sql('q.e', 'c.e')}, c.posting_id) AS turn FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q, c) SELECT q_id, turn::INTEGER AS turn, posting_id FROM p WHERE turn <= 4")
 def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     centroids = rows.where("vec_id % 25 = 0").select("vec_id", "embedding")
@@ -549,28 +617,82 @@ def ivf_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     index = PostingIndex.build(spark, fresh(spark, "built"), rows, max_posting_size=64)
-    share = measure.recall(index.search(spread(rows), 10, 1 << 20), knn(rows, spread(rows), 10), 10).agg(F.min("recall")).first()[0]
+    share = measure.recall(index.search(asked(rows), 10, 1 << 20), knn(rows, asked(rows), 10), 10).agg(F.min("recall")).first()[0]
     s = index.stats()
     return spark.createDataFrame([(s["live"], s["max_posting"] < 64, index.in_nearest() >= 0.95, share == 1)], "live long, bounded boolean, in_nearest boolean, recall_ok boolean")
 
 
+_GROWN = ", g AS (SELECT vec_id, e FROM v UNION ALL SELECT (SELECT count(*) FROM v) + row_number() OVER (ORDER BY vec_id) - 1, [x * 1.001::DOUBLE FOR x IN e]::FLOAT[]::DOUBLE[] FROM v WHERE vec_id % 3 = 0)"
+
+
+@query(knn_sql(l2_sql("q.e", "t.e"), table="g", more=_GROWN, who="vec_id % 50 = 0 AND vec_id < (SELECT count(*) FROM v)"))
+def ivf_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings of an index into which a third of the rows was inserted once more, a little longer."""
+    rows = vectors(spark, sf_dir)
+    index = PostingIndex.build(spark, fresh(spark, "grown"), rows, max_posting_size=48)
+    more = F.transform(doubles("embedding"), lambda x: x * 1.001).cast("array<float>")
+    index.insert(rows.where("vec_id % 3 = 0").orderBy("vec_id").select(more.alias("embedding")).coalesce(1))
+    assert index.stats()["max_posting"] < 48
+    return index.search(asked(rows), 10, 1 << 20)
+
+
+@query(_ivf_sql(4))
+def ivf_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign codes of residuals, re-ranked by their bound."""
+    return _fixed_index(spark, sf_dir, quantizer="sign").search(asked(vectors(spark, sf_dir)), 10, 4)
+
+
+@query(knn_sql(l2_sql("q.e", "t.e"), table="g", more=_GROWN, who="vec_id % 50 = 0 AND vec_id < (SELECT count(*) FROM v)"))
+def ivf_residual_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all postings after rows were inserted and postings split, so that codes were made again."""
+    rows = vectors(spark, sf_dir)
+    index = PostingIndex.build(spark, fresh(spark, "grown"), rows, max_posting_size=48, quantizer="sign")
+    more = F.transform(doubles("embedding"), lambda x: x * 1.001).cast("array<float>")
+    index.insert(rows.where("vec_id % 3 = 0").orderBy("vec_id").select(more.alias("embedding")).coalesce(1))
+    return index.search(asked(rows), 10, 1 << 20)
+
+
 # Graphs -------------------------------------------------------------------------------------------------------------
 
 
 @query("SELECT count(*) AS nodes, true AS bounded, true AS reachable, true AS recall_ok FROM embeddings")
-def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the graph's own promises; recall is that of graph_search's beams."""
     rows = vectors(spark, sf_dir)
     index = GraphIndex.build(spark, fresh(spark, "graph"), rows, max_degree=32, build_beam_width=64)
     g = index.graph()
     known = g.select(F.explode("neighbors").alias("vec_id")).union(g.where("entry").select("vec_id")).distinct()
-    share = measure.recall(index.search(spread(rows), 10, 64), knn(rows, spread(rows), 10), 10).agg(F.avg("recall")).first()[0]
+    share = measure.recall(index.search(asked(rows), 10, 64), knn(rows, asked(rows), 10), 10).agg(F.avg("recall")).first()[0]
     return g.agg(F.count("*").alias("nodes"), (F.max(F.size("neighbors")) <= 32).alias("bounded")).select("nodes", "bounded", F.lit(known.count() == index.num_vectors).alias("reachable"), F.lit(share >= 0.9).alias("recall_ok"))
 
 
-@query(f"WITH {_V}, d AS (SELECT q.vec_id AS q_id, t.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {l2_sql('q.e', 't.e')}, t.vec_id) AS rank FROM v q, v t WHERE q.vec_id <> t.vec_id AND q.vec_id < 200) SELECT vec_id, count(*) AS in_degree, list(q_id ORDER BY q_id) AS sources FROM d WHERE rank <= 5 GROUP BY vec_id")
+@query(knn_sql(l2_sql("q.e", "t.e")))
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that beams of 400 find, which on these tables are the nearest."""
+    rows = vectors(spark, sf_dir)
+    return GraphIndex.build(spark, fresh(spark, "graph"), rows, max_degree=32, build_beam_width=64).search(asked(rows), 10, 400)
+
+
+@query(knn_sql(l2_sql("q.e", "t.e"), where="labels[1] = 3 AND labels[2] < 60"))
+def graph_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching rows by the graph's own vectors, after the index was opened again."""
+    rows, path = vectors(spark, sf_dir), fresh(spark, "graph")
+    GraphIndex.build(spark, path, rows, max_degree=16, build_beam_width=32)
+    return GraphIndex.open(spark, path).search(asked(rows), 10, predicate=P.and_([P.eq(0, 3), P.lt(1, 60)]))
+
+
+@query(knn_sql(l2_sql("q.e", "t.e"), table="h", where="vec_id % 2 = 0", more=_H))
+def compressed_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-precision codes of the rows that a label admits, from an index saved and opened."""
+    rows, path = vectors(spark, sf_dir).withColumn("labels", F.array(F.col("vec_id") % 2)), fresh(spark, "codes")
+    CompressedIndex.build(spark, path, rows.select("vec_id", "embedding", "labels"), quantizer="f16")
+    return CompressedIndex.open(spark, path).search(asked(rows), 10, predicate=P.eq(0, 0))
+
+
+@query(f"WITH {_V}, d AS (SELECT q.vec_id AS q_id, t.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {l2_sql('q.e', 't.e')}, t.vec_id) AS rank FROM v q, v t WHERE q.vec_id <> t.vec_id) SELECT vec_id, count(*) AS in_degree, list(q_id ORDER BY q_id) AS sources FROM d WHERE rank <= 5 GROUP BY vec_id")
 def in_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    near = knn(rows, asked(rows, 200), 6).where("q_id <> vec_id")
+    near = knn(rows, asked(rows, 1), 6).where("q_id <> vec_id")
     near = top_k(near.select("q_id", "vec_id", "dist"), 5).groupBy("q_id").agg(F.collect_list("vec_id").alias("neighbors"))
     return measure.in_degrees(near.withColumnRenamed("q_id", "vec_id"))
 
@@ -594,12 +716,18 @@ def bvecs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.join(read(spark, path, "bvecs", scaled=True).select("vec_id", doubles("embedding").alias("scaled")), "vec_id")
 
 
-@query("SELECT * FROM (VALUES (1, 3), (2, 1), (3, 0)) t(publication, copied)")
+@query(f"""WITH {_V}{_A}, used AS (SELECT DISTINCT posting_id % 4 AS part FROM a), far AS (SELECT a.posting_id FROM a WHERE vec_id = 3),
+    piece AS (SELECT 1 AS publication, 'postings/part=' || part AS piece FROM used UNION ALL SELECT 1, 'centroids' UNION ALL SELECT 2, 'deleted/part=0'
+    UNION ALL SELECT 3, 'postings/part=' || (posting_id % 4) FROM far UNION ALL SELECT 3, 'centroids') SELECT * FROM piece""")
 def snapshot_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, target = _fixed_index(spark, sf_dir), fresh(spark, "snapshot")
-    first = len(index.snapshot(target))
-    index.delete(vectors(spark, sf_dir).where("vec_id < 5").select("vec_id"))
-    return spark.createDataFrame([(1, first), (2, len(index.snapshot(target))), (3, len(index.snapshot(target)))], "publication int, copied int")
+    """What each of four snapshots copies: of a new index, after a deletion, after the insert of a copy of vector 3, and after nothing."""
+    index, target, rows = _fixed_index(spark, sf_dir), fresh(spark, "snapshot"), vectors(spark, sf_dir)
+    copied = [index.snapshot(target)]
+    index.delete(rows.where("vec_id < 5").select("vec_id"))
+    copied.append(index.snapshot(target))
+    index.insert(rows.where("vec_id = 3").select("embedding"))
+    copied += [index.snapshot(target), index.snapshot(target)]
+    return spark.createDataFrame([(i + 1, piece) for i, pieces in enumerate(copied) for piece in pieces], "publication int, piece string")
 
 
 @query(knn_sql(l2_sql("q.e", "t.e"), where="vec_id >= 5"))
