@@ -24,7 +24,11 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter or with no language ahead of the others go."""
+    """Documents whose language is known; those without a letter (null and empty texts among them) or with no language ahead of the others go.
+
+    Of languages that tie the first by code point counts, which then has half of the score at most and may go. Repeated rows are decided alike; nothing is learned
+    from an empty table or one without lang, and then no document stays.
+    """
     return with_language(docs, train(docs), least=0.5)
 
 
@@ -52,12 +56,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no test item is found."""
+    """Documents in which no test item is found, null and empty texts and rows without an id among them; repeated rows are decided alike. Without test items all stay."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows."""
+    """All documents, personal data replaced by its kind (of spans that overlap, the first and then the longest); n_chars follows. Null and empty texts, ids and repeated rows stay as they are."""
     return redacted(docs)
 
 
