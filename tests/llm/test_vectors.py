@@ -44,6 +44,51 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
             assert (x.n_links, x.component_id, x.kept) == (*want[x.vec_id], x.vec_id == want[x.vec_id][1])
 
 
+def test_a_crowd_makes_no_pairs(spark, monkeypatch):
+    """Rows that the blocks give grow with the vectors of a crowd, not with its pairs; vectors of many lengths are no error."""
+    r, made = np.random.default_rng(2), []
+    inner = op._links
+
+    def spied(*args):
+        made.append(inner(*args))
+        return made[-1]
+
+    monkeypatch.setattr(op, "_links", spied)
+    crowd = [(i, (np.ones(8) + r.normal(size=8) * 0.01).tolist(), 1) for i in range(300)]
+    rows = crowd + [(1000 + k, [1.0] * (k + 1), 1) for k in range(66) if k != 7]
+    got = {x.vec_id: x for x in op.near_duplicates(spark.createDataFrame(crowd, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i].n_links == 299 and got[i].component_id == 0 for i in range(300))
+    assert made[0].count() < 300 * 40
+    monkeypatch.setattr(op, "_links", inner)
+    few = op.near_duplicates(spark.createDataFrame(rows[:20] + rows[-6:], "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(x.n_links for x in few) == [0] * 6 + [19] * 20
+
+
+def test_forest():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(r.integers(1, 30))
+        a, b = r.integers(0, n, size=(2, int(r.integers(0, 40))))
+        one, two = op.forest(a, b, n)
+        label = np.arange(n)
+        for _ in range(n):
+            for i, j in zip(a, b):
+                label[[i, j]] = min(label[i], label[j])
+        assert len(one) == n - len(set(label.tolist())) and all(label[i] == label[j] == i for i, j in zip(one, two))
+
+
+def test_reach_is_set_against_all_rows(spark, monkeypatch):
+    """Links to rows beyond the sample set the reach, and the share asked for is found."""
+    monkeypatch.setattr(op, "SAMPLE", 60)
+    monkeypatch.setattr(op, "IN_CELL", 1)
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(200, 12))
+    rows = [(i, (centres[i % 200] + r.normal(size=12) * 0.08).tolist(), 0) for i in range(600)]
+    got = {x.vec_id: x.n_links for x in op.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute(rows)
+    assert sum(got.values()) >= 0.9 * sum(n for n, _ in want.values()) > 300
+
+
 def test_no_rows(spark):
     assert op.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
