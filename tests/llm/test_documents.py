@@ -381,6 +381,20 @@ def test_mixture(spark, sf, awkward, nothing):
     assert op6.mixture(nothing).collect() == []
 
 
+def test_ranges_change_nothing(spark, sf, awkward, monkeypatch):
+    """Prefix sums over many ranges of a source give what one range gives, null and repeated ids among the rows."""
+    rows = docs(spark, sf).select("doc_id", "text", "source").unionByName(awkward.select("doc_id", "text", "source"))
+    rows = rows.unionByName(spark.createDataFrame([(None, f"no id {i}", "b") for i in range(60)] + [(3, f"one id {i} " * (i % 4), "b") for i in range(30)], "doc_id long, text string, source string"))
+    found = []
+    for n in (4096, 5):
+        monkeypatch.setattr(op6, "ROWS", n)
+        found.append(sorted(map(str, op6.mixture(rows).collect())))
+    assert found[0] == found[1]
+    whole = op6.mixture(rows.withColumn("taken", F.lit("clash")), whole=True)
+    assert whole.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
+    assert sorted(str(r) for r in whole.select("doc_id", "size", "source_size", "target", "taken").collect()) == found[0]
+
+
 def test_mix_takes_exactly_the_target(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 17).cast("int")).alias("text"))
     sums = op6.mixture(rows).groupBy("target").agg(F.sum("taken").alias("taken")).collect()

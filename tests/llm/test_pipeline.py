@@ -1,7 +1,17 @@
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from nearfield.llm import op2_pii as op2
+from nearfield.llm import op10_language as op10
+from nearfield.llm.op6_mix import fill
 from nearfield.llm.queries import ORACLES, QUERIES
+from tests.llm.test_documents import plain_finds
+from tests.llm.test_jaccard import brute
 
 
 def test_stages(spark, sf):
@@ -15,6 +25,44 @@ def test_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == [*columns, "size", "source_size", "target", "taken"]
 
 
+def test_run_equals_plain_stages(spark, sf):
+    """The rows of run() from each stage's brute-force version, on whole documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    with np.errstate(over="ignore"):
+        names, score, _ = op10.train(docs).predict(pa.array([r["text"] for r in rows]))
+    rows = [r for r, n, x in zip(rows, names, score, strict=True) if n != "und" and x >= 0.5]
+    groups = brute([(r["doc_id"], r["text"]) for r in rows], 5, 80)
+    assert any(c != i for i, (_, c) in groups.items())
+    rows = [r for r in rows if groups[r["doc_id"]][1] == r["doc_id"]]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text is not None]
+    dirty = {i for i, _ in plain_finds([(r["doc_id"], r["text"]) for r in rows], bench)}
+    rows, field = [r for r in rows if r["doc_id"] not in dirty], op2.trained()
+    assert dirty
+    for r in rows:
+        base, added = op2.find(r["text"], field)
+        assert base == op2.base_spans(r["text"])
+        out, end = "", 0
+        for kind, a, b in sorted(base + added, key=lambda x: (x[1], -x[2])):
+            if a >= end:
+                out += r["text"][end:a] + f"<{kind}>"
+            end = max(end, b)
+        r["text"] = out + r["text"][end:]
+        r["n_chars"] = len(r["text"])
+        r["size"] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    sources = sorted({r["source"] for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = {k: sum(r["size"] for r in rows if r["source"] == k) for k in sources}
+    targets, want = dict(zip(sources, fill([sizes[k] for k in sources], 1.5, 2.0, (5, 2, 1)), strict=True)), []
+    for k in sources:
+        turns, start = int(targets[k] // sizes[k]), 0
+        for r in sorted((r for r in rows if r["source"] == k), key=lambda r: (hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest(), r["doc_id"])):
+            taken = turns * r["size"] + max(0, min(r["size"], int(targets[k]) - turns * sizes[k] - start))
+            start += r["size"]
+            if taken:
+                want.append((*r.values(), sizes[k], targets[k], taken))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == sorted(want)
+
+
 def test_stages_bear_awkward_rows(spark, awkward, sf):
     docs = awkward
     for name, stage in corpus_pipeline.STAGES:
