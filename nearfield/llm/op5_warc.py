@@ -217,8 +217,9 @@ def read_archives(archives: DataFrame, root: str) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages to archives in the shared folder and read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    A null html is an empty payload; null ids and urls and repeated rows have records of their own (see write_archives
-    for their types); other columns are passed over.
+    A null or empty html is an empty payload; very long ones are read in pieces; null ids and urls and repeated rows have records of their own (see
+    write_archives for their types; of rows with one id and one payload none is preferred); an empty table gives an empty one. Other columns are
+    passed over. A response's bytes and digest are counted from its payload; a revisit's, which has none, have to be those of the response it names, or that is an error.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     root = f"{scratch.root}/archives"
@@ -226,4 +227,10 @@ def round_trip(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_co
     fs.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(fs)
     listed = scratch.table(write_archives(pages, root, least, id_col=id_col, url_col=url_col, html_col=html_col), "listed")
     scratch.kept.add("archives")
-    return read_archives(listed, root).drop("target")
+    found = scratch.table(read_archives(listed, root).drop("target"), "found")
+    named = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    astray = found.where("record_type = 'revisit'").join(named, ["refers_to", "payload_bytes", "payload_digest"], "left_anti").first()
+    if astray is not None:
+        raise ValueError(f"the record of page {astray.page_id} revisits {astray.refers_to}, which has another payload")
+    scratch.drop("archives", "listed")
+    return found

@@ -7,6 +7,7 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm import op3_extract as op3
 from nearfield.llm import op5_warc as op5
@@ -113,3 +114,10 @@ def test_reader_holds_blocks_only():
     data = op5.record([("WARC-Type", "resource"), ("WARC-Block-Digest", f"sha1:{op5.base32(hashlib.sha1(block).digest())}")], block)
     (_, size, _, kept), *_ = op5.records(io.BytesIO(data), payloads=False)
     assert size == len(block) and kept is None
+
+
+def test_a_revisit_of_another_payload_is_an_error(spark, odd, monkeypatch):
+    inner = op5.read_archives
+    monkeypatch.setattr(op5, "read_archives", lambda archives, root: inner(archives, root).withColumn("payload_digest", F.when(F.col("record_type") == "revisit", "A").otherwise(F.col("payload_digest"))))
+    with pytest.raises(ValueError, match="another payload"):
+        op5.round_trip(odd)
