@@ -25,7 +25,7 @@ from nearfield.operators.graph import GraphIndex
 from nearfield.operators.layered import DELTA, LayeredIndex, delta_local, is_delta_id
 from nearfield.operators.postings import Centroids, PostingIndex, assign
 from nearfield.operators.search import knn, knn_columns, live, query_blocks, rescored, top_k
-from nearfield.sources.vecs import read, write
+from nearfield.sources.vecs import read, read_blocks, write
 from nearfield.sources.workdir import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -742,3 +742,123 @@ def snapshot_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return rescored(knn(rows, asked(rows), 10), rows, asked(rows), 10)
+
+
+# Indexes opened again, and lookups ------------------------------------------------------------------------------------
+
+_BYTES_SQL = f"WITH near AS ({knn_sql(l2_sql('q.e', 't.e'))}) " + " UNION ALL ".join(f"SELECT '{x}' AS index, * FROM near" for x in ("compressed", "graph", "layered", "postings"))
+
+
+def _indexes(spark: SparkSession, sf_dir: str) -> dict[str, object]:
+    rows = vectors(spark, sf_dir).select("vec_id", "embedding")
+    return {
+        "compressed": CompressedIndex.build(spark, fresh(spark, "codes"), rows, quantizer="int8", rerank_size=100),
+        "graph": GraphIndex.build(spark, fresh(spark, "graph"), rows, max_degree=32, build_beam_width=64),
+        "layered": LayeredIndex.build(spark, fresh(spark, "layers"), rows, quantizer="f16", rerank_size=50),
+        "postings": PostingIndex.build(spark, fresh(spark, "postings"), rows, max_posting_size=64, quantizer="int8", rerank_size=100),
+    }
+
+
+def _found(name: str, index, q: DataFrame) -> DataFrame:
+    more = {"graph": {"beam_width": 400}, "postings": {"n_probe": 1 << 20}}.get(name, {})
+    return index.search(q, 10, **more).select(F.lit(name).alias("index"), "q_id", "rank", "vec_id", "dist")
+
+
+@query(_BYTES_SQL)
+def index_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of index finds after it was opened from its store."""
+    q = asked(vectors(spark, sf_dir))
+    parts = [_found(name, type(x).open(spark, x.store.path), q) for name, x in _indexes(spark, sf_dir).items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(_BYTES_SQL)
+def index_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of index finds after a trip through one blob."""
+    q = asked(vectors(spark, sf_dir))
+    parts = [_found(name, type(x).from_bytes(spark, x.to_bytes(), fresh(spark, "unpacked")), q) for name, x in _indexes(spark, sf_dir).items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {_V} SELECT a.vec_id, a.vec_id % 10 = 0 AS deleted, CASE WHEN a.vec_id % 10 <> 0 THEN a.e END AS posting_vector, a.e AS layer_vector FROM v a WHERE a.vec_id IN (0, 7, 10, 333)")
+def index_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and marks by id, deleted ones among them: a posting index hides the vectors of deleted rows, a layered one keeps them."""
+    rows, out = vectors(spark, sf_dir).select("vec_id", "embedding"), []
+    postings, layers = _fixed_index(spark, sf_dir), LayeredIndex.build(spark, fresh(spark, "layers"), rows)
+    for x in (postings, layers):
+        x.delete(rows.where("vec_id % 10 = 0").select("vec_id"))
+    for i in (0, 7, 10, 333, 123456789):
+        deleted, kept = (postings.is_deleted(i), layers.is_deleted(i)), (postings.get_vector(i), layers.get_vector(i))
+        if any(deleted) or any(kept):
+            out.append((i, all(deleted), *kept))
+    return spark.createDataFrame(out, "vec_id long, deleted boolean, posting_vector array<double>, layer_vector array<double>")
+
+
+@query("SELECT * FROM (VALUES ('f16', 64, 128, 2.0::DOUBLE), ('int8', 64, 64, 4.0::DOUBLE), ('pq', 64, 8, 32.0::DOUBLE), ('sign', 64, 16, 16.0::DOUBLE)) t(kind, dim, code_size, compression)")
+def quantizer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of trained quantizers after a trip through their files, held against the codes they make."""
+    rows, out = vectors(spark, sf_dir).select("vec_id", "embedding"), []
+    for kind, options in (("f16", {}), ("int8", {}), ("pq", {"parts": 8, "centres": 16, "rounds": 2}), ("sign", {})):
+        path = fresh(spark, "model")
+        Q.save(spark, Q.train(kind, rows, **options), path)
+        model = Q.load(spark, path)
+        size = Q.encoded(rows, model).agg(F.max(F.length("code"))).first()[0]
+        s = Q.stats(model)
+        out.append((s["kind"], s["dim"], size if size == s["code_size"] else -1, float(s["compression"])))
+    return spark.createDataFrame(out, "kind string, dim int, code_size int, compression double")
+
+
+@query(f"""WITH {_V}, {_S}, d AS (SELECT t.vec_id, {l2_sql('q.e', 't.e')} AS l2, {dot_sql('q.e', 't.e')} AS dot, sqrt({dot_sql('q.e', 'q.e')}) * sqrt({dot_sql('t.e', 't.e')}) AS length FROM (SELECT * FROM s WHERE vec_id = 0) q, s t)
+    SELECT vec_id, l2, sqrt(l2) AS euclidean, 1 - dot / length AS cosine, 1 - dot AS dot FROM d""")
+def metric_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics by name, of every row to the first."""
+    rows = stretched(spark, sf_dir)
+    one = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return rows.join(F.broadcast(one)).select("vec_id", *(metric(n).column(F.col("q"), F.col("embedding")).alias(n) for n in ("l2", "euclidean", "cosine", "dot")))
+
+
+@query(f"WITH {_V} SELECT vec_id, " + ", ".join(f"coalesce({w}, false) AS {n}" for n, (_, w) in _FILTERS.items()) + " FROM v")
+def predicate_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every predicate asked row by row, outside of expressions."""
+    names = list(_FILTERS)
+
+    def work(batches):
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([_FILTERS[n][0].matches(x) for x in labels], pa.bool_()) for n in names)], names=["vec_id", *names])
+
+    return vectors(spark, sf_dir).select("vec_id", "labels").mapInArrow(work, "vec_id long, " + ", ".join(f"{n} boolean" for n in names))
+
+
+@query("SELECT vec_id, list_transform(range(4), lambda i: (vec_id * 7919 - i * 100003)::INTEGER) AS embedding FROM embeddings")
+def ivecs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers of either sign, written to two files and read in blocks."""
+    path = fresh(spark, "vecs")
+    rows = vectors(spark, sf_dir).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("vec_id") * 7919 - i * 100003).cast("int")).alias("embedding"))
+    write(rows, path, "ivecs", files=2)
+    return read_blocks(spark, path, "ivecs", 4)
+
+
+@query(f"WITH {_V}{_P}, g AS (SELECT vec_id, e FROM v UNION ALL SELECT (SELECT count(*) FROM v) + row_number() OVER (ORDER BY vec_id) - 1, [-x FOR x IN e] FROM v WHERE vec_id % 3 = 0) SELECT g.vec_id, arg_min(c.posting_id, ({l2_sql('g.e', 'c.e')}, c.posting_id)) AS posting_id FROM g, c GROUP BY g.vec_id")
+def ivf_reassign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every row sits after rows were inserted, moved to their nearest postings and the index compacted."""
+    rows, index = vectors(spark, sf_dir), _fixed_index(spark, sf_dir)
+    index.insert(rows.where("vec_id % 3 = 0").orderBy("vec_id").select(F.transform("embedding", lambda x: -x).alias("embedding")).coalesce(1))
+    index.reassign_neighbors()
+    index.compact()
+    return PostingIndex.open(spark, index.store.path).store.read("postings").select("vec_id", "posting_id")
+
+
+@query(f"WITH {_V} SELECT sum((vec_id + 1) * (CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END))::BIGINT AS ids, count(*) FILTER (vec_id % 3 = 0) + count(*) AS n FROM v")
+def stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of adds and deletes applied to a layered index, batch by batch: what is live in the end, by the first elements of the vectors."""
+    from nearfield.streaming.feed import feed
+
+    rows, at = vectors(spark, sf_dir), fresh(spark, "stream")
+    tagged = rows.select(F.lit("add").alias("op"), F.lit(None).cast("long").alias("vec_id"), F.array((F.col("vec_id") + 1).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
+    index = LayeredIndex.build(spark, fresh(spark, "layers"), tagged.select((F.col("embedding")[0] - 1).cast("long").alias("vec_id"), "embedding"))
+    again = tagged.where((F.col("embedding")[0] - 1) % 3 == 0)
+    gone = spark.range(1).select(F.lit("delete").alias("op"), F.lit(1 << 40).alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"))
+    again.unionByName(gone).write.parquet(f"{at}/in")
+    feed(spark.readStream.schema(tagged.schema).parquet(f"{at}/in"), index, f"{at}/checkpoint").awaitTermination()
+    return index.live().agg(F.sum(F.col("embedding")[0].cast("long")).alias("ids"), F.count("*").alias("n"))
