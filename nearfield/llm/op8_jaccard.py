@@ -4,8 +4,10 @@ Every set of distinct word shingles falls in a geometric band of sizes; a *tile*
 of the next that may still reach the threshold with them. All sets order their elements alike, rare ones first: by how often an
 element's hash was counted over the whole corpus (a table of 2^TALLY counters, whatever the corpus' size), then by the hash. Two
 sets that link share at least ceil(t * n) elements, n the larger's size, so the first n - ceil(t * n) + 1 elements of each, n its own
-size, hold a common one: sets meet only in buckets (tile, element), and no pair is lost. The counts decide the order, never what is found.
-Buckets of one set are dropped, and those that hold the same sets become one, weighted by their number.
+size, hold a common one: sets meet only in buckets (tile, element), and no pair is lost. They share at least ceil(2t / (1 + t) * n) elements too, n the
+smaller's size, so the common one is among the smaller's first n - ceil(2t / (1 + t) * n) + 1: rows of a bucket without a partner of a fitting size, the
+smaller with the element that near its beginning, are dropped. The counts decide the order, never what is found.
+Buckets that hold the same sets become one, weighted by their number.
 
 In the others each set is compared with hubs first, those it shares most buckets with; components of those links settle most
 buckets, since two sets of one component need no comparison. What is left is compared in blocks, all members against all others of a
@@ -39,10 +41,12 @@ TALLY, SLICE = 20, 4096
 #: Rows of a bucket up to which it is compared with other buckets' contents; larger ones stay as they are.
 HOLD = 1 << 16
 #: Members of a block that are compared with those of another, and sets that are checked against a hub in one group.
-BLOCK, GROUP = 2048, 256
+BLOCK, GROUP = 512, 256
+#: Bits of a bitmap for an element, at least: sets whose similarity is below about 0.7 fail the bound.
+BITS = 6
 #: Hubs that a set is checked against; rounds in which blocks give each set's BEST pairs only, before all that are left.
 HUBS, ROUNDS, BEST = 1, 1, 2
-#: Texts of sets to be intersected are found by a broadcast of their documents' ids up to this many, by a shuffled join beyond.
+#: Bitmaps of sets that share buckets, and texts of sets to be intersected, are found by a broadcast of ids up to this many, by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -69,15 +73,17 @@ class Banding:
             band += 1
         return [band, band - 1] if band and n * self.num <= (self.low(band) - 1) * self.den else [band]
 
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        """Bucket hashes of a set: of its rarest elements, for each tile."""
-        first = len(x) + self.num * len(x) // -self.den + 1
+    def signatures(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket hashes of a set, of its rarest elements for each tile, and which of them hold it as the smaller of a pair."""
+        n, num, den = len(x), self.num, self.den
+        first, near = n + num * n // -den + 1, n + 2 * num * n // -(num + den) + 1
         rank = x >> U(8)
         if self.level is not None:
             rank = rank | self.level[(x >> U(64 - TALLY)).astype(np.int64)].astype(np.uint64) << U(56)
-        if first < len(x):
-            rank = np.partition(rank, first - 1)[:first]
-        return np.concatenate([mix(rank ^ mix(np.array([tile + 1], np.uint64) * _STEP)) for tile in self.tiles(len(x))])
+        rank = np.sort(np.partition(rank, first - 1)[:first] if first < n else rank)
+        tiles = self.tiles(n)
+        small = np.arange(first) < near
+        return np.concatenate([mix(rank ^ mix(np.array([tile + 1], np.uint64) * _STEP)) for tile in tiles]), np.concatenate([small if tile == tiles[0] else np.zeros(first, dtype=bool) for tile in tiles])
 
 
 def _tally(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -118,7 +124,7 @@ def set_id(x: np.ndarray) -> int:
 def _scan(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, level) -> Iterator[pa.RecordBatch]:
     band = Banding(num, den, level.value)
     for batch in batches:
-        sizes, ids, sigs, lengths, bits, seen = [], [], [], [], [], set()
+        sizes, ids, sigs, small, lengths, bits, seen = [], [], [], [], [], [], set()
         nameless = batch.column(0).is_null().to_pylist()
         for i, x in shingle_sets(batch.column(1), words):
             own = set_id(x) if len(x) and not nameless[i] else None
@@ -130,12 +136,15 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, lev
                 continue
             seen.add(own)
             with np.errstate(over="ignore"):
-                sigs.append(band.signatures(x))
+                found, near = band.signatures(x)
+            sigs.append(found)
+            small.append(2 * len(x) + near)
             lengths.append(len(sigs[-1]))
             bits.append(bitmap(x))
-        flat = (np.concatenate(sigs) if sigs else np.empty(0, np.uint64)).view(np.int64)
+        flat = pa.array((np.concatenate(sigs) if sigs else np.empty(0, np.uint64)).view(np.int64))
+        sized = pa.array((np.concatenate(small) if small else np.empty(0, np.int64)).astype(np.int32))
         at = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sigs", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.ListArray.from_arrays(at, sized), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sigs", "sizes", "bitmap"])
 
 
 def _set_of(batches: Iterator[pa.RecordBatch], words: int, at: int, name: str) -> Iterator[pa.RecordBatch]:
@@ -150,35 +159,49 @@ def with_set(docs: DataFrame, name: str, text_col: str = "text", words: int = 3)
     return docs.mapInArrow(partial(_set_of, words=words, at=docs.columns.index(text_col), name=name), schema)
 
 
-def _merged(sig: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
-    """(sig, set_id, weight) of whole buckets of two sets at least: those that hold the same sets are one, named by their content."""
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    sizes = np.diff(np.append(starts, len(sig)))
+def _partnered(bucket: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of rows in the order of bucket, then size (twice the set's, plus 1 where it may be the smaller), those with a partner of a fitting size."""
+    n, small = size >> 1, (size & 1).astype(bool)
+    span = int(n.max()) * den // num + 2
+    place = bucket * span + n
+    larger = np.searchsorted(place, bucket * span + n * den // num, side="right") - np.searchsorted(place, place) > 1
+    those = place[small]
+    smaller = np.searchsorted(those, place, side="right") - np.searchsorted(those, bucket * span - (-n * num // den)) > small
+    return (small & larger) | smaller
+
+
+def _merged(sig: np.ndarray, ident: np.ndarray, size: np.ndarray, num: int, den: int) -> pa.RecordBatch:
+    """(sig, set_id, weight) of whole buckets, in their order: rows with a partner; buckets that hold the same sets are one, named by their content."""
+    bucket = np.cumsum(np.concatenate([[False], sig[1:] != sig[:-1]]))
+    order = np.lexsort((size, bucket))
+    keep = order[_partnered(bucket, size[order], num, den)]
+    bucket, ident = bucket[keep], ident[keep]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    sizes = np.diff(np.append(starts, len(bucket)))
     with np.errstate(over="ignore"):
-        content = mix(np.add.reduceat(mix(ident.view(np.uint64) * _STEP + U(1)), starts) + sizes.astype(np.uint64))
-    starts, sizes, content = starts[sizes > 1], sizes[sizes > 1], content[sizes > 1]
+        content = mix(np.add.reduceat(mix(ident.view(np.uint64) * _STEP + U(1)), starts) + sizes.astype(np.uint64)) if len(starts) else np.empty(0, np.uint64)
     name, first, weight = np.unique(content, return_index=True, return_counts=True)
     starts, sizes = starts[first], sizes[first]
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
     return _row_batch(np.repeat(name, sizes).view(np.int64), ident[at], np.repeat(weight, sizes))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, set_id) in that order, those of buckets with two sets at least, by content. The last bucket is held back between batches;
+def _shared(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, set_id, size) in that order, the buckets by content (see `_merged`). The last bucket is held back between batches;
     one of more than HOLD rows goes on as it is, under its own name (a row of it that repeats only weighs more)."""
-    sig, ident, large = np.empty(0, np.int64), np.empty(0, np.int64), None
+    sig, ident, size, large = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), None
     for batch in chain(batches, [None]):
         if batch is not None:
-            sig, ident = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([ident, batch.column(1).to_numpy()])
+            sig, ident, size = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((sig, ident, size)))
         new = np.ones(len(sig), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1])
-        sig, ident = sig[new], ident[new]
+        sig, ident, size = sig[new], ident[new], size[new]
         out = 0 if large is None else int(np.searchsorted(sig, large, side="right"))
         if out < len(sig):
             large = None
             whole = len(sig) if batch is None else max(out, int(np.searchsorted(sig, sig[-1])))
             if whole > out:
-                yield _merged(sig[out:whole], ident[out:whole])
+                yield _merged(sig[out:whole], ident[out:whole], size[out:whole], num, den)
             if len(sig) - whole > HOLD:
                 large = int(sig[-1])
                 yield _row_batch(sig[whole:], ident[whole:])
@@ -187,7 +210,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = out
         if out:
             yield _row_batch(sig[:out], ident[:out])
-        sig, ident = sig[whole:], ident[whole:]
+        sig, ident, size = sig[whole:], ident[whole:], size[whole:]
 
 
 def _row_batch(sig: np.ndarray, ident: np.ndarray, weight: np.ndarray | None = None) -> pa.RecordBatch:
@@ -195,8 +218,8 @@ def _row_batch(sig: np.ndarray, ident: np.ndarray, weight: np.ndarray | None = N
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """Hashed bitmap of a set, of 8 to 16 bits an element and a power of two of them."""
-    bits = 1 << max(6, int(8 * len(x) - 1).bit_length())
+    """Hashed bitmap of a set, of BITS to 2 * BITS bits an element and a power of two of them."""
+    bits = 1 << max(6, int(BITS * len(x) - 1).bit_length())
     out = np.zeros(bits, dtype=bool)
     out[(x & U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -338,12 +361,16 @@ def _bounded_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return rows.mapInArrow(partial(_bounded, num=num, den=den), "a long, b long")
 
 
-def _elements(pairs: DataFrame, scanned: DataFrame, texts: DataFrame, words: int, scratch: Scratch, turn: int) -> DataFrame:
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if there are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _elements(pairs: DataFrame, first: DataFrame, texts: DataFrame, words: int, scratch: Scratch, turn: int) -> DataFrame:
     """(set_id, n, elements) of the sets of pairs, made again from the text of one document each."""
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    owners = scratch.table(scanned.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), f"owners-{turn}")
-    owners = F.broadcast(owners) if owners.count() <= BROADCAST_IDS else owners
-    return texts.join(owners, "doc_id").select("set_id", "text").mapInArrow(partial(_fetch, words=words), "set_id long, n long, elements array<long>")
+    owners = scratch.table(first.join(wanted, "set_id", "left_semi").select("set_id", F.col("first").alias("doc_id")), f"owners-{turn}")
+    return texts.join(_small(owners), "doc_id").select("set_id", "text").mapInArrow(partial(_fetch, words=words), "set_id long, n long, elements array<long>")
 
 
 def _check_pairs(pairs: DataFrame, sets: DataFrame, scratch: Scratch, turn: int, num: int, den: int) -> DataFrame:
@@ -372,21 +399,24 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     level = spark.sparkContext.broadcast(grades(texts, words))
-    scanned = scratch.table(texts.mapInArrow(partial(_scan, words=words, num=num, den=den, level=level), "doc_id long, n_shingles long, set_id long, sigs array<long>, bitmap binary"), "scan")
-    listed = scanned.select(F.explode("sigs").alias("sig"), "set_id").repartition("sig").sortWithinPartitions("sig", "set_id")
-    shared = listed.mapInArrow(_shared, "sig long, set_id long, weight long").groupBy("sig", "set_id").agg(F.sum("weight").alias("weight"))
+    scanned = scratch.table(texts.mapInArrow(partial(_scan, words=words, num=num, den=den, level=level), "doc_id long, n_shingles long, set_id long, sigs array<long>, sizes array<int>, bitmap binary"), "scan")
+    listed = scanned.select("set_id", F.inline(F.arrays_zip("sigs", "sizes"))).select(F.col("sigs").alias("sig"), "set_id", F.col("sizes").alias("size"))
+    listed = listed.repartition("sig").sortWithinPartitions("sig", "set_id")
+    shared = listed.mapInArrow(partial(_shared, num=num, den=den), "sig long, set_id long, weight long").groupBy("sig", "set_id").agg(F.sum("weight").alias("weight"))
     rest = scratch.table(shared, "shared")
 
-    sets = scanned.where("bitmap is not null").join(rest.select("set_id").distinct(), "set_id", "left_semi")
+    met = scratch.table(rest.select("set_id").distinct(), "met")
+    sets = scanned.where("bitmap is not null").join(_small(met), "set_id", "left_semi")
     sets = scratch.table(sets.select("set_id", F.col("n_shingles").alias("n"), "bitmap").dropDuplicates(["set_id"]), "sets")
     scanned = scratch.table(scanned.select("doc_id", "n_shingles", "set_id"), "sizes")
     scratch.drop("scan")
+    first = scratch.table(scanned.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first")), "first")
 
     edges, opened = None, None
     for turn, how in enumerate(("hub", *("best",) * ROUNDS, "all")):
         pairs = _bounded_pairs(_hub_pairs(rest, scratch), sets, num, den) if opened is None else _tile_pairs(rest, opened, sets, num, den, BEST if how == "best" else 0)
         pairs = scratch.table(pairs, f"pairs-{turn}")
-        found = scratch.table(_check_pairs(pairs, _elements(pairs, scanned, texts, words, scratch, turn), scratch, turn, num, den), f"edges-{turn}")
+        found = scratch.table(_check_pairs(pairs, _elements(pairs, first, texts, words, scratch, turn), scratch, turn, num, den), f"edges-{turn}")
         edges = found if edges is None else edges.union(found)
         groups = scratch.table(components(edges, scratch, f"cc-{turn}"), f"groups-{turn}")
         if how == "all":
@@ -395,10 +425,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         listing = rest.drop("component").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
         listing = scratch.table(listing, f"named-{turn}")
         opened = _opened(listing, scratch, turn)
+        if opened.isEmpty():
+            break
         rest = listing.join(opened, "sig", "left_semi")
 
-    # the smallest document of each set, then of each component; a hot set or component meets one row of a written table, so its rows can be split
-    first = scratch.table(scanned.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first")), "first")
+    # the smallest document of each component; a hot set or component meets one row of a written table, so its rows can be split
     joined = scratch.table(groups.withColumnRenamed("node", "set_id").join(first, "set_id"), "joined")
     least = scratch.table(joined.groupBy("component").agg(F.min("first").alias("least")), "least")
     joined = joined.join(least, "component").select("set_id", "component", "least")

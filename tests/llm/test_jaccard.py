@@ -56,9 +56,9 @@ def family(seed, base, copies, edits):
 def held(rows):
     """The bucket reader with HOLD lowered, also where it runs."""
 
-    def read(batches):
+    def read(batches, num, den):
         op.HOLD = rows
-        return inner(batches)
+        return inner(batches, num, den)
 
     inner = op._shared
     return read
@@ -97,7 +97,13 @@ def test_no_pair_escapes_the_buckets():
             y = np.unique(np.concatenate([x[r.permutation(len(x))[: len(x) - drop]], r.integers(0, 2**63, size=int(r.integers(0, max(1, size // 8 + 1)))).astype(np.uint64)]))
             if len(y) and op.links(x, y, num, 100):
                 with np.errstate(over="ignore"):
-                    assert set(band.signatures(x)) & set(band.signatures(y))
+                    (a, near_a), (b, near_b) = band.signatures(x), band.signatures(y)
+                    near = near_a if len(x) < len(y) else near_b
+                    common = set(a) & set(b)
+                    assert common and (len(x) == len(y) or common & set((a if len(x) < len(y) else b)[near]))
+                    rows = sorted((sig, k, 2 * len(s) + m) for k, (s, sigs, ms) in enumerate(((x, a, near_a), (y, b, near_b))) for sig, m in zip(sigs.view(np.int64).tolist(), ms.tolist()))
+                    made = list(op._shared(iter([pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["sig", "set_id", "size"])]), num, 100))
+                    assert {i for m in made for i in m.column(1).to_pylist()} == {0, 1}
 
 
 @pytest.mark.parametrize("hold", [1, 3, 100])
@@ -105,23 +111,28 @@ def test_shared_buckets(hold, monkeypatch):
     """Whatever the batches, all buckets of two sets at least come back, equal ones as one with their number."""
     monkeypatch.setattr(op, "HOLD", hold)
     r = random.Random(hold)
-    rows = sorted((s, i) for s in range(60) for i in r.sample(range(12), r.choice([1, 1, 2, 3, 9])) for _ in range(r.choice([1, 1, 2])))
+    size = {i: r.choice([8, 9, 10, 11, 14]) for i in range(12)}
+    near = {(s, i): r.random() < 0.6 for s in range(60) for i in range(12)}
+    rows = sorted((s, i, 2 * size[i] + near[s, i]) for s in range(60) for i in r.sample(range(12), r.choice([1, 1, 2, 3, 9])) for _ in range(r.choice([1, 1, 2])))
     want = {}
     for s in range(60):
-        members = frozenset(i for t, i in rows if t == s)
-        if len(members) > 1:
+        members = {i for t, i, _ in rows if t == s}
+        fits = lambda a, b: a != b and size[a] <= size[b] and size[a] * 100 >= 80 * size[b] and near[s, a]  # noqa: E731, B023
+        members = frozenset(i for i in members if any(fits(i, j) or fits(j, i) for j in members))
+        if members:
             want[members] = want.get(members, 0) + 1
-    for size in (1, 4, 1000):
-        parts = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[i : i + size]], pa.int64()) for k in (0, 1)], names=["sig", "set_id"]) for i in range(0, len(rows), size)]
-        found = {}
-        for b in op._shared(iter(parts)):
+    for rows_at_once in (1, 4, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[i : i + rows_at_once]], pa.int64()) for k in range(3)], names=["sig", "set_id", "size"]) for i in range(0, len(rows), rows_at_once)]
+        found, weights = {}, {}
+        for b in op._shared(iter(parts), 80, 100):
             for x in b.to_pylist():
                 found.setdefault(x["sig"], set()).add(x["set_id"])
-        assert {frozenset(v) for v in found.values()} == set(want)
-        if hold == 100 and size == 1000:
-            weights = {}
-            for b in op._shared(iter(parts)):
-                weights |= {x["sig"]: x["weight"] for x in b.to_pylist()}
+                weights[x["sig"]] = x["weight"]
+        if hold == 100:
+            assert {frozenset(v) for v in found.values()} == set(want)
+        else:  # a bucket that is too large to hold keeps all its rows
+            assert all(any(w <= v for v in found.values()) for w in want)
+        if hold == 100 and rows_at_once == 1000:
             assert {frozenset(found[k]): w for k, w in weights.items()} == want
 
 
