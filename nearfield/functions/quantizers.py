@@ -261,24 +261,37 @@ class SignBit:
         tail = np.ascontiguousarray(codes[:, cut:]).view("<f4").astype(np.float64)
         return np.unpackbits(codes[:, :cut], axis=1, bitorder="little").astype(np.float64), tail[:, 0], tail[:, 1]
 
+    def _words(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sign bits as 64-bit words, squared norms, correction factors)."""
+        cut = self.wide // 8
+        tail = np.ascontiguousarray(codes[:, cut:]).view("<f4").astype(np.float64)
+        return np.ascontiguousarray(codes[:, :cut]).view("<u8"), tail[:, 0], tail[:, 1]
+
     def decode(self, codes: np.ndarray, centre: np.ndarray | None = None) -> np.ndarray:
         bits, norm2, _ = self._open(codes)
         return self.unrotate((2 * bits - 1) / np.sqrt(self.wide) * np.sqrt(norm2)[:, None]) + (self.centre if centre is None else centre)
 
-    def prepare(self, q: np.ndarray, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, 4-bit rotated unit vectors) of the queries' residuals."""
+    def prepare(self, q: np.ndarray, centre: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(lengths, least elements, steps, sums, bit planes) of the queries' rotated unit residuals in 4 bits; a plane is a row of 64-bit words."""
         r = self.rotate(q - (self.centre if centre is None else centre))
         length = np.linalg.norm(r, axis=1)
         unit = np.divide(r, length[:, None], out=np.zeros_like(r), where=length[:, None] > 0)
-        lo, hi = unit.min(axis=1, keepdims=True), unit.max(axis=1, keepdims=True)
+        lo, hi = unit.min(axis=1), unit.max(axis=1)
         step = np.maximum((hi - lo) / 15, 1e-30)
-        return length, np.clip(np.rint((unit - lo) / step), 0, 15) * step + lo
+        grid = np.clip(np.rint((unit - lo[:, None]) / step[:, None]), 0, 15).astype(np.uint8)
+        planes = np.stack([np.packbits(grid >> p & 1, axis=1, bitorder="little").view("<u8") for p in range(4)], axis=1)
+        return length, lo, step, (grid * step[:, None] + lo[:, None]).sum(axis=1), planes
 
     def estimates(self, q: np.ndarray, codes: np.ndarray, centre: np.ndarray | None = None, ready=None) -> tuple[np.ndarray, np.ndarray]:
-        """(estimated squared distances, bounds of their errors), queries by codes."""
-        bits, norm2, factor = self._open(codes)
-        length, grid = self.prepare(q, centre) if ready is None else ready
-        inner = (grid @ (2 * bits - 1).T) / np.sqrt(self.wide)
+        """(estimated squared distances, bounds of their errors), queries by codes. Inner products are popcounts of the codes' words with the queries' planes."""
+        words, norm2, factor = self._words(codes)
+        length, lo, step, total, planes = self.prepare(q, centre) if ready is None else ready
+        shared = np.zeros((len(length), len(codes)), dtype=np.int32)
+        for w in range(words.shape[1]):
+            for p in range(4):
+                shared += np.bitwise_count(planes[:, p, w, None] & words[None, :, w]).astype(np.int32) << p
+        ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        inner = (2 * (step[:, None] * shared + lo[:, None] * ones[None]) - total[:, None]) / np.sqrt(self.wide)
         about = norm2[None] + (length**2)[:, None] - 2 * length[:, None] * factor[None] * inner
         ip = np.divide(np.sqrt(norm2), factor, out=np.zeros_like(norm2), where=factor > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
