@@ -381,6 +381,18 @@ def test_mixture(spark, sf, awkward, nothing):
     assert op6.mixture(nothing).collect() == []
 
 
+def test_targets_without_the_driver(spark, monkeypatch):
+    """More sources than the driver may hold get the same targets, blocks of ranges the same starts."""
+    r = random.Random(6)
+    rows = spark.createDataFrame([(i, "w " * r.choice([0, 1, 5, 40]), r.choice([None, *(f"s{k}" for k in range(r.choice([3, 40])))])) for i in range(400)] + [(i, "", "empty") for i in range(400, 405)], "doc_id long, text string, source string")
+    found = []
+    for sources, n, grouped in ((1_000_000, 4096, 4096), (5, 4, 2)):
+        for name, value in (("MAX_SOURCES", sources), ("ROWS", n), ("GROUPED", grouped)):
+            monkeypatch.setattr(op6, name, value)
+        found.append(sorted(map(str, op6.mixture(rows.repartition(3)).collect())))
+    assert found[0] == found[1] and len(found[0]) == 405
+
+
 def test_ranges_change_nothing(spark, sf, awkward, monkeypatch):
     """Prefix sums over many ranges of a source give what one range gives, null and repeated ids among the rows."""
     rows = docs(spark, sf).select("doc_id", "text", "source").unionByName(awkward.select("doc_id", "text", "source"))
