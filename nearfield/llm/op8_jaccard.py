@@ -42,8 +42,8 @@ TALLY, SLICE = 20, 4096
 HOLD = 1 << 16
 #: Members of a block that are compared with those of another, and sets that are checked against a hub in one group.
 BLOCK, GROUP = 512, 256
-#: Bits of a bitmap for an element, at least: sets whose similarity is below about 0.7 fail the bound.
-BITS = 6
+#: Bits of a bitmap for an element, at least, over 1 less the threshold: 6 at 0.8, 3 at 0.9. What the bound lets through below the threshold is then as wide at either.
+BITS = 30
 #: Hubs that a set is checked against; rounds in which blocks give each set's BEST pairs only, before all that are left.
 HUBS, ROUNDS, BEST = 1, 1, 2
 #: Bitmaps of sets that share buckets, and texts of sets to be intersected, are found by a broadcast of ids up to this many, by a shuffled join beyond.
@@ -122,7 +122,7 @@ def set_id(x: np.ndarray) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, level) -> Iterator[pa.RecordBatch]:
-    band = Banding(num, den, level.value)
+    band, each = Banding(num, den, level.value), max(2, BITS * (den - num) // den)
     for batch in batches:
         sizes, ids, sigs, small, lengths, bits, seen = [], [], [], [], [], [], set()
         nameless = batch.column(0).is_null().to_pylist()
@@ -140,7 +140,7 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, lev
             sigs.append(found)
             small.append(2 * len(x) + near)
             lengths.append(len(sigs[-1]))
-            bits.append(bitmap(x))
+            bits.append(bitmap(x, each))
         flat = pa.array((np.concatenate(sigs) if sigs else np.empty(0, np.uint64)).view(np.int64))
         sized = pa.array((np.concatenate(small) if small else np.empty(0, np.int64)).astype(np.int32))
         at = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
@@ -217,9 +217,9 @@ def _row_batch(sig: np.ndarray, ident: np.ndarray, weight: np.ndarray | None = N
     return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ident), pa.array(np.ones(len(sig), np.int64) if weight is None else weight, pa.int64())], names=["sig", "set_id", "weight"])
 
 
-def bitmap(x: np.ndarray) -> bytes:
-    """Hashed bitmap of a set, of BITS to 2 * BITS bits an element and a power of two of them."""
-    bits = 1 << max(6, int(BITS * len(x) - 1).bit_length())
+def bitmap(x: np.ndarray, each: int = 6) -> bytes:
+    """Hashed bitmap of a set, of `each` to 2 * `each` bits an element and a power of two of them."""
+    bits = 1 << max(6, int(each * len(x) - 1).bit_length())
     out = np.zeros(bits, dtype=bool)
     out[(x & U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()

@@ -68,6 +68,7 @@ def held(rows):
 def test_groups_equal_brute_force(spark, n, num, block, hold, monkeypatch):
     monkeypatch.setattr(op, "GROUP", 3)
     monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "BROADCAST_IDS", 1_000_000 if block > 2 else 0)
     monkeypatch.setattr(op, "_shared", held(hold))
     texts = family(1, 30, 40, 3) + family(2, 120, 60, 6) + family(3, 9, 20, 1) + family(4, 300, 30, 12) + ["a b", "a  B", "c", "", None, "x y z"] + family(5, 4, 8, 1)
     rows = list(enumerate(texts))
