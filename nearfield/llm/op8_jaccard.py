@@ -390,8 +390,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words, or its whole sequence where it has fewer. Two link when den * intersection >= num * union. component_id is
     the smallest id that links reach, the own one included.
 
-    A null or empty text, or one of white space, has n_shingles 0 and is its own component. A row with a null id
-    is kept, links with nothing and has a null component. Repeated rows give a row each, in the same component. Other columns are passed over.
+    A null or empty text, or one of white space, has n_shingles 0 and is its own component. Very long texts count whole. A pair of just the threshold
+    links. A row with a null id is kept, links with nothing and has a null component. Repeated rows give a row each, in the same component. An empty table
+    gives an empty one. Other columns are passed over.
 
     named adds set_id, the row's set as `with_set` names it, and group, which is equal just where sets are joined (both null without a set).
     """
