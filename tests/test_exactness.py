@@ -50,6 +50,17 @@ def misleading():
     return np.concatenate([rows, -rows]).astype(np.float64), q
 
 
+def test_build_verdicts_on_copies(spark, copies):
+    (row,) = plans.ivf_build(spark, copies).collect()
+    assert row.asDict() == {"live": 600, "bounded": True, "in_nearest": True, "recall_ok": True}
+
+
+def test_rows_of_a_build_sit_in_their_nearest_postings(spark):
+    x = np.random.default_rng(2).normal(size=(1500, 64))
+    index = api.PostingIndex.build(spark, fresh(spark, "t"), api.vectors(spark, x.tolist()), max_posting_size=24)
+    assert index.in_nearest() == 1 and index.stats()["max_posting"] < 24
+
+
 def test_halves_that_round_to_zero_keep_their_sign(spark):
     x = [-1e-9, 1e-9, -2.0**-25, -2.9e-8, -0.0, -3.1e-8, -1.00048828125]
     (row,) = spark.createDataFrame([(x,)], "x array<double>").select(F.transform("x", Q.Half.rounded).alias("x")).collect()
