@@ -61,6 +61,15 @@ def test_rows_of_a_build_sit_in_their_nearest_postings(spark):
     assert index.in_nearest() == 1 and index.stats()["max_posting"] < 24
 
 
+def test_posting_stats_of_copies_and_of_many_centroids(spark, copies):
+    x, ids = matrix_of(spark, copies), np.arange(0, 600, 25)
+    want = dict(zip(*np.unique(nearest_ids(x, x[ids], ids), return_counts=True), strict=True))
+    assert {r.posting_id: r.n for r in plans.ivf_posting_stats(spark, copies).collect()} == want
+    rng = np.random.default_rng(3)
+    c, y = rng.normal(size=(5000, 64)), rng.normal(size=(100, 64))
+    assert Centroids(np.arange(5000), c).owners(y, np.arange(100)).tolist() == nearest_ids(y, c, np.arange(5000))
+
+
 def test_halves_that_round_to_zero_keep_their_sign(spark):
     x = [-1e-9, 1e-9, -2.0**-25, -2.9e-8, -0.0, -3.1e-8, -1.00048828125]
     (row,) = spark.createDataFrame([(x,)], "x array<double>").select(F.transform("x", Q.Half.rounded).alias("x")).collect()
