@@ -70,6 +70,12 @@ def test_posting_stats_of_copies_and_of_many_centroids(spark, copies):
     assert Centroids(np.arange(5000), c).owners(y, np.arange(100)).tolist() == nearest_ids(y, c, np.arange(5000))
 
 
+def test_reassigned_rows_of_copies(spark, copies):
+    x, ids = matrix_of(spark, copies), np.arange(0, 600, 25)
+    want = list(enumerate(nearest_ids(np.concatenate([x, -x[::3]]), x[ids], ids)))
+    assert sorted((r.vec_id, r.posting_id) for r in plans.ivf_reassign(spark, copies).collect()) == want
+
+
 def test_halves_that_round_to_zero_keep_their_sign(spark):
     x = [-1e-9, 1e-9, -2.0**-25, -2.9e-8, -0.0, -3.1e-8, -1.00048828125]
     (row,) = spark.createDataFrame([(x,)], "x array<double>").select(F.transform("x", Q.Half.rounded).alias("x")).collect()
