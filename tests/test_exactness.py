@@ -50,6 +50,13 @@ def misleading():
     return np.concatenate([rows, -rows]).astype(np.float64), q
 
 
+def test_sign_search_loses_no_row_whose_code_misleads(spark):
+    x, q = misleading()
+    rows = api.vectors(spark, x.tolist())
+    found = bounded_knn(Q.encoded(rows.select("vec_id", "embedding"), Q.SignBit(np.zeros(64))), api.queries(spark, [q.tolist()]), 1, Q.SignBit(np.zeros(64)), rows, metric("l2"))
+    assert [(r.vec_id, r.dist) for r in found.collect()] == truth(x, q[None], 1)[0] and truth(x, q[None], 1)[0][0][0] == 0
+
+
 def test_bound_search_loses_no_row_whose_code_misleads(spark):
     x, q = misleading()
     index = api.PostingIndex.build(spark, fresh(spark, "t"), api.vectors(spark, x.tolist()), max_posting_size=1 << 20, centroids=Centroids(np.array([0]), np.zeros((1, 64))), quantizer="sign")
