@@ -413,12 +413,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop("scan")
     first = scratch.table(scanned.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first")), "first")
 
-    edges, opened = None, None
+    groups, opened = None, None
     for turn, how in enumerate(("hub", *("best",) * ROUNDS, "all")):
         pairs = _bounded_pairs(_hub_pairs(rest, scratch), sets, num, den) if opened is None else _tile_pairs(rest, opened, sets, num, den, BEST if how == "best" else 0)
         pairs = scratch.table(pairs, f"pairs-{turn}")
         found = scratch.table(_check_pairs(pairs, _elements(pairs, first, texts, words, scratch, turn), scratch, turn, num, den), f"edges-{turn}")
-        edges = found if edges is None else edges.union(found)
+        edges = found if groups is None else found.union(groups.where("node <> component").select("node", "component"))
         groups = scratch.table(components(edges, scratch, f"cc-{turn}"), f"groups-{turn}")
         if how == "all":
             break

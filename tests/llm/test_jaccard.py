@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
+from nearfield.llm import components as cc
 from nearfield.llm import op8_jaccard as op
 from nearfield.llm.components import components
 from nearfield.llm.scratch import Scratch
@@ -151,3 +152,14 @@ def test_components(spark):
     got = {r.node: r.component for r in components(df, Scratch(spark, "test")).collect()}
     assert got == {**dict.fromkeys(range(1, 61), 1), 100: 100, 200: 100, 300: 100, 400: 400, 401: 400}
     assert components(df.limit(0), Scratch(spark, "test")).collect() == []
+
+
+def test_small_graphs_are_joined_in_one_task_and_alike_in_rounds(spark, monkeypatch):
+    r = random.Random(7)
+    edges = [(r.randint(-300, 300), r.randint(-300, 300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3), (9000, 9000)]
+    df, scratch = spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")
+    at_once = {r.node: r.component for r in components(df, scratch).collect()}
+    assert not scratch.kept  # no rounds of tables
+    monkeypatch.setattr(cc, "TOGETHER", 0)
+    assert at_once == {r.node: r.component for r in components(df, scratch).collect()}
+    assert at_once[1040] == 1000 and 9000 not in at_once
